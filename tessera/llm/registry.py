@@ -27,7 +27,22 @@ def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shard_documents(table(spark, folder, "documents"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op3_topk": op3_topk, "op6_sharding": op6_sharding}
+def op7_media(spark: SparkSession, folder: str) -> DataFrame:
+    from tessera.llm.media import media_rows
+
+    return media_rows(table(spark, folder, "documents")).drop("clips")
+
+
+RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+
+
+def op10_urls(spark: SparkSession, folder: str) -> DataFrame:
+    from tessera.llm.urlrules import judge_urls, rule_table
+
+    return judge_urls(table(spark, folder, "pages").select("page_id", "url"), rule_table(spark, RULES)).drop("url")
+
+
+QUERIES = {"op1_packing": op1_packing, "op3_topk": op3_topk, "op6_sharding": op6_sharding, "op7_media": op7_media, "op10_urls": op10_urls}
 
 OP3_SQL = """
 WITH v AS (
@@ -41,4 +56,17 @@ WITH v AS (
 ) SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
-ORACLES: dict[str, str] = {"op3_topk": OP3_SQL}
+OP10_SQL = """
+WITH r(verdict, rhost, rpath) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+p AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), q AS (
+  SELECT row_number() OVER () AS i, page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p
+), m AS (
+  SELECT i, page_id, host, path, rhost || rpath AS rule, verdict, row_number() OVER (PARTITION BY i ORDER BY length(rhost || rpath) DESC, length(rhost) DESC) AS n
+  FROM q LEFT JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+) SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE n = 1
+"""
+
+ORACLES: dict[str, str] = {"op3_topk": OP3_SQL, "op10_urls": OP10_SQL}
