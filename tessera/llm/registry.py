@@ -39,6 +39,12 @@ def op7_media(spark: SparkSession, folder: str) -> DataFrame:
     return media_rows(table(spark, folder, "documents")).drop("clips")
 
 
+def op8_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    from tessera.llm.nearjoin import near_duplicates
+
+    return near_duplicates(table(spark, folder, "documents"))
+
+
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
 
@@ -48,7 +54,7 @@ def op10_urls(spark: SparkSession, folder: str) -> DataFrame:
     return judge_urls(table(spark, folder, "pages").select("page_id", "url"), rule_table(spark, RULES)).drop("url")
 
 
-QUERIES = {"op1_packing": op1_packing, "op3_topk": op3_topk, "op5_substrings": op5_substrings, "op6_sharding": op6_sharding, "op7_media": op7_media, "op10_urls": op10_urls}
+QUERIES = {"op1_packing": op1_packing, "op3_topk": op3_topk, "op5_substrings": op5_substrings, "op6_sharding": op6_sharding, "op7_media": op7_media, "op8_jaccard": op8_jaccard, "op10_urls": op10_urls}
 
 OP3_SQL = """
 WITH v AS (
