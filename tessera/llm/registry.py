@@ -21,6 +21,12 @@ def op3_topk(spark: SparkSession, folder: str) -> DataFrame:
     return exact_topk(integer_vectors(table(spark, folder, "embeddings")), "vec_id % 20 = 0", 20)
 
 
+def op4_language(spark: SparkSession, folder: str) -> DataFrame:
+    from tessera.llm.language import identify_held_out
+
+    return identify_held_out(table(spark, folder, "documents"))
+
+
 def op5_substrings(spark: SparkSession, folder: str) -> DataFrame:
     from tessera.llm.substrings import removal_digest
 
@@ -54,7 +60,7 @@ def op10_urls(spark: SparkSession, folder: str) -> DataFrame:
     return judge_urls(table(spark, folder, "pages").select("page_id", "url"), rule_table(spark, RULES)).drop("url")
 
 
-QUERIES = {"op1_packing": op1_packing, "op3_topk": op3_topk, "op5_substrings": op5_substrings, "op6_sharding": op6_sharding, "op7_media": op7_media, "op8_jaccard": op8_jaccard, "op10_urls": op10_urls}
+QUERIES = {"op1_packing": op1_packing, "op3_topk": op3_topk, "op4_language": op4_language, "op5_substrings": op5_substrings, "op6_sharding": op6_sharding, "op7_media": op7_media, "op8_jaccard": op8_jaccard, "op10_urls": op10_urls}
 
 OP3_SQL = """
 WITH v AS (
