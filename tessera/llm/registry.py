@@ -51,6 +51,12 @@ def op8_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    from tessera.llm.toxicity import toxicity_held_out
+
+    return toxicity_held_out(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
 
@@ -60,7 +66,7 @@ def op10_urls(spark: SparkSession, folder: str) -> DataFrame:
     return judge_urls(table(spark, folder, "pages").select("page_id", "url"), rule_table(spark, RULES)).drop("url")
 
 
-QUERIES = {"op1_packing": op1_packing, "op3_topk": op3_topk, "op4_language": op4_language, "op5_substrings": op5_substrings, "op6_sharding": op6_sharding, "op7_media": op7_media, "op8_jaccard": op8_jaccard, "op10_urls": op10_urls}
+QUERIES = {"op1_packing": op1_packing, "op3_topk": op3_topk, "op4_language": op4_language, "op5_substrings": op5_substrings, "op6_sharding": op6_sharding, "op7_media": op7_media, "op8_jaccard": op8_jaccard, "op9_toxicity": op9_toxicity, "op10_urls": op10_urls}
 
 OP3_SQL = """
 WITH v AS (
