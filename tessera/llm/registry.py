@@ -15,6 +15,15 @@ def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tessera.llm.mixing import TARGETS, mix
+
+    rows = mix(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return rows.select("doc_id", "tokens", *[F.element_at("p", i + 1).alias(f"p_{d}") for i, d in enumerate(sorted(TARGETS))], "rate", "copies")
+
+
 def op3_topk(spark: SparkSession, folder: str) -> DataFrame:
     from tessera.llm.topk import exact_topk, integer_vectors
 
@@ -66,7 +75,7 @@ def op10_urls(spark: SparkSession, folder: str) -> DataFrame:
     return judge_urls(table(spark, folder, "pages").select("page_id", "url"), rule_table(spark, RULES)).drop("url")
 
 
-QUERIES = {"op1_packing": op1_packing, "op3_topk": op3_topk, "op4_language": op4_language, "op5_substrings": op5_substrings, "op6_sharding": op6_sharding, "op7_media": op7_media, "op8_jaccard": op8_jaccard, "op9_toxicity": op9_toxicity, "op10_urls": op10_urls}
+QUERIES = {"op1_packing": op1_packing, "op2_mixing": op2_mixing, "op3_topk": op3_topk, "op4_language": op4_language, "op5_substrings": op5_substrings, "op6_sharding": op6_sharding, "op7_media": op7_media, "op8_jaccard": op8_jaccard, "op9_toxicity": op9_toxicity, "op10_urls": op10_urls}
 
 OP3_SQL = """
 WITH v AS (

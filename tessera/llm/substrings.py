@@ -212,12 +212,13 @@ def _passes(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         yield first, len(texts)
 
 
-def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
+def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, decoded: bool = False) -> DataFrame:
     """`docs` with n_bytes, n_removed, n_spans (maximal removed runs) and kept (binary: what is left).
 
     The key is an integer. Null texts count as empty; rows with a null key keep everything and take nothing
     from others. Rows with equal keys don't take from each other. Documents shorter than `length` bytes stay.
-    Other columns pass through; columns of the four new names are replaced.
+    Other columns pass through; columns of the four new names are replaced. `decoded` puts what is left into the text column
+    instead of `kept`, without the characters that a cut went through; uncut texts stay as they are.
     """
     if not PREFIX <= length <= PREFIX + 63 or length > PAD:
         raise ValueError("length must lie between 16 and 64")
@@ -380,7 +381,7 @@ def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", le
 
         yield from at_home(batches, ANCHOR, work, done)
 
-    passed = list(docs.columns)
+    passed, text_at = list(docs.columns), docs.columns.index(text)
 
     def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def work(found, batch):
@@ -406,6 +407,9 @@ def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", le
                 runs.append(int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1])))
                 kept.append(np.frombuffer(t, np.uint8)[~gone].tobytes())
             columns_ = [batch.column(schema.get_field_index(c)) for c in passed]
+            if decoded:
+                texts_ = pa.array([k.decode("utf-8", "ignore") if n else x.as_py() for k, n, x in zip(kept, removed, columns_[text_at], strict=True)], columns_[text_at].type)
+                columns_[text_at], kept = texts_, [None] * len(kept)
             yield pa.RecordBatch.from_arrays([*columns_, pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], names=[*passed, "n_bytes", "n_removed", "n_spans", "kept"])
 
         yield from at_home(batches, MARK, work, lambda home: ())
