@@ -5,7 +5,7 @@ posterior over domains. Nonnegative rates per document are then fitted by projec
 of each domain, sum of rate x tokens x posterior, shall meet the domain's target. Residuals count relative to their
 targets, steps are in the metric of tokens, so a document's step depends on its posteriors alone. Each iteration is one
 aggregation to as many numbers as there are domains; only these reach the driver. Rates come from the list of residuals
-so far, folded over in one expression, and are stored every few iterations to keep that list short.
+so far, folded over in one expression, and are stored every few iterations to keep that list short. Step lengths follow Barzilai and Borwein.
 """
 
 from __future__ import annotations
@@ -81,26 +81,35 @@ def fit_rates(rows: DataFrame, targets: list[float], iterations: int = ITERATION
     """
     total, d = sum(targets), len(targets)
     scale = [max(t, total * 1e-6) for t in targets]
-    inverse = _literal([total / s for s in scale], "array<double>")
-    curved = rows.agg(F.sum(F.col("tokens") * _dot(F.zip_with("p", "p", lambda x, y: x * y), inverse))).first()[0]
+    at = [F.element_at("p", j + 1) for j in range(d)]
+    cells = rows.agg(*[F.sum(F.col("tokens") * at[i] * at[j]).alias(f"g{i}_{j}") for i in range(d) for j in range(d)]).first()
     rows = rows.withColumn("_r", F.lit(1.0))
-    if not curved or not total:
+    if not total or not any(cells):
         return rows.withColumnRenamed("_r", "rate")
-    step = 1 / (curved / total + ridge)
-    history: list[list[float]] = []
+    gram = [[cells[i * d + j] for j in range(d)] for i in range(d)]
+    form = lambda x, y: sum(x[i] * gram[i][j] * y[j] for i in range(d) for j in range(d))
+    shortest = 1 / (sum(gram[j][j] / scale[j] for j in range(d)) + ridge)
+    history: list[dict] = []
 
     def rate() -> Column:
         if not history:
             return F.col("_r")
-        return F.aggregate(_literal(history, "array<array<double>>"), F.col("_r"), lambda r, e: F.greatest(F.lit(0.0), r - step * (_dot(F.col("p"), e) + ridge * (r - 1))))
+        return F.aggregate(
+            _literal(history, "array<struct<s: double, e: array<double>>>"), F.col("_r"), lambda r, x: F.greatest(F.lit(0.0), r - x["s"] * (_dot(F.col("p"), x["e"]) + ridge * (r - 1)))
+        )
 
+    step, before = shortest, None
     for turn in range(iterations):
-        sums = [F.sum(F.col("_now") * F.col("tokens") * F.element_at("p", j + 1)) for j in range(d)]
-        got = rows.withColumn("_now", rate()).agg(*[s.alias(f"s{j}") for j, s in enumerate(sums)]).first()
-        residual = [(got[j] - targets[j]) / scale[j] for j in range(d)]
+        got = rows.withColumn("_now", rate()).agg(*[F.sum(F.col("_now") * F.col("tokens") * at[j]).alias(f"s{j}") for j in range(d)]).first()
+        residual = [float(f"{(got[j] - targets[j]) / scale[j]:.9g}") for j in range(d)]
         if max(map(abs, residual)) < tolerance:
             break
-        history.append([float(f"{x:.9g}") for x in residual])
+        if before is not None:  # Barzilai-Borwein: the step that the last change of the gradient asks for
+            bend = -form(before, [x - y for x, y in zip(residual, before, strict=True)])
+            step = min(max(shortest, step * form(before, before) / bend), 1000 * shortest) if bend > 0 else shortest
+            step = float(f"{step:.9g}")
+        before = residual
+        history.append({"s": step, "e": residual})
         if len(history) == fold and turn + 1 < iterations:
             rows = stored(rows.withColumn("_r", rate()))
             history = []
