@@ -1,37 +1,13 @@
-"""The catalogue: one query per operator over the provided tables, and the DuckDB SQL that checks it."""
-
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tessera.functions.vectors import cosine
-from tessera.sources.tables import table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+"""The catalogue: one query per operator over the provided tables, and the DuckDB SQL that checks it.
 
+The provided tables stand in for the application's: embeddings for chunks (label: component), documents for files
+(path: source/doc_id.lang), orders for reviews (o_custkey: pull request), lineitem for findings, conversations for chats,
+events for activity, customer and nation for repositories and users, pages for urls.
+"""
 
-def vector_topk(spark: SparkSession, folder: str) -> DataFrame:
-    """Cosine top-k with a threshold around one stored vector."""
-    rows = table(spark, folder, "embeddings")
-    query = rows.filter("vec_id = 0").select(F.col("embedding").alias("query_vec")).limit(1)
-    return (
-        rows.filter("vec_id <> 0")
-        .crossJoin(F.broadcast(query))
-        .select("vec_id", "label", F.round(cosine(F.col("embedding"), F.col("query_vec")), 6).alias("similarity"))
-        .filter("similarity >= 0.2")
-        .orderBy(F.desc("similarity"), "vec_id")
-        .limit(10)
-    )
+from __future__ import annotations
 
+from tessera.plans import chats, indexing, reviews, structure, texts, vectors  # noqa: F401  registers
+from tessera.plans.registry import ORACLES, QUERIES
 
-QUERIES["vector_topk"] = vector_topk
-ORACLES["vector_topk"] = """
-SELECT e.vec_id, e.label, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS similarity
-FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q
-WHERE e.vec_id <> 0 AND round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) >= 0.2
-ORDER BY similarity DESC, e.vec_id LIMIT 10
-"""
+__all__ = ["ORACLES", "QUERIES"]
