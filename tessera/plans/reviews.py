@@ -50,11 +50,11 @@ def review_with_findings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""
-SELECT l_orderkey, l_linenumber, l_suppkey, l_extendedprice, o.o_custkey, c.c_name AS repository FROM lineitem l JOIN orders o ON l_orderkey = o_orderkey JOIN customer c ON o_custkey = c_custkey WHERE l_shipdate < TIMESTAMP '1993-01-01'
+SELECT l_orderkey, l_linenumber, l_suppkey, l_extendedprice, o.o_custkey, c.c_name AS repository FROM lineitem l JOIN orders o ON l_orderkey = o_orderkey JOIN customer c ON o_custkey = c_custkey WHERE l_shipdate < TIMESTAMP '1995-03-01'
 """)
 def finding_context(spark: SparkSession, folder: str) -> DataFrame:
     """A finding with its review and its repository."""
-    items = table(spark, folder, "lineitem").filter("l_shipdate < timestamp_ntz '1993-01-01'").select("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
+    items = table(spark, folder, "lineitem").filter("l_shipdate < timestamp_ntz '1995-03-01'").select("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
     orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     customers = table(spark, folder, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("repository"))
     return items.join(orders, "l_orderkey").join(customers, "o_custkey").select("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "o_custkey", "repository")
