@@ -35,7 +35,7 @@ from tessera.llm.common import mix64, shuffle_width, stored
 LENGTH, PREFIX, PAD = 50, 16, 64
 #: Bytes of text that one numpy pass covers, and anchors that one task gathers before it sends them.
 PASS_BYTES, FLUSH = 4 << 20, 2 << 20
-RANGES_PER_PARTITION, SAMPLE_DOCS, SAMPLE_ANCHORS = 4, 4, 8
+RANGES_PER_PARTITION, SAMPLE_DOCS, SAMPLE_ANCHORS = 2, 8, 8
 MARK, TEXT, ANCHOR, CONTEXT = range(4)
 SHAPE = pa.schema([("to", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
 SHIPPED = "to int, kind int, blob binary"
