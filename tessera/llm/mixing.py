@@ -138,7 +138,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
 
 def mixed_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of `docs`, each as often as its copies say."""
-    rates = mix(docs, labels, **options).filter("copies > 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "copies").distinct()
-    keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
-    taken = keyed.join(rates.withColumnRenamed("copies", "_copies"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    rates = mix(docs, labels, **options).filter("copies > 0").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("copies").alias("__copies")).distinct()
+    keyed = docs.withColumn("__text_hash", F.xxhash64("text"))
+    taken = keyed.join(rates, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")))
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
