@@ -55,19 +55,28 @@ def fit_bayes(docs: DataFrame, domain_rows: DataFrame, domains: list[str], label
     return priors, [[round(math.log(n / sum(row)), 6) for n in row] for row in table]
 
 
-def posteriors(text: Column, priors: list[float], likelihoods: list[list[float]], sharpness: float = SHARPNESS) -> Column:
-    """array<double>: the mean word log likelihood counts as `sharpness` words, or as the words there are if fewer."""
-    bins = F.transform(_words(text), lambda w: F.pmod(F.hash(w), F.lit(len(likelihoods[0]))) + 1)
+def with_posteriors(rows: DataFrame, text: str, priors: list[float], likelihoods: list[list[float]], sharpness: float = SHARPNESS) -> DataFrame:
+    """`rows` with tokens (words between white space) and p, array<double>: the mean word log likelihood counts as
+    `sharpness` words, or as the words there are if fewer.
+
+    Each step is a projection of its own, so that what several later ones use is computed once.
+    """
+    bins = F.transform(_words(F.col(text)), lambda w: F.pmod(F.hash(w), F.lit(len(likelihoods[0]))) + 1)
+    rows = rows.withColumn("__bins", bins)
     base = likelihoods[0]
-    ratio = [[round(a - b, 6) for a, b in zip(row, base, strict=True)] for row in likelihoods[1:]]
-    table = _literal([list(x) for x in zip(*ratio, strict=True)] if ratio else [[]] * len(base), "array<array<double>>")
-    zero = _literal([0.0] * len(ratio), "array<double>")
-    sums = F.aggregate(bins, zero, lambda s, b: F.zip_with(s, F.element_at(table, b), lambda x, y: x + y))
-    n = F.greatest(F.size(_words(text)), F.lit(1))
-    scaled = F.zip_with(F.concat(F.array(F.lit(0.0)), sums), _literal(priors, "array<double>"), lambda s, p: s * F.least(F.lit(sharpness) / n, F.lit(1.0)) + p)
-    best = F.array_max(scaled)
-    raised = F.transform(scaled, lambda x: F.exp(x - best))
-    return F.transform(raised, lambda x: x / F.aggregate(raised, F.lit(0.0), lambda a, b: a + b))
+    for j, row in enumerate(likelihoods):
+        ratio = _literal([round(x - y, 6) for x, y in zip(row, base, strict=True)], "array<double>")
+        add = lambda r: lambda s, b: s + F.element_at(r, b)
+        rows = rows.withColumn(f"__s{j}", F.aggregate("__bins", F.lit(0.0), add(ratio)) if j else F.lit(0.0))
+    share = F.least(F.lit(sharpness) / F.greatest(F.size("__bins"), F.lit(1)), F.lit(1.0))
+    rows = rows.withColumns({f"__x{j}": F.col(f"__s{j}") * share + prior for j, prior in enumerate(priors)})
+    names = [f"__x{j}" for j in range(len(priors))]
+    rows = rows.withColumn("__best", F.greatest(*names) if len(names) > 1 else F.col(names[0]))
+    rows = rows.withColumns({f"__e{j}": F.exp(F.col(x) - F.col("__best")) for j, x in enumerate(names)})
+    raised = [F.col(f"__e{j}") for j in range(len(names))]
+    total = sum(raised[1:], raised[0])
+    rows = rows.withColumn("tokens", F.size("__bins").cast("long")).withColumn("p", F.array(*[x / total for x in raised]))
+    return rows.drop("__bins", "__best", *[f"__{k}{j}" for k in "sxe" for j in range(len(names))])
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -125,9 +134,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     targets = targets or TARGETS
     domains = sorted(targets)
     priors, likelihoods = fit_bayes(docs, domains_of(labels), domains)
-    rows = docs.select(
-        "doc_id", F.xxhash64("text").alias("text_hash"), F.size(_words(F.col("text"))).cast("long").alias("tokens"), posteriors(F.col("text"), priors, likelihoods).alias("p")
-    )
+    rows = with_posteriors(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").alias("__text")), "__text", priors, likelihoods).drop("__text")
     rows = stored(rows)
     total = rows.agg(F.sum("tokens")).first()[0] or 0
     weight = sum(targets.values())
