@@ -13,6 +13,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+_WRITTEN: list[str] = []
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the tables that operators of this process stored. Call it once results are written: until then they may be read."""
+    jvm = spark.sparkContext._jvm
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch(spark: SparkSession) -> str:
     """A new path in the shared folder that the cluster names in spark.checkpoint.dir.
 
@@ -22,7 +33,8 @@ def scratch(spark: SparkSession) -> str:
     if not base:
         base = tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
+    _WRITTEN.append(f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
 
 
 def stored(df: DataFrame) -> DataFrame:
