@@ -225,9 +225,11 @@ def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     spark, left = docs.sparkSession, length - PREFIX
     width = shuffle_width(spark)
     ranges = width * RANGES_PER_PARTITION
-    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept", "_hash", "_home")
-    keyed = docs.withColumn("_hash", F.xxhash64(text)).withColumn("_home", F.pmod(F.xxhash64(key, "_hash"), F.lit(width)).cast("int"))
-    lean = keyed.select(F.col(key).cast("long").alias("doc"), "_hash", "_home", F.col(text).alias("text")).filter(F.col("doc").isNotNull() & (F.octet_length("text") >= length))
+    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept")
+    # Rows are told apart by their key; only where keys repeat does a hash of the text travel along.
+    repeated = docs.filter(F.col(key).isNotNull()).groupBy(key).count().filter("count > 1").limit(1).count()
+    keyed = docs.withColumn("__hash", F.xxhash64(text) if repeated else F.lit(0).cast("long")).withColumn("__home", F.pmod(F.xxhash64(key, "__hash"), F.lit(width)).cast("int"))
+    lean = keyed.select(F.col(key).cast("long").alias("doc"), "__hash", "__home", F.col(text).alias("text")).filter(F.col("doc").isNotNull() & (F.octet_length("text") >= length))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -313,7 +315,7 @@ def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", le
         options = pa.ipc.IpcWriteOptions(compression="zstd")
         for batch in batches:
             rows = []
-            for home, part in spread(batch.column(batch.schema.get_field_index("_home")).to_numpy()):
+            for home, part in spread(batch.column(batch.schema.get_field_index("__home")).to_numpy()):
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, batch.schema, options=options) as writer:
                     writer.write_batch(batch.take(pa.array(part)))
@@ -387,7 +389,7 @@ def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", le
         def work(found, batch):
             spans, columns = found
             schema = batch.schema
-            keys = zip(batch.column(schema.get_field_index(key)).to_pylist(), batch.column(schema.get_field_index("_hash")).to_pylist(), strict=True)
+            keys = zip(batch.column(schema.get_field_index(key)).to_pylist(), batch.column(schema.get_field_index("__hash")).to_pylist(), strict=True)
             texts, sizes, removed, runs, kept = _texts(batch, text), [], [], [], []
             for k, t in zip(keys, texts, strict=True):
                 sizes.append(len(t))
