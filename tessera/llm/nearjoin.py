@@ -5,11 +5,14 @@ Texts become sets of hashed word 5-grams; texts with one set are one class from
 shortened until the chance to miss a pair at the threshold, (1 - s^depth)^tries, is within 1 - target recall;
 that depth fixes the tries' buckets. Buckets are never expanded into all pairs:
 
-  round 1: every member of a bucket is verified against the bucket's smallest document;
+  round 1: every member of a bucket is verified against the member that meets most documents in all its buckets (ties: the
+  smallest id), so an original goes before its copies;
   round 2: where verified links leave several components in one bucket, the smallest member of each component is
   verified against all members outside it, a block of components at a time, until all blocks are done.
 
-Verification compares whole shingle sets; sets whose sizes alone rule the threshold out are not compared.
+Verification compares whole shingle sets; sets whose sizes alone rule the threshold out are not compared, nor are those whose
+sketches (one bit of each of many minima) differ by six standard deviations more than sets at the threshold do: 256 bits from the
+tries' minima in round 1, 2048 bits in round 2, which only the documents that are left there get.
 Links of both rounds make the components, found by label propagation with pointer jumping over stored tables.
 """
 
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import mix64, stored
 
-WORDS, THRESHOLD, TRIES, LONGEST, RECALL, BLOCK = 5, 0.8, 20, 6, 0.9999, 64
+WORDS, THRESHOLD, TRIES, LONGEST, RECALL, BLOCK, SKETCH, WIDE = 5, 0.8, 60, 10, 0.9999, 64, 256, 2048
 PASS_BYTES = 4 << 20
 _BASE = 0x2545F4914F6CDD1D
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -81,23 +84,52 @@ def shingles(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.nda
     return np.concatenate(parts) if parts else np.empty(0, np.uint64), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
 
 
-def bucket_keys(hashes: np.ndarray, offsets: np.ndarray, tries: int, depth: int) -> np.ndarray:
-    """(texts, tries): the key of each text's prefix in each trie; rows of texts without shingles mean nothing."""
+def bucket_keys(hashes: np.ndarray, offsets: np.ndarray, tries: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(texts, tries): the key of each text's prefix in each trie; (texts, SKETCH / 64): bits of its first minima, again and again if there are fewer.
+
+    Rows of texts without shingles mean nothing.
+    """
     filled = np.flatnonzero(np.diff(offsets))
-    out = np.zeros((len(offsets) - 1, tries), dtype=np.uint64)
+    keys, sketch = np.zeros((len(offsets) - 1, tries), dtype=np.uint64), np.zeros((len(offsets) - 1, SKETCH // 64), dtype=np.uint64)
     if not len(filled):
-        return out
+        return keys, sketch
     seeds = mix64(np.arange(1, 2 * tries * LONGEST + 1, dtype=np.uint64)).reshape(tries, LONGEST, 2)
+    drawn = 0
     for t in range(tries):
         key = np.full(len(filled), t + 1, dtype=np.uint64)
         for d in range(depth):
             value = (hashes ^ seeds[t, d, 1]) * (seeds[t, d, 0] | np.uint64(1))
             value ^= value >> np.uint64(32)
-            key = mix64(key * np.uint64(_BASE) + np.minimum.reduceat(value, offsets[filled]))
-        out[filled, t] = key
+            least = np.minimum.reduceat(value, offsets[filled])
+            key = mix64(key * np.uint64(_BASE) + least)
+            if drawn < SKETCH:
+                bit = (mix64(least) >> np.uint64(17)) & np.uint64(1)
+                sketch[filled, drawn // 64] |= bit << np.uint64(drawn % 64)
+                drawn += 1
+        keys[filled, t] = key
+    return keys, sketch
+
+
+def wide_sketches(hashes: np.ndarray, offsets: np.ndarray, bits: int = WIDE) -> np.ndarray:
+    """(texts, bits / 64): one bit of each of `bits` minima of other hash functions; no text may be without shingles."""
+    out = np.zeros((len(offsets) - 1, bits // 64), dtype=np.uint64)
+    if not len(out):
+        return out
+    seeds = mix64(np.arange(1 << 20, (1 << 20) + 2 * bits, dtype=np.uint64)).reshape(bits, 2)
+    for i in range(bits):
+        value = (hashes ^ seeds[i, 1]) * (seeds[i, 0] | np.uint64(1))
+        value ^= value >> np.uint64(32)
+        bit = (mix64(np.minimum.reduceat(value, offsets[:-1])) >> np.uint64(17)) & np.uint64(1)
+        out[:, i // 64] |= bit << np.uint64(i % 64)
     return out
 
 
+def far_apart(threshold: float, bits: int = SKETCH, deviations: float = 6.0) -> int:
+    """The most bits in which sketches of sets at the threshold differ."""
+    p = (1 - threshold) / 2
+    return int(bits * p + deviations * (bits * p * (1 - p)) ** 0.5)
+
+
 def _texts(batch: pa.RecordBatch, column: int) -> list[bytes]:
     return [(x.as_py() or "").lower().encode("utf-8", "surrogatepass") for x in batch.column(column)]
 
@@ -114,7 +146,7 @@ def _passes(texts: list[bytes]) -> Iterator[tuple[int, int]]:
 
 
 def signatures(docs: DataFrame, words: int, tries: int, depth: int) -> DataFrame:
-    """(doc_id, set_a, set_b, n, buckets) of each (doc_id, text): a 128-bit key of the shingle set, its size, its buckets."""
+    """(doc_id, set_a, set_b, n, buckets, sketch) of each (doc_id, text): a 128-bit key of the shingle set, its size, buckets and sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,15 +154,15 @@ def signatures(docs: DataFrame, words: int, tries: int, depth: int) -> DataFrame
             for a, b in _passes(texts):
                 hashes, offsets = shingles(texts[a:b], words)
                 n = np.diff(offsets)
-                keys = bucket_keys(hashes, offsets, tries, depth)
+                keys, sketch = bucket_keys(hashes, offsets, tries, depth)
                 sums = np.zeros((len(hashes) + 1, 2), dtype=np.uint64)
                 np.cumsum(hashes, out=sums[1:, 0])
                 np.cumsum(mix64(hashes), out=sums[1:, 1])
                 sets = (sums[offsets[1:]] - sums[offsets[:-1]]).view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a + 1) * tries, tries), pa.int32()), pa.array(keys.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets[:, 0]), pa.array(sets[:, 1]), pa.array(n, pa.int32()), lists], names=["doc_id", "set_a", "set_b", "n", "buckets"])
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.view(np.int64).ravel())) for x in (keys, sketch)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets[:, 0]), pa.array(sets[:, 1]), pa.array(n, pa.int32()), *lists], names=["doc_id", "set_a", "set_b", "n", "buckets", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, set_a long, set_b long, n int, buckets array<long>")
+    return docs.mapInArrow(run, "doc_id long, set_a long, set_b long, n int, buckets array<long>, sketch array<long>")
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -146,6 +178,22 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, shingles array<long>")
 
 
+def sketched(sets: DataFrame) -> DataFrame:
+    """(rep, sketch) of each (doc_id, shingles): the wide sketch of each set, none of them empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                lists = part.column(1).to_pylist()
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
+                sketch = wide_sketches(np.concatenate([np.array(x, dtype=np.int64) for x in lists]).view(np.uint64), offsets)
+                values = pa.ListArray.from_arrays(pa.array(np.arange(0, sketch.size + 1, sketch.shape[1]), pa.int32()), pa.array(sketch.view(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0), values], names=["rep", "sketch"])
+
+    return sets.select("doc_id", "shingles").mapInArrow(run, "rep long, sketch array<long>")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, label) of every id in `links` (a, b): the smallest id of its component."""
     both = stored(links.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("id"), F.col("a").alias("other"))).distinct())
@@ -182,32 +230,43 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = stored(signatures(docs, words, tries, depth))
     known = rows.filter("doc_id is not null and n > 0")
-    sets = stored(known.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("buckets").alias("buckets")))
-    members = sets.select("rep", "n", F.explode("buckets").alias("bucket"))
-    heads = members.groupBy("bucket").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    shared = stored(members.join(heads, "bucket").select("bucket", "rep", "n", "head"))
-    sizes = sets.select(F.col("rep").alias("a"), F.col("n").alias("n_a"))
-    possible = F.least("n", "n_a") >= F.lit(threshold) * F.greatest("n", "n_a")
-
-    first = stored(shared.filter("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b"), "n").distinct())
+    sets = stored(known.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("buckets").alias("buckets"), F.first("sketch").alias("sketch")))
+    members = sets.select("rep", F.explode("buckets").alias("bucket"))
+    several = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low <> high")
+    met = stored(members.join(several.select("bucket", "size"), "bucket"))
+    known_by = met.groupBy("rep").agg(F.sum("size").alias("meets"))
+    heads = met.join(known_by, "rep").groupBy("bucket").agg(F.max(F.struct("meets", (-F.col("rep")).alias("minus"))).alias("x"))
+    shared = stored(met.join(heads.select("bucket", (-F.col("x.minus")).alias("head")), "bucket").select("bucket", "rep", "head"))
+    sizes = sets.groupBy("rep").agg(F.min(F.struct("n", "sketch")).alias("x")).select("rep", "x.n", "x.sketch")
+    other = sizes.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
+    differ = F.aggregate(F.zip_with("sketch", "sketch_a", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    possible = lambda bits: (F.least("n", "n_a") >= F.lit(threshold) * F.greatest("n", "n_a")) & (differ <= far_apart(threshold, bits))
+
+    first = stored(shared.filter("rep <> head").select(F.col("head").alias("a"), "rep").distinct().join(sizes, "rep").join(other, "a").filter(possible(SKETCH)).select("a", F.col("rep").alias("b")))
     wanted = shared.select(F.col("rep").alias("doc_id")).distinct()
-    vectors = stored(shingle_sets(docs.join(wanted, "doc_id", "left_semi"), words).dropDuplicates(["doc_id"]))
-    links = stored(verified(first.join(sizes, "a").filter(possible).select("a", "b"), vectors, threshold))
+    vectors = shingle_sets(docs.join(wanted, "doc_id", "left_semi"), words)
+    if known.count() != known.select("doc_id").distinct().count():
+        vectors = vectors.dropDuplicates(["doc_id"])
+    vectors = stored(vectors)
+    links = stored(verified(first, vectors, threshold))
 
     labels = components(links)
-    placed = shared.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("bucket", "rep", "n", F.coalesce("label", "rep").alias("label"))
-    parts = placed.groupBy("bucket", "label").agg(F.min("rep").alias("a"))
-    split = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    open_ = stored(placed.join(split.select("bucket"), "bucket", "left_semi"))
+    placed = shared.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("bucket", "rep", F.coalesce("label", "rep").alias("label"))
+    split = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+    apart = stored(placed.join(split.select("bucket"), "bucket", "left_semi"))
+    wide = stored(sketched(vectors.join(apart.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")))
+    open_ = stored(apart.join(sizes.select("rep", "n"), "rep").join(wide, "rep"))
     # Components of one bucket are dealt to rounds by a hash, `block` of them a round on average.
     rounds = open_.select("bucket", "label").distinct().groupBy("bucket").count().agg(F.max("count")).first()[0]
     rounds = max(1, -(-(rounds or 0) // block))
-    ends = stored(open_.groupBy("bucket", "label").agg(F.min("rep").alias("a"), F.min_by("n", "rep").alias("n_a")))
+    ends = open_.groupBy("bucket", "label").agg(F.min(F.struct("rep", "n", "sketch")).alias("x"))
+    ends = stored(ends.select("bucket", F.col("label").alias("label_a"), F.col("x.rep").alias("a"), F.col("x.n").alias("n_a"), F.col("x.sketch").alias("sketch_a")))
     done = first.select("a", "b")
     for turn in range(rounds):
-        mine = ends.filter(F.pmod(F.xxhash64("label"), F.lit(rounds)) == turn).withColumnRenamed("label", "label_a")
-        pairs = open_.join(mine, "bucket").filter((F.col("label") != F.col("label_a")) & possible)
-        pairs = pairs.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
+        mine = ends.filter(F.pmod(F.xxhash64("label_a"), F.lit(rounds)) == turn)
+        pairs = open_.join(mine, "bucket").filter((F.col("label") != F.col("label_a")) & possible(WIDE))
+        pairs = pairs.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
+        pairs = pairs.join(done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
         links = links.unionByName(stored(verified(pairs, vectors, threshold)))
     links = links.select("a", "b").distinct()
     labels = components(links)
