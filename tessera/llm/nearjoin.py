@@ -7,13 +7,17 @@ that depth fixes the tries' buckets. Buckets are never expanded into all pairs:
 
   round 1: every member of a bucket is verified against the member that meets most documents in all its buckets (ties: the
   smallest id), so an original goes before its copies;
-  round 2: where verified links leave several components in one bucket, the smallest member of each component is
-  verified against all members outside it, a block of components at a time, until all blocks are done.
+  round 2: where verified links leave several components in one bucket, every member is compared with all members of
+  other components, a block of members against another block in each task.
 
 Verification compares whole shingle sets; sets whose sizes alone rule the threshold out are not compared, nor are those whose
 sketches (one bit of each of many minima) differ by six standard deviations more than sets at the threshold do: 256 bits from the
 tries' minima in round 1, 2048 bits in round 2, which only the documents that are left there get.
 Links of both rounds make the components, found by label propagation with pointer jumping over stored tables.
+
+All links lie within components, so they are counted there, block against block again: a task holds two blocks of shingle
+sets, counts what is common by a matrix product, and returns one number for each set and not its pairs. Copies are not
+expanded: a set counts as many times as it has rows.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import mix64, stored
 
-WORDS, THRESHOLD, TRIES, LONGEST, RECALL, BLOCK, SKETCH, WIDE = 5, 0.8, 60, 10, 0.9999, 64, 256, 2048
+WORDS, THRESHOLD, TRIES, LONGEST, RECALL, BLOCK, SKETCH, WIDE = 5, 0.8, 60, 10, 0.9999, 512, 256, 2048
 PASS_BYTES = 4 << 20
 _BASE = 0x2545F4914F6CDD1D
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -219,30 +223,128 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", similarity.alias("similarity")).filter(F.col("similarity") >= threshold)
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, tries: int = TRIES, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The rows of each group of equal leading `keys` columns (no nulls); a group's rows follow each other."""
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = rows if held is None else pa.concat_tables([held, rows])
+        values = [rows.column(k).to_numpy() for k in range(keys)]
+        starts = np.flatnonzero(np.any([v[1:] != v[:-1] for v in values], axis=0)) + 1 if rows.num_rows > 1 else np.empty(0, np.int64)
+        at = 0
+        for start in starts:
+            yield rows.slice(at, int(start) - at)
+            at = int(start)
+        held = rows.slice(at)
+    if held is not None and held.num_rows:
+        yield held
+
+
+def in_blocks(members: DataFrame, group: str, block: int) -> DataFrame:
+    """`members` (`group`, rep, ...) with columns i, j, own in front: each goes to all pairs of blocks of its group that hold its own.
+
+    Blocks hold `block` members on average; the rows of one (group, i, j) are in one partition and follow each other.
+    """
+    sizes = members.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    rest = [c for c in members.columns if c != group]
+    dealt = members.join(sizes, group).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select(group, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", *rest)
+    return dealt.repartition(group, "i", "j").sortWithinPartitions(group, "i", "j")
+
+
+def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, lengths) of a column of lists."""
+    column = column.combine_chunks()
+    column = column if isinstance(column, pa.Array) else pa.concat_arrays(column.chunks)
+    return column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy())
+
+
+def candidates(members: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(a, b), a < b, of the (bucket, rep, label, n, sketch) that meet in a bucket, have different labels and may be similar; some come twice."""
+    most = far_apart(threshold, WIDE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, 3):
+            i, j, own, rep, label, n = (rows.column(c).to_numpy() for c in ("i", "j", "own", "rep", "label", "n"))
+            sketch = _lists(rows.column("sketch"))[0].view(np.uint64).reshape(len(rep), -1)
+            names, place, counts = np.unique(label, return_inverse=True, return_counts=True)
+            left, right = [], []
+            for x in np.flatnonzero(place != np.argmax(counts)):  # pairs within the most frequent label don't count
+                with_x = (label != label[x]) & ((own != own[x]) | (i[0] == j[0])) & (np.minimum(n, n[x]) >= threshold * np.maximum(n, n[x]))
+                y = np.flatnonzero(with_x)
+                y = y[np.bitwise_count(sketch[y] ^ sketch[x]).sum(axis=1, dtype=np.int32) <= most]
+                left.append(np.minimum(rep[y], rep[x]))
+                right.append(np.maximum(rep[y], rep[x]))
+            if left:
+                pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    return in_blocks(members, "bucket", block).mapInArrow(run, "a long, b long")
+
+
+def _common(values: np.ndarray, lengths: np.ndarray, a: np.ndarray, b: np.ndarray, step: int = 4096) -> np.ndarray:
+    """How many values lists `a` and `b` (indices) have in common, as a matrix; `step` distinct values are held at a time."""
+    _, column, counts = np.unique(values, return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    met = counts > 1
+    column, row = (np.cumsum(met) - 1)[column[met[column]]], row[met[column]]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    out = np.zeros((len(a), len(b)))
+    for low in range(0, int(met.sum()), step):
+        first, last = np.searchsorted(column, [low, low + step])
+        part = np.zeros((len(lengths), step), dtype=np.float32)
+        part[row[first:last], column[first:last] - low] = 1
+        out += part[a] @ part[b].T
+    return out
+
+
+def link_counts(members: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(rep, links) of (label, rep, rows, shingles): the rows of the other sets of its label at or above the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, 3):
+            i, j, own, rep, rows = (group.column(c).to_numpy() for c in ("i", "j", "own", "rep", "rows"))
+            values, n = _lists(group.column("shingles"))
+            a, b = np.flatnonzero(own == i), np.flatnonzero(own == j)
+            common = _common(values, n, a, b)
+            linked = common / (n[a][:, None] + n[b][None, :] - common) >= threshold
+            if i[0] == j[0]:
+                np.fill_diagonal(linked, False)
+                yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(linked @ rows)], names=["rep", "links"])
+            else:
+                links = np.concatenate([linked @ rows[b], rows[a] @ linked])
+                yield pa.RecordBatch.from_arrays([pa.array(rep[np.concatenate([a, b])]), pa.array(links)], names=["rep", "links"])
+
+    return in_blocks(members, "label", block).mapInArrow(run, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, tries: int = TRIES, recall: float = RECALL, block: int = BLOCK, count_links: bool = True) -> DataFrame:
     """(doc_id, class_id, n_links) for every row of `docs` (doc_id, text).
 
-    class_id is the smallest doc_id of the component; n_links counts the verified links of the row's shingle set to
-    other sets. Texts without words (null and empty ones too) are classes of their own, as are rows with a null id,
-    whose class is null. Repeated rows get the same result each. Other columns are not read.
+    class_id is the smallest doc_id of the component; n_links counts the other rows with an id whose shingle sets have at least
+    the threshold's similarity with the row's own, copies among them (without `count_links` there is no such column). Texts
+    without words (null and empty ones too) are classes of their own without links, as are rows with a null id,
+    whose class is null. Repeated rows get the same result each, and link to each other. Other columns are not read.
     """
     depth = depth_for(threshold, tries, recall=recall)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = stored(signatures(docs, words, tries, depth))
     known = rows.filter("doc_id is not null and n > 0")
-    sets = stored(known.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("buckets").alias("buckets"), F.first("sketch").alias("sketch")))
+    sets = stored(known.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"), F.first("buckets").alias("buckets"), F.first("sketch").alias("sketch")))
     members = sets.select("rep", F.explode("buckets").alias("bucket"))
     several = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low <> high")
     met = stored(members.join(several.select("bucket", "size"), "bucket"))
     known_by = met.groupBy("rep").agg(F.sum("size").alias("meets"))
     heads = met.join(known_by, "rep").groupBy("bucket").agg(F.max(F.struct("meets", (-F.col("rep")).alias("minus"))).alias("x"))
     shared = stored(met.join(heads.select("bucket", (-F.col("x.minus")).alias("head")), "bucket").select("bucket", "rep", "head"))
-    sizes = sets.groupBy("rep").agg(F.min(F.struct("n", "sketch")).alias("x")).select("rep", "x.n", "x.sketch")
+    sizes = sets.groupBy("rep").agg(F.min(F.struct("n", "sketch")).alias("x"), F.sum("rows").alias("rows")).select("rep", "x.n", "x.sketch", "rows")
     other = sizes.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
     differ = F.aggregate(F.zip_with("sketch", "sketch_a", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    possible = lambda bits: (F.least("n", "n_a") >= F.lit(threshold) * F.greatest("n", "n_a")) & (differ <= far_apart(threshold, bits))
+    possible = (F.least("n", "n_a") >= F.lit(threshold) * F.greatest("n", "n_a")) & (differ <= far_apart(threshold))
 
-    first = stored(shared.filter("rep <> head").select(F.col("head").alias("a"), "rep").distinct().join(sizes, "rep").join(other, "a").filter(possible(SKETCH)).select("a", F.col("rep").alias("b")))
+    first = stored(shared.filter("rep <> head").select(F.col("head").alias("a"), "rep").distinct().join(sizes, "rep").join(other, "a").filter(possible).select("a", F.col("rep").alias("b")))
     wanted = shared.select(F.col("rep").alias("doc_id")).distinct()
     vectors = shingle_sets(docs.join(wanted, "doc_id", "left_semi"), words)
     if known.count() != known.select("doc_id").distinct().count():
@@ -255,32 +357,26 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     split = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
     apart = stored(placed.join(split.select("bucket"), "bucket", "left_semi"))
     wide = stored(sketched(vectors.join(apart.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")))
-    open_ = stored(apart.join(sizes.select("rep", "n"), "rep").join(wide, "rep"))
-    # Components of one bucket are dealt to rounds by a hash, `block` of them a round on average.
-    rounds = open_.select("bucket", "label").distinct().groupBy("bucket").count().agg(F.max("count")).first()[0]
-    rounds = max(1, -(-(rounds or 0) // block))
-    ends = open_.groupBy("bucket", "label").agg(F.min(F.struct("rep", "n", "sketch")).alias("x"))
-    ends = stored(ends.select("bucket", F.col("label").alias("label_a"), F.col("x.rep").alias("a"), F.col("x.n").alias("n_a"), F.col("x.sketch").alias("sketch_a")))
-    done = first.select("a", "b")
-    for turn in range(rounds):
-        mine = ends.filter(F.pmod(F.xxhash64("label_a"), F.lit(rounds)) == turn)
-        pairs = open_.join(mine, "bucket").filter((F.col("label") != F.col("label_a")) & possible(WIDE))
-        pairs = pairs.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
-        pairs = pairs.join(done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-        links = links.unionByName(stored(verified(pairs, vectors, threshold)))
-    links = links.select("a", "b").distinct()
-    labels = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
-    classes = sets.select("set_a", "set_b", F.col("rep").alias("id")).join(labels, "id", "left").join(degree, "id", "left")
-    classes = classes.select("set_a", "set_b", F.coalesce("label", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    placed_rows = known.join(classes, ["set_a", "set_b"]).select("doc_id", "class_id", "n_links")
+    pairs = candidates(apart.join(sizes.select("rep", "n"), "rep").join(wide, "rep"), threshold, block).distinct()
+    pairs = pairs.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    links = links.unionByName(stored(verified(stored(pairs), vectors, threshold)))
+    labels = stored(components(links.select("a", "b").distinct()))
+
+    classes = sets.select("set_a", "set_b", F.col("rep").alias("id"), "rows").join(labels, "id", "left")
     alone = rows.filter("doc_id is null or n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return placed_rows.unionByName(alone)
+    if not count_links:
+        classes = classes.select("set_a", "set_b", F.coalesce("label", "id").alias("class_id"))
+        return known.join(classes, ["set_a", "set_b"]).select("doc_id", "class_id").unionByName(alone.drop("n_links"))
+    linked = vectors.join(labels.withColumnRenamed("id", "doc_id"), "doc_id").withColumnRenamed("doc_id", "rep").join(sizes.select("rep", "rows"), "rep")
+    counts = stored(link_counts(linked.select("label", "rep", "rows", "shingles"), threshold, block))
+    classes = classes.join(counts.withColumnRenamed("rep", "id"), "id", "left")
+    classes = classes.select("set_a", "set_b", F.coalesce("label", "id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("rows") - 1).alias("n_links"))
+    return known.join(classes, ["set_a", "set_b"]).select("doc_id", "class_id", "n_links").unionByName(alone)
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs` that are the smallest of their class, one for each doc_id; rows with a null id stay."""
-    classes = near_duplicates(docs, **options)
+    classes = near_duplicates(docs, count_links=False, **options)
     kept = classes.filter("doc_id = class_id").select("doc_id").distinct()
     left = docs.filter("doc_id is null").unionByName(docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
     return left

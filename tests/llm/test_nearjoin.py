@@ -17,8 +17,9 @@ def sets_of(texts):
     return out
 
 
-def brute(texts, threshold=0.8):
-    sets, held = sets_of(texts), defaultdict(list)
+def brute(texts, threshold=0.8, counted=False):
+    """Class of each id; (class, links to other rows) if counted."""
+    sets, held, links = sets_of(texts), defaultdict(list), Counter()
     for i, s in sets.items():
         for x in s:
             held[x].append(i)
@@ -32,17 +33,22 @@ def brute(texts, threshold=0.8):
     for i, s in sets.items():
         for j, k in Counter(j for x in s for j in held[x] if j > i).items():
             if k / (len(s) + len(sets[j]) - k) >= threshold:
+                links.update((i, j))
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
-    return {i: find(i) for i in sets}
+    return {i: (find(i), links[i]) if counted else find(i) for i in sets}
 
 
 def classes(df):
     return {r["doc_id"]: r["class_id"] for r in df.collect()}
 
 
+def counted(df):
+    return {r["doc_id"]: (r["class_id"], r["n_links"]) for r in df.collect()}
+
+
 def test_whole_table(spark):
-    assert classes(registry.op8_jaccard(spark, FOLDER)) == brute([(i, t) for i, t, _ in sf_documents()])
+    assert counted(registry.op8_jaccard(spark, FOLDER)) == brute([(i, t) for i, t, _ in sf_documents()], counted=True)
 
 
 def test_planted_groups(spark):
@@ -57,8 +63,19 @@ def test_planted_groups(spark):
             texts.append(" ".join(copy))
     texts += [f"{shared} {prose(('own', i), 60)}" for i in range(80)]  # one passage, nothing else in common
     rng.shuffle(texts)
-    got = nearjoin.near_duplicates(documents(spark, texts))
-    assert classes(got) == brute(list(enumerate(texts)))
+    texts += texts[:9]
+    want = brute(list(enumerate(texts)), counted=True)
+    assert counted(nearjoin.near_duplicates(documents(spark, texts))) == want
+    # Small blocks: groups and buckets are compared block against block.
+    assert counted(nearjoin.near_duplicates(documents(spark, texts), block=3)) == want
+    assert classes(nearjoin.near_duplicates(documents(spark, texts), count_links=False)) == {i: c for i, (c, _) in want.items()}
+
+
+def test_one_chain_of_links(spark):
+    """Each text is similar to its next ones only, so most members of the component are not linked to each other."""
+    words = prose("chain", 400).split()
+    texts = [" ".join(words[i * 6 : i * 6 + 120]) for i in range(40)]
+    assert counted(nearjoin.near_duplicates(documents(spark, texts), block=8)) == brute(list(enumerate(texts)), counted=True)
 
 
 def test_recall_of_the_forest():
@@ -76,7 +93,7 @@ def test_recall_of_the_forest():
 def test_edges(spark):
     rows = nearjoin.near_duplicates(tricky(spark)).collect()
     got = Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in rows)
-    assert got == Counter([(1, 1, 0), (2, 2, 0), (3, 3, 0), (4, 4, 0), (4, 4, 0), (5, 4, 0), (6, 6, 0), (None, None, 0), (7, 7, 0)])
+    assert got == Counter([(1, 1, 0), (2, 2, 0), (3, 3, 0), (4, 4, 2), (4, 4, 2), (5, 4, 2), (6, 6, 0), (None, None, 0), (7, 7, 0)])
     kept = nearjoin.one_of_each(tricky(spark))
     assert kept.columns == tricky(spark).columns and Counter(r["doc_id"] for r in kept.collect()) == Counter([1, 2, 3, 4, 6, 7, None])
     assert nearjoin.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
