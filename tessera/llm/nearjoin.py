@@ -7,17 +7,18 @@ that depth fixes the tries' buckets. Buckets are never expanded into all pairs:
 
   round 1: every member of a bucket is verified against the member that meets most documents in all its buckets (ties: the
   smallest id), so an original goes before its copies;
-  round 2: where verified links leave several components in one bucket, every member is compared with all members of
-  other components, a block of members against another block in each task.
+  round 2: where verified links leave several components in one bucket, members of different components are compared by
+  sketches, a block of members against another block in each task. Components that may hold a link between each other become one
+  group; a task sends at most one row for each component it joins, and not the pairs.
+
+All links lie within these groups, so there every set is compared with every other, block against block again: a task holds two
+blocks of shingle sets, counts what is common by a matrix product and returns one row for each set: its number of links and the
+smallest set that it hangs together with. These rows make the classes and the counts. Copies are not expanded: a set counts as many times as it has rows.
 
 Verification compares whole shingle sets; sets whose sizes alone rule the threshold out are not compared, nor are those whose
 sketches (one bit of each of many minima) differ by six standard deviations more than sets at the threshold do: 256 bits from the
 tries' minima in round 1, 2048 bits in round 2, which only the documents that are left there get.
-Links of both rounds make the components, found by label propagation with pointer jumping over stored tables.
-
-All links lie within components, so they are counted there, block against block again: a task holds two blocks of shingle
-sets, counts what is common by a matrix product, and returns one number for each set and not its pairs. Copies are not
-expanded: a set counts as many times as it has rows.
+Components are found by label propagation with pointer jumping over stored tables.
 """
 
 from __future__ import annotations
@@ -260,25 +261,25 @@ def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy())
 
 
-def candidates(members: DataFrame, threshold: float, block: int) -> DataFrame:
-    """(a, b), a < b, of the (bucket, rep, label, n, sketch) that meet in a bucket, have different labels and may be similar; some come twice."""
+def joined(members: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(a, b): labels that hang together by members that meet in a bucket and may be similar; of (bucket, rep, label, n, sketch)."""
     most = far_apart(threshold, WIDE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _groups(batches, 3):
-            i, j, own, rep, label, n = (rows.column(c).to_numpy() for c in ("i", "j", "own", "rep", "label", "n"))
-            sketch = _lists(rows.column("sketch"))[0].view(np.uint64).reshape(len(rep), -1)
+            own, label, n = (rows.column(c).to_numpy() for c in ("own", "label", "n"))
+            sketch = _lists(rows.column("sketch"))[0].view(np.uint64).reshape(len(own), -1)
             names, place, counts = np.unique(label, return_inverse=True, return_counts=True)
-            left, right = [], []
-            for x in np.flatnonzero(place != np.argmax(counts)):  # pairs within the most frequent label don't count
-                with_x = (label != label[x]) & ((own != own[x]) | (i[0] == j[0])) & (np.minimum(n, n[x]) >= threshold * np.maximum(n, n[x]))
-                y = np.flatnonzero(with_x)
+            root = place.copy()
+            for x in np.flatnonzero(place != np.argmax(counts)):  # each pair of different labels has an end outside the most frequent one
+                y = np.flatnonzero((root != root[x]) & (np.minimum(n, n[x]) >= threshold * np.maximum(n, n[x])))
                 y = y[np.bitwise_count(sketch[y] ^ sketch[x]).sum(axis=1, dtype=np.int32) <= most]
-                left.append(np.minimum(rep[y], rep[x]))
-                right.append(np.maximum(rep[y], rep[x]))
-            if left:
-                pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+                if len(y):
+                    met = np.unique(np.append(root[y], root[x]))
+                    root[np.isin(root, met)] = met[0]
+            moved = np.unique(np.stack([root, place])[:, root != place], axis=1)
+            if moved.size:
+                yield pa.RecordBatch.from_arrays([pa.array(names[moved[0]]), pa.array(names[moved[1]])], names=["a", "b"])
 
     return in_blocks(members, "bucket", block).mapInArrow(run, "a long, b long")
 
@@ -300,8 +301,10 @@ def _common(values: np.ndarray, lengths: np.ndarray, a: np.ndarray, b: np.ndarra
     return out
 
 
-def link_counts(members: DataFrame, threshold: float, block: int) -> DataFrame:
-    """(rep, links) of (label, rep, rows, shingles): the rows of the other sets of its label at or above the threshold."""
+def linked(members: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(rep, near, links) of (label, rep, rows, shingles), one for each pair of blocks: the rows of those sets there that are at or
+    above the threshold, and the smallest set there that a chain of such links leads to (rep itself, if to none smaller).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, 3):
@@ -309,22 +312,27 @@ def link_counts(members: DataFrame, threshold: float, block: int) -> DataFrame:
             values, n = _lists(group.column("shingles"))
             a, b = np.flatnonzero(own == i), np.flatnonzero(own == j)
             common = _common(values, n, a, b)
-            linked = common / (n[a][:, None] + n[b][None, :] - common) >= threshold
-            if i[0] == j[0]:
-                np.fill_diagonal(linked, False)
-                yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(linked @ rows)], names=["rep", "links"])
-            else:
-                links = np.concatenate([linked @ rows[b], rows[a] @ linked])
-                yield pa.RecordBatch.from_arrays([pa.array(rep[np.concatenate([a, b])]), pa.array(links)], names=["rep", "links"])
-
-    return in_blocks(members, "label", block).mapInArrow(run, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
-
-
-def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, tries: int = TRIES, recall: float = RECALL, block: int = BLOCK, count_links: bool = True) -> DataFrame:
+            links = np.zeros((len(rep), len(rep)), dtype=bool)
+            links[np.ix_(a, b)] = common / (n[a][:, None] + n[b][None, :] - common) >= threshold
+            links |= links.T
+            np.fill_diagonal(links, False)
+            by_rep = np.argsort(rep)
+            links = links[np.ix_(by_rep, by_rep)]
+            rep, near, before = rep[by_rep], np.arange(len(rep)), None
+            while before is None or (near != before).any():
+                before = near
+                near = np.minimum(near, np.where(links, near[None, :], len(rep)).min(axis=1, initial=len(rep)))
+                near = near[near]
+            yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(rep[near]), pa.array(links @ rows[by_rep])], names=["rep", "near", "links"])
+
+    return in_blocks(members, "label", block).mapInArrow(run, "rep long, near long, links long")
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, tries: int = TRIES, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """(doc_id, class_id, n_links) for every row of `docs` (doc_id, text).
 
     class_id is the smallest doc_id of the component; n_links counts the other rows with an id whose shingle sets have at least
-    the threshold's similarity with the row's own, copies among them (without `count_links` there is no such column). Texts
+    the threshold's similarity with the row's own, copies among them. Texts
     without words (null and empty ones too) are classes of their own without links, as are rows with a null id,
     whose class is null. Repeated rows get the same result each, and link to each other. Other columns are not read.
     """
@@ -357,26 +365,23 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     split = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
     apart = stored(placed.join(split.select("bucket"), "bucket", "left_semi"))
     wide = stored(sketched(vectors.join(apart.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")))
-    pairs = candidates(apart.join(sizes.select("rep", "n"), "rep").join(wide, "rep"), threshold, block).distinct()
-    pairs = pairs.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    links = links.unionByName(stored(verified(stored(pairs), vectors, threshold)))
-    labels = stored(components(links.select("a", "b").distinct()))
-
-    classes = sets.select("set_a", "set_b", F.col("rep").alias("id"), "rows").join(labels, "id", "left")
-    alone = rows.filter("doc_id is null or n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    if not count_links:
-        classes = classes.select("set_a", "set_b", F.coalesce("label", "id").alias("class_id"))
-        return known.join(classes, ["set_a", "set_b"]).select("doc_id", "class_id").unionByName(alone.drop("n_links"))
-    linked = vectors.join(labels.withColumnRenamed("id", "doc_id"), "doc_id").withColumnRenamed("doc_id", "rep").join(sizes.select("rep", "rows"), "rep")
-    counts = stored(link_counts(linked.select("label", "rep", "rows", "shingles"), threshold, block))
-    classes = classes.join(counts.withColumnRenamed("rep", "id"), "id", "left")
+    maybe = joined(apart.join(sizes.select("rep", "n"), "rep").join(wide, "rep"), threshold, block)
+    groups = components(stored(links.select("a", "b").unionByName(maybe)))
+    held = vectors.join(groups.withColumnRenamed("id", "doc_id"), "doc_id").withColumnRenamed("doc_id", "rep").join(sizes.select("rep", "rows"), "rep")
+    found = stored(linked(held.select("label", "rep", "rows", "shingles"), threshold, block))
+
+    labels = components(found.filter("near <> rep").select(F.col("rep").alias("a"), F.col("near").alias("b")))
+    counts = found.groupBy(F.col("rep").alias("id")).agg(F.sum("links").alias("links"))
+    classes = sets.select("set_a", "set_b", F.col("rep").alias("id"), "rows").join(labels, "id", "left").join(counts, "id", "left")
     classes = classes.select("set_a", "set_b", F.coalesce("label", "id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("rows") - 1).alias("n_links"))
-    return known.join(classes, ["set_a", "set_b"]).select("doc_id", "class_id", "n_links").unionByName(alone)
+    placed_rows = known.join(classes, ["set_a", "set_b"]).select("doc_id", "class_id", "n_links")
+    alone = rows.filter("doc_id is null or n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return placed_rows.unionByName(alone)
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs` that are the smallest of their class, one for each doc_id; rows with a null id stay."""
-    classes = near_duplicates(docs, count_links=False, **options)
+    classes = near_duplicates(docs, **options)
     kept = classes.filter("doc_id = class_id").select("doc_id").distinct()
     left = docs.filter("doc_id is null").unionByName(docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
     return left
