@@ -89,6 +89,49 @@ WITH v AS (
 ) SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
+OP5_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), b AS (
+  SELECT r, doc_id, 500 * j AS base, substr(h, 1000 * j + 1, 1098) AS h FROM (SELECT r, doc_id, h, unnest(range((length(h) + 999) // 1000)) AS j FROM d)
+), w AS (
+  SELECT r, doc_id, base + i AS i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT r, doc_id, base, h, unnest(range(least(500, length(h) // 2 - 49))) AS i FROM b)
+), m AS (
+  SELECT s, min(doc_id) AS least FROM w GROUP BY s
+), gone AS (
+  SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 50 THEN 0 ELSE 1 END AS opens FROM w JOIN m USING (s) WHERE least < doc_id
+), spans AS (
+  SELECT r, min(i) AS low, max(i) + 50 AS high FROM (SELECT r, i, sum(opens) OVER (PARTITION BY r ORDER BY i) AS span FROM gone) GROUP BY r, span
+), cut AS (
+  SELECT r, low, high, coalesce(lag(high) OVER (PARTITION BY r ORDER BY low), 0) AS kept_from FROM spans
+), kept AS (
+  SELECT r, string_agg(substr(h, 2 * kept_from + 1, 2 * (low - kept_from)), '' ORDER BY low) || substr(any_value(h), 2 * max(high) + 1) AS k, sum(high - low) AS removed, count(*) AS n
+  FROM cut JOIN d USING (r) GROUP BY r
+) SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+  FROM d LEFT JOIN kept USING (r)
+"""
+
+OP8_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10FFFF}]+') AS words FROM documents WHERE doc_id IS NOT NULL
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) >= 5 THEN list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))
+                                      WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS shingle FROM w
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE k / (x.n + y.n - k) >= 0.8
+), reach AS (
+  SELECT doc_id AS id, doc_id AS other FROM documents UNION SELECT id, b FROM reach JOIN links ON other = a
+), class AS (
+  SELECT id, min(other) AS class_id FROM reach GROUP BY id
+), degree AS (
+  SELECT a, count(*) AS n_links FROM links GROUP BY a
+) SELECT doc_id, class_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links FROM documents LEFT JOIN class ON id = doc_id LEFT JOIN degree ON a = doc_id
+"""
+
 OP10_SQL = """
 WITH r(verdict, rhost, rpath) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
 p AS (
@@ -102,4 +145,4 @@ p AS (
 ) SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE n = 1
 """
 
-ORACLES: dict[str, str] = {"op3_topk": OP3_SQL, "op10_urls": OP10_SQL}
+ORACLES: dict[str, str] = {"op3_topk": OP3_SQL, "op5_substrings": OP5_SQL, "op8_jaccard": OP8_SQL, "op10_urls": OP10_SQL}
