@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import mix64, stored
 
 WORDS, THRESHOLD, TRIES, LONGEST, RECALL, BLOCK, SKETCH, WIDE = 5, 0.8, 60, 10, 0.9999, 512, 256, 2048
-PASS_BYTES = 4 << 20
+PASS_BYTES, BLOCK_SHINGLES = 4 << 20, 1 << 20
 _BASE = 0x2545F4914F6CDD1D
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -241,12 +241,16 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield held
 
 
-def in_blocks(members: DataFrame, group: str, block: int) -> DataFrame:
-    """`members` (`group`, rep, ...) with columns i, j, own in front: each goes to all pairs of blocks of its group that hold its own.
+def in_blocks(members: DataFrame, group: str, block: int, shingles: int | None = None) -> DataFrame:
+    """`members` (`group`, rep, n, ...) with columns i, j, own in front: each goes to all pairs of blocks of its group that hold its own.
 
-    Blocks hold `block` members on average; the rows of one (group, i, j) are in one partition and follow each other.
+    Blocks hold at most `block` members on average, and `shingles` shingles (the sum of n) if given, but one member at least; the rows
+    of one (group, i, j) are in one partition and follow each other.
     """
-    sizes = members.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    number = F.ceil(F.count(F.lit(1)) / block)
+    if shingles:
+        number = F.greatest(number, F.least(F.ceil(F.sum("n") / shingles), F.count(F.lit(1))))
+    sizes = members.groupBy(group).agg(number.cast("int").alias("blocks"))
     rest = [c for c in members.columns if c != group]
     dealt = members.join(sizes, group).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -302,7 +306,7 @@ def _common(values: np.ndarray, lengths: np.ndarray, a: np.ndarray, b: np.ndarra
 
 
 def linked(members: DataFrame, threshold: float, block: int) -> DataFrame:
-    """(rep, near, links) of (label, rep, rows, shingles), one for each pair of blocks: the rows of those sets there that are at or
+    """(rep, near, links) of (label, rep, rows, n, shingles), one for each pair of blocks: the rows of those sets there that are at or
     above the threshold, and the smallest set there that a chain of such links leads to (rep itself, if to none smaller).
     """
 
@@ -325,7 +329,7 @@ def linked(members: DataFrame, threshold: float, block: int) -> DataFrame:
                 near = near[near]
             yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(rep[near]), pa.array(links @ rows[by_rep])], names=["rep", "near", "links"])
 
-    return in_blocks(members, "label", block).mapInArrow(run, "rep long, near long, links long")
+    return in_blocks(members, "label", block, BLOCK_SHINGLES).mapInArrow(run, "rep long, near long, links long")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, tries: int = TRIES, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
@@ -367,8 +371,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     wide = stored(sketched(vectors.join(apart.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")))
     maybe = joined(apart.join(sizes.select("rep", "n"), "rep").join(wide, "rep"), threshold, block)
     groups = components(stored(links.select("a", "b").unionByName(maybe)))
-    held = vectors.join(groups.withColumnRenamed("id", "doc_id"), "doc_id").withColumnRenamed("doc_id", "rep").join(sizes.select("rep", "rows"), "rep")
-    found = stored(linked(held.select("label", "rep", "rows", "shingles"), threshold, block))
+    held = vectors.join(groups.withColumnRenamed("id", "doc_id"), "doc_id").withColumnRenamed("doc_id", "rep").join(sizes.select("rep", "rows", "n"), "rep")
+    found = stored(linked(held.select("label", "rep", "rows", "n", "shingles"), threshold, block))
 
     labels = components(found.filter("near <> rep").select(F.col("rep").alias("a"), F.col("near").alias("b")))
     counts = found.groupBy(F.col("rep").alias("id")).agg(F.sum("links").alias("links"))

@@ -66,10 +66,11 @@ def test_planted_groups(spark):
     assert counted(nearjoin.near_duplicates(documents(spark, texts), block=3)) == want
 
 
-def test_one_chain_of_links(spark):
+def test_one_chain_of_links(spark, monkeypatch):
     """Each text is similar to its next ones only, so most members of the component are not linked to each other."""
     words = prose("chain", 400).split()
     texts = [" ".join(words[i * 6 : i * 6 + 120]) for i in range(40)]
+    monkeypatch.setattr(nearjoin, "BLOCK_SHINGLES", 500)
     assert counted(nearjoin.near_duplicates(documents(spark, texts), block=8)) == brute(list(enumerate(texts)), counted=True)
 
 
