@@ -13,8 +13,15 @@ equal windows hold equal anchors, and every window of `length` bytes holds one.
      windows meet and the smallest document of each is found; a mask says which windows of the anchor go.
   3. Masks return to the texts, which lose what the windows cover.
 
-A task that sees one context in several documents sends it for the smallest only, as the others lose all
-of it whatever the rest of the corpus holds. So a passage that a third of all rows share costs one row a task.
+No prefix gathers all its anchors in one task, even where a third of all rows share a passage:
+  - A task that sees one context in several documents sends it for the smallest only, as the others lose all
+    of it whatever the rest of the corpus holds. That folds the inside of a passage. Anchors within 34 bytes of its start or
+    50 of its end have another context in every document and don't fold.
+  - In step 1 a task that sees a prefix in two documents knows it is shared: its range gets two rows with their count,
+    the anchors go straight to their homes.
+  - In step 2 a prefix with more than HOT anchors (counted in step 1) is met window by window: each home takes the smallest
+    document of every window hash (96 bits), and only these meet, dealt by that hash.
+What one document repeats within itself is not folded.
 What is shuffled are compressed arrays, one for each task and range; texts travel once for step 2 and once for step 3.
 """
 
@@ -36,7 +43,9 @@ LENGTH, PREFIX, PAD = 50, 16, 64
 #: Bytes of text that one numpy pass covers, and anchors that one task gathers before it sends them.
 PASS_BYTES, FLUSH = 4 << 20, 2 << 20
 RANGES_PER_PARTITION, SAMPLE_DOCS, SAMPLE_ANCHORS = 2, 8, 8
-MARK, TEXT, ANCHOR, CONTEXT = range(4)
+#: Anchors with one prefix above which their windows are dealt one by one.
+HOT = 1 << 15
+MARK, TEXT, ANCHOR, CONTEXT, SENT_HOME, WINDOW, HOT_PREFIX = range(7)
 SHAPE = pa.schema([("to", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
 SHIPPED = "to int, kind int, blob binary"
 
@@ -165,24 +174,79 @@ def first_of_each(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
-def window_masks(context: np.ndarray, whole: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
-    """Bit a: the window that starts a bytes before the anchor also lies, as far before its anchor, in a smaller document."""
-    left = length - PREFIX
-    base, inverse = np.uint64(0x2545F4914F6CDD1D), np.uint64(pow(0x2545F4914F6CDD1D, -1, 1 << 64))
-    table = mix64(np.arange(1, 257, dtype=np.uint64))
+def shared_here(w0: np.ndarray, w1: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whether each row's prefix lies in two documents; of these prefixes the rows of the smallest and the largest document, and how many rows they have."""
+    order, starts = multikey_order([w0, w1])
+    sizes = np.diff(np.append(starts, len(order)))
+    ranked = order[np.lexsort((doc[order], np.repeat(np.arange(len(starts)), sizes)))]
+    low, high = ranked[starts], ranked[starts + sizes - 1]
+    two = doc[low] != doc[high]
+    shared = np.empty(len(order), dtype=bool)
+    shared[order] = np.repeat(two, sizes)
+    return shared, np.stack([low[two], high[two]]), sizes[two]
+
+
+def is_hot(word: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Whether each row of two words is among the rows of `hot`."""
+    out = np.zeros(len(hot) + len(word), dtype=bool)
+    if len(hot):
+        both = np.concatenate([hot, word])
+        order, starts = multikey_order([both[:, 0], both[:, 1]])
+        out[order] = np.repeat(np.logical_or.reduceat(order < len(hot), starts), np.diff(np.append(starts, len(order))))
+    return out[len(hot) :]
+
+
+def distinct(*columns: np.ndarray) -> np.ndarray:
+    """Positions of one row of each distinct row."""
+    order = np.lexsort(columns[::-1])
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = np.logical_or.reduce([c[order[1:]] != c[order[:-1]] for c in columns])
+    return order[new]
+
+
+def window_hashes(context: np.ndarray, whole: np.ndarray, length: int, base: int = 0x2545F4914F6CDD1D) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(a, rows that have a window a bytes before their anchor, hashes of these windows); the hash depends on the window's bytes alone."""
+    left, inverse = length - PREFIX, pow(base, -1, 1 << 64)
+    table = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(base))
     power = np.cumprod(np.full(context.shape[1], base, dtype=np.uint64))
     prefix = np.zeros((len(context), context.shape[1] + 1), dtype=np.uint64)
     for j in range(context.shape[1]):  # a polynomial over scrambled bytes, modulo 2^64
         prefix[:, j + 1] = prefix[:, j] + table[context[:, j]] * power[j]
-    mask = np.zeros(len(context), dtype=np.uint64)
     for a in range(left + 1):
         have = np.flatnonzero(whole >> np.uint64(a) & np.uint64(1))
-        shift = np.uint64(pow(int(inverse), left - a, 1 << 64))
-        later = ~first_of_each((prefix[have, left - a + length] - prefix[have, left - a]) * shift, doc[have])
+        shift = np.uint64(pow(inverse, left - a, 1 << 64))
+        yield a, have, (prefix[have, left - a + length] - prefix[have, left - a]) * shift
+
+
+def window_masks(context: np.ndarray, whole: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
+    """Bit a: the window that starts a bytes before the anchor also lies, as far before its anchor, in a smaller document."""
+    mask = np.zeros(len(context), dtype=np.uint64)
+    for a, have, h in window_hashes(context, whole, length):
+        later = ~first_of_each(h, doc[have])
         mask[have[later]] |= np.uint64(1) << np.uint64(a)
     return mask
 
 
+def least_windows(context: np.ndarray, whole: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(mask as of window_masks among these rows; row, a, hash and second hash of the windows of the smallest document)."""
+    mask, found = np.zeros(len(context), dtype=np.uint64), []
+    second = window_hashes(context, whole, length, 0x9E3779B97F4A7C15)
+    for (a, have, h), (_, _, h2) in zip(window_hashes(context, whole, length), second, strict=True):
+        first = first_of_each(h, doc[have])
+        mask[have[~first]] |= np.uint64(1) << np.uint64(a)
+        found.append((have[first], np.full(int(first.sum()), a, dtype=np.uint8), h[first], (h2[first] >> np.uint64(32)).astype(np.uint32)))
+    return mask, *(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def later_windows(h: np.ndarray, h2: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Positions of the windows that also lie in a smaller document."""
+    order, starts = multikey_order([h, h2.astype(np.uint64)])
+    if not len(order):
+        return order
+    least = np.repeat(np.minimum.reduceat(doc[order], starts), np.diff(np.append(starts, len(order))))
+    return order[doc[order] != least]
+
+
 def masks_of_prefix_groups(order: np.ndarray, starts: np.ndarray, context: np.ndarray, whole: np.ndarray, doc: np.ndarray, length: int, at_once: int = 1 << 17) -> np.ndarray:
     """window_masks over runs of whole groups, about `at_once` rows at a time."""
     mask = np.zeros(len(order), dtype=np.uint64)
@@ -258,9 +322,18 @@ def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", le
                 x = gone[part]
                 rows.append((home_, MARK, wrap(doc[x], hash_[x], inside[x].astype(np.uint32), whole_mask(inside[x], size[x], length))))
             kept = np.flatnonzero(first)
-            for range_, part in spread(range_of(w0[kept], w1[kept], cuts)):
-                x = kept[part]
-                rows.append((range_, ANCHOR, wrap(w0[x], w1[x], doc[x], hash_[x], home[x], inside[x].astype(np.uint32))))
+            shared, ends, sizes = shared_here(w0[kept], w1[kept], doc[kept])
+            known = kept[shared]
+            for home_, part in spread(home[known]):
+                x = known[part]
+                rows.append((home_, SENT_HOME, wrap(doc[x], hash_[x], inside[x].astype(np.uint32))))
+            # Rows that stand for anchors sent home have no home; the first of the two carries their count.
+            open_, stand = kept[~shared], kept[ends.ravel()]
+            sent, weight = np.concatenate([open_, stand]), np.concatenate([np.ones(len(open_), np.int64), sizes, np.zeros(len(sizes), np.int64)])
+            to = np.concatenate([home[open_], np.full(len(stand), -1, home.dtype)])
+            for range_, p in spread(range_of(w0[sent], w1[sent], cuts)):
+                x = sent[p]
+                rows.append((range_, ANCHOR, wrap(w0[x], w1[x], doc[x], hash_[x], to[p], inside[x].astype(np.uint32), weight[p])))
             return shipment(rows)
 
         held = 0
@@ -279,29 +352,31 @@ def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", le
         if gathered:
             yield flush()
 
-    def by_range(batches: Iterator[pa.RecordBatch], work: Callable) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by `to`; work gets the columns of each range; marks pass through."""
+    def by_range(batches: Iterator[pa.RecordBatch], works: dict[int, Callable]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by `to` and kind; the work of a kind gets the columns of each range; marks and what goes home pass through."""
         at, parts = None, []
         for batch in batches:
             for to, kind, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if kind == MARK:
-                    yield shipment([(to, kind, blob)])
+                if kind not in works:
+                    yield shipment([(to, ANCHOR if kind == SENT_HOME else kind, blob)])
                     continue
-                if to != at and parts:
-                    yield work([np.concatenate(c) for c in zip(*parts, strict=True)])
+                if (to, kind) != at and parts:
+                    yield works[at[1]]([np.concatenate(c) for c in zip(*parts, strict=True)])
                     parts = []
-                at = to
+                at = to, kind
                 parts.append(unwrap(blob))
         if parts:
-            yield work([np.concatenate(c) for c in zip(*parts, strict=True)])
+            yield works[at[1]]([np.concatenate(c) for c in zip(*parts, strict=True)])
 
     def find_shared(columns: list[np.ndarray]) -> pa.RecordBatch:
-        w0, w1, doc, hash_, home, inside = columns
+        w0, w1, doc, hash_, home, inside, weight = columns
         order, starts = multikey_order([w0, w1])
-        least, most = np.minimum.reduceat(doc[order], starts), np.maximum.reduceat(doc[order], starts)
-        shared = np.repeat(least != most, np.diff(np.append(starts, len(order))))
-        x = order[shared]
-        return shipment([(home_, ANCHOR, wrap(doc[x[p]], hash_[x[p]], inside[x[p]])) for home_, p in spread(home[x])])
+        two = np.minimum.reduceat(doc[order], starts) != np.maximum.reduceat(doc[order], starts)
+        x = order[np.repeat(two, np.diff(np.append(starts, len(order)))) & (home[order] >= 0)]
+        rows = [(home_, ANCHOR, wrap(doc[x[p]], hash_[x[p]], inside[x[p]])) for home_, p in spread(home[x])]
+        if len(many := order[starts[two & (np.add.reduceat(weight[order], starts) > HOT)]]):
+            rows.append((0, HOT_PREFIX, wrap(w0[many], w1[many])))
+        return shipment(rows)
 
     def find_masks(columns: list[np.ndarray]) -> pa.RecordBatch:
         context, whole, doc, hash_, home, inside = columns
@@ -311,6 +386,11 @@ def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", le
         x = np.flatnonzero(mask)
         return shipment([(home_, MARK, wrap(doc[x[p]], hash_[x[p]], inside[x[p]], mask[x[p]])) for home_, p in spread(home[x])])
 
+    def find_window_masks(columns: list[np.ndarray]) -> pa.RecordBatch:
+        h, h2, a, doc, hash_, home, inside = columns
+        x = later_windows(h, h2, doc)
+        return shipment([(home_, MARK, wrap(doc[x[p]], hash_[x[p]], inside[x[p]], np.uint64(1) << a[x[p]].astype(np.uint64))) for home_, p in spread(home[x])])
+
     def send_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         options = pa.ipc.IpcWriteOptions(compression="zstd")
         for batch in batches:
@@ -376,6 +456,18 @@ def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", le
                 rows.append((home, MARK, wrap(doc[gone], hash_[gone], inside[gone], whole[gone])))
             word = np.ascontiguousarray(context[kept, left : left + PREFIX]).view(">u8").astype(np.uint64)
             homes = np.full(len(doc), home, dtype=np.int32)
+            many = is_hot(word, hot_prefixes)
+            hot_rows, kept, word = kept[many], kept[~many], word[~many]
+            for start in range(0, len(hot_rows), HOT):
+                x = hot_rows[start : start + HOT]
+                mask, row, a, h, h2 = least_windows(context[x], whole[x], doc[x], length)
+                if len(lost := np.flatnonzero(mask)):
+                    rows.append((home, MARK, wrap(doc[x[lost]], hash_[x[lost]], inside[x[lost]], mask[lost])))
+                y = x[row]
+                once = distinct(doc[y], hash_[y], inside[y].astype(np.int64) - a)  # a window with several such anchors
+                for bucket, part in spread((mix64(h[once]) % np.uint64(ranges)).astype(np.int32)):
+                    p = once[part]
+                    rows.append((bucket, WINDOW, wrap(h[p], h2[p], a[p], doc[y[p]], hash_[y[p]], homes[y[p]], inside[y[p]])))
             for range_, part in spread(range_of(word[:, 0], word[:, 1], cuts)):
                 x = kept[part]
                 rows.append((range_, CONTEXT, wrap(context[x], whole[x], doc[x], hash_[x], homes[x], inside[x])))
@@ -419,16 +511,17 @@ def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     def dealt(shipped: DataFrame) -> DataFrame:
         return shipped.repartition(width, "to").sortWithinPartitions("to", "kind")
 
-    def anchors_and_marks() -> tuple[DataFrame, DataFrame]:
-        sent = stored(dealt(lean.mapInArrow(send_anchors, SHIPPED)).mapInArrow(lambda x: by_range(x, find_shared), SHIPPED))
-        return sent.filter(F.col("kind") == ANCHOR), sent.filter(F.col("kind") == MARK)
+    def anchors_and_marks() -> tuple[DataFrame, DataFrame, np.ndarray]:
+        sent = stored(dealt(lean.mapInArrow(send_anchors, SHIPPED)).mapInArrow(lambda x: by_range(x, {ANCHOR: find_shared}), SHIPPED))
+        found = [unwrap(r["blob"]) for r in sent.filter(F.col("kind") == HOT_PREFIX).select("blob").collect()]
+        return sent.filter(F.col("kind") == ANCHOR), sent.filter(F.col("kind") == MARK), np.concatenate([np.stack(x, axis=1) for x in found]) if found else np.empty((0, 2), np.uint64)
 
-    shared, early = anchors_and_marks()
+    shared, early, hot_prefixes = anchors_and_marks()
     # Anchors sort before texts at their homes; marks of both steps pass on.
     first_kind = F.when(F.col("kind") == TEXT, TEXT + 10).otherwise(F.col("kind"))
     to_home = lambda a, b: a.unionByName(b).withColumn("_first", first_kind).repartition(width, "to").sortWithinPartitions("to", "_first").drop("_first")
     contexts = to_home(shared, lean.mapInArrow(send_texts, SHIPPED)).mapInArrow(send_contexts, SHIPPED)
-    late = stored(dealt(contexts).mapInArrow(lambda x: by_range(x, find_masks), SHIPPED))
+    late = stored(dealt(contexts).mapInArrow(lambda x: by_range(x, {CONTEXT: find_masks, WINDOW: find_window_masks}), SHIPPED))
     marks = early.unionByName(late)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return to_home(marks, keyed.mapInArrow(send_texts, SHIPPED)).mapInArrow(cut_texts, f"{schema}, n_bytes long, n_removed long, n_spans long, kept binary")

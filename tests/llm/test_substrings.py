@@ -82,3 +82,29 @@ def test_tricky_rows_and_columns(spark):
     assert substrings.removal_digest(spark.createDataFrame([], DOCS)).count() == 0
     cut = substrings.remove_repeated(documents(spark, ["é" * 40 + "a", "b" + "é" * 40 + "c"]), length=50, decoded=True)
     assert {r["doc_id"]: r["text"] for r in cut.collect()} == {0: "é" * 40 + "a", 1: "bc"}
+
+
+def test_a_passage_of_many_documents_is_not_one_group(spark, monkeypatch):
+    whole = substrings.masks_of_prefix_groups
+
+    def small_groups(order, starts, *rest):
+        if len(starts) and np.diff(np.append(starts, len(order))).max() > 20:
+            raise ValueError("a prefix with more than 20 anchors in one task")
+        return whole(order, starts, *rest)
+
+    monkeypatch.setattr(substrings, "HOT", 20, raising=False)
+    monkeypatch.setattr(substrings, "masks_of_prefix_groups", small_groups)
+    passage, texts = prose("shared", 30), []
+    for i in range(240):
+        own = [prose(f"own {i} {j}", 12) for j in range(2)]
+        texts.append(f"{own[0]} {passage[i % 3 :]}{passage[:60] if i % 5 == 0 else ''} {own[1]}" if i % 3 else " ".join(own))
+    texts += [" " * 400, "x" + " " * 300, texts[1], texts[2] + texts[4]]
+    assert result(substrings.removal_digest(documents(spark, texts))) == brute([(i, t.encode()) for i, t in enumerate(texts)])
+
+
+def test_a_prefix_seen_in_two_documents_sends_two_rows():
+    w0, w1 = np.array([7] * 1000 + [8, 8, 9], np.uint64), np.array([1] * 1000 + [2, 2, 3], np.uint64)
+    doc = np.array([*range(1000), 5, 5, 6])
+    shared, ends, sizes = substrings.shared_here(w0, w1, doc)
+    assert shared.tolist() == [True] * 1000 + [False] * 3
+    assert doc[ends].tolist() == [[0], [999]] and sizes.tolist() == [1000]
