@@ -1,4 +1,4 @@
-"""Chunks of texts: overlapping line windows in SQL, and a symbol chunker for Python sources.
+"""Chunks of texts: overlapping line windows in SQL, a symbol chunker and file facts for Python sources.
 
 Python is parsed with the standard library's ast. Other languages get whole-file chunks, as no grammars are at hand.
 """
@@ -68,7 +68,7 @@ def python_symbols(path: str, source: str) -> list[tuple]:
 
 def symbol_chunks(files: DataFrame) -> DataFrame:
     """Chunks of (path, content): symbols of Python files, one whole-file chunk for files without symbols, of other
-    known languages, or that don't parse. Unknown extensions and empty contents give no rows."""
+    known languages, or that don't parse. Unknown extensions and empty contents give no rows. `split_large` cuts long chunks."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in CHUNK.split(", ")]
@@ -88,3 +88,61 @@ def symbol_chunks(files: DataFrame) -> DataFrame:
     table = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
     known = files.withColumn("language", F.try_element_at(table, extension(F.col("path")))).filter("language is not null and length(content) > 0")
     return known.select("path", "language", "content").mapInPandas(run, CHUNK).withColumn("content_hash", F.sha2("content", 256))
+
+
+def split_large(chunks: DataFrame, size: int = MAX_LINES, overlap: int = OVERLAP) -> DataFrame:
+    """`symbol_chunks` with every chunk of more than `size` lines, header included, as overlapping windows.
+
+    chunk_index and chunk_total are null for chunks that stay whole. Line numbers are those of the source, without the header.
+    """
+    header = F.when(F.col("symbol_type") == "file", 2).otherwise(4)
+    parts = line_windows(chunks, "content", size, overlap)
+    cut = F.col("parts") > 1
+    start = F.col("start_line") + F.greatest(F.lit(0), F.col("first_line") - 1 - header)
+    end = F.least("end_line", F.col("start_line") + F.greatest(F.lit(0), F.col("last_line") - 1 - header))
+    return (
+        parts.withColumns({"_start": F.when(cut, start).otherwise(F.col("start_line")), "_end": F.when(cut, end).otherwise(F.col("end_line"))})
+        .withColumn("symbol_name", F.when(cut, F.format_string("%s (part %d/%d)", "symbol_name", "part", "parts")).otherwise(F.col("symbol_name")))
+        .withColumns({"chunk_index": F.when(cut, F.col("part")), "chunk_total": F.when(cut, F.col("parts")), "content_hash": F.sha2("content", 256)})
+        .drop("start_line", "end_line", "part", "parts", "first_line", "last_line")
+        .withColumnsRenamed({"_start": "start_line", "_end": "end_line"})
+    )
+
+
+FACT = "file_path string, kind string, name string, target string"
+
+
+def python_facts(path: str, source: str) -> list[tuple]:
+    """Distinct (path, kind, name, target): imports (module, name taken from it), exports (entries of a literal __all__),
+    decorators (what they decorate, the decorator) and inheritance (class, base)."""
+    found: dict[tuple, None] = {}
+    for node in ast.walk(ast.parse(source)):
+        if isinstance(node, ast.Import):
+            found |= dict.fromkeys((path, "import", x.name, None) for x in node.names)
+        elif isinstance(node, ast.ImportFrom):
+            found |= dict.fromkeys((path, "import", "." * node.level + (node.module or ""), x.name) for x in node.names)
+        elif isinstance(node, ast.Assign) and any(isinstance(t, ast.Name) and t.id == "__all__" for t in node.targets) and isinstance(node.value, ast.List | ast.Tuple):
+            found |= dict.fromkeys((path, "export", x.value, None) for x in node.value.elts if isinstance(x, ast.Constant))
+        if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
+            found |= dict.fromkeys((path, "decorator", node.name, ast.unparse(d)) for d in node.decorator_list)
+        if isinstance(node, ast.ClassDef):
+            found |= dict.fromkeys((path, "inheritance", node.name, ast.unparse(b)) for b in node.bases)
+    return list(found)
+
+
+def file_facts(files: DataFrame) -> DataFrame:
+    """python_facts of the Python files among (path, content). Files that don't parse and other languages give no rows."""
+    from tessera.functions.text import extension
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out: list[tuple] = []
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                try:
+                    out += python_facts(path, content)
+                except (SyntaxError, ValueError, RecursionError):
+                    continue
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in FACT.split(", ")])
+
+    python = files.filter((extension(F.col("path")) == ".py") & F.col("content").isNotNull())
+    return python.select("path", "content").mapInPandas(run, FACT)

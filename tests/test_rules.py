@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.text import age, denied, extension, module_name, severity_rank
-from tessera.operators import chunking, delta, search, structure, summaries
+from tessera.operators import chunking, delta, markdown, search, structure, summaries
 from tessera.sources import landed, providers
 
 
@@ -148,3 +148,34 @@ def test_providers(spark):
     assert rows.select(providers.generated(F.col("text"), providers.EchoWriter()).alias("g")).first()["g"] == "a b"
     chunks = spark.createDataFrame([("s", 2, "p2", "c2"), ("s", 1, "p1", "c1")], "session string, position int, path string, content string")
     assert providers.build_context("unknown", chunks).first()["context"] == "[1] p1\nc1\n\n[2] p2\nc2"
+
+
+def test_long_chunks_are_split(spark):
+    source = "x = 1\nclass C:\n" + "\n".join(f"    a{i} = {i}" for i in range(385)) + "\n\ndef f():\n    pass\n"
+    files = spark.createDataFrame([("a.py", source), ("b.ts", "\n".join(map(str, range(300))))], "path string, content string")
+    out = sorted(chunking.split_large(chunking.symbol_chunks(files)).collect(), key=lambda r: (r["file_path"], r["start_line"]))
+    assert [(r["symbol_name"], r["start_line"], r["end_line"], r["chunk_index"], r["chunk_total"]) for r in out] == [
+        ("C (part 1/2)", 2, 197, 1, 2), ("C (part 2/2)", 188, 387, 2, 2), ("f", 389, 390, None, None), ("b.ts (part 1/2)", 1, 198, 1, 2), ("b.ts (part 2/2)", 189, 300, 2, 2)
+    ]
+    lines = source.split("\n")
+    assert out[1]["content"].split("\n") == lines[187:387] and out[0]["content"].split("\n")[4:] == lines[1:197]
+    assert all(r["content_hash"] == hashlib.sha256(r["content"].encode()).hexdigest() and r["content"].count("\n") < 200 for r in out)
+
+
+def test_file_facts(spark):
+    source = "import os, a.b as c\nfrom ..d import e\n__all__ = ['C']\n@dec(1)\nclass C(Base, m.Mix):\n    @property\n    def p(self):\n        import os\n"
+    files = spark.createDataFrame([("x.py", source), ("bad.py", "def ("), ("y.ts", "import z"), ("n.py", None)], "path string, content string")
+    assert {tuple(r) for r in chunking.file_facts(files).collect()} == {
+        ("x.py", "import", "os", None), ("x.py", "import", "a.b", None), ("x.py", "import", "..d", "e"), ("x.py", "export", "C", None),
+        ("x.py", "decorator", "C", "dec(1)"), ("x.py", "decorator", "p", "property"), ("x.py", "inheritance", "C", "Base"), ("x.py", "inheritance", "C", "m.Mix"),
+    }
+
+
+def test_markdown_blocks_know_fences(spark):
+    text = "# A `b`\n\n```py\n# no heading\n- x\n```\n> q **r** *s*\n* i\n2. j\n```\nz```\n```\n- open"
+    rows = markdown.block_rows(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")).orderBy("position").collect()
+    assert [(r["kind"], r["mark"], r["content"]) for r in rows] == [
+        ("heading", "#", "A `b`"), ("fence", "py", "# no heading\n- x"), ("quote", ">", "q **r** *s*"), ("item", "*", "i"), ("numbered", "2", "j"),
+        ("fence", "code", "z"), ("paragraph", None, "```"), ("item", "-", "open"),
+    ]
+    assert rows[0]["code"] == ["b"] and (rows[2]["bold"], rows[2]["italic"]) == (["r"], ["s"])
