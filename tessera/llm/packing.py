@@ -16,6 +16,7 @@ Planning, in the order of the method:
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict, deque
@@ -37,14 +38,17 @@ class ByteBpe:
     """Ids of a byte-level BPE vocabulary file (tokenizers' JSON).
 
     The file's vocabulary lists the merges in rank order, so tiktoken's faster merge loop gives the
-    same ids; texts that its pattern engine refuses go to the tokenizers library itself.
+    same ids; texts that its pattern engine refuses or that hold an added token (such as <|endoftext|>) go to
+    the tokenizers library itself, which gives added tokens their own ids.
     """
 
     def __init__(self, path: str):
         import tiktoken
 
         with open(path, encoding="utf-8") as file:
-            vocabulary = json.load(file)["model"]["vocab"]
+            content = json.load(file)
+        vocabulary, added = content["model"]["vocab"], content.get("added_tokens") or []
+        self.added = re.compile("|".join(re.escape(t["content"]) for t in added)) if added else None
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         shown = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
         ranks = {bytes(shown[c] for c in word): i for word, i in vocabulary.items() if not word.startswith("<|")}
@@ -52,17 +56,21 @@ class ByteBpe:
         self.encoding = tiktoken.Encoding("byte-bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> np.ndarray:
+        if self.added and self.added.search(text):
+            return self.library_ids(text)
         try:
             return np.array(self.encoding.encode_ordinary(text), dtype="<u4")
         except BaseException as error:  # the engine's own panics are not Exceptions
             if isinstance(error, (KeyboardInterrupt, SystemExit, MemoryError)):
                 raise
-            if self.exact is None:
-                from tokenizers import Tokenizer
+            return self.library_ids(text)
 
-                self.exact = Tokenizer.from_file(self.path)
-                self.exact.encode_special_tokens = True
-            return np.array(self.exact.encode(text, add_special_tokens=False).ids, dtype="<u4")
+    def library_ids(self, text: str) -> np.ndarray:
+        if self.exact is None:
+            from tokenizers import Tokenizer
+
+            self.exact = Tokenizer.from_file(self.path)
+        return np.array(self.exact.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:

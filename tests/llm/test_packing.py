@@ -84,3 +84,14 @@ def test_edges(spark):
 @pytest.mark.parametrize(("n", "want"), [(1, [(0, 1)]), (1024, [(0, 1024)]), (1025, [(0, 1), (1, 1024)]), (3000, [(0, 952), (952, 1024), (1976, 1024)])])
 def test_cut(n, want):
     assert packing.cut(n, 1024) == want
+
+
+UNCHANGED = Tokenizer.from_file(PATH)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", " ", "a", "é b\n", "<|", "|>", "endoftext", "\t12"]), max_size=12))
+def test_added_tokens_get_their_ids(parts):
+    text = "".join(parts)
+    assert FAST.ids(text).tolist() == UNCHANGED.encode(text, add_special_tokens=False).ids
+    assert FAST.ids("a <|endoftext|> b").tolist() == [64, 220, 50256, 275]
