@@ -78,7 +78,7 @@ def component_first_n(spark: SparkSession, folder: str) -> DataFrame:
 SELECT source, count(*) AS files, string_agg(DISTINCT lang, ',' ORDER BY lang) AS languages, count(*) FILTER (WHERE lang = 'en') AS english FROM documents GROUP BY source
 """)
 def module_file_lists(spark: SparkSession, folder: str) -> DataFrame:
-    english = F.size(F.collect_list(F.when(F.col("lang") == "en", F.col("doc_id")))).cast("long")
+    english = F.count_if(F.col("lang") == "en")
     return table(spark, folder, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("files"), F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("languages"), english.alias("english"))
 
 

@@ -179,3 +179,13 @@ def test_markdown_blocks_know_fences(spark):
         ("fence", "code", "z"), ("paragraph", None, "```"), ("item", "-", "open"),
     ]
     assert rows[0]["code"] == ["b"] and (rows[2]["bold"], rows[2]["italic"]) == (["r"], ["s"])
+
+
+def test_module_file_lists_counts_without_lists(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a", "en"), (None, "a", "en"), (3, "a", "de"), (4, "b", "de")], "doc_id long, source string, lang string")
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    from tessera.plans import catalogue
+
+    out = catalogue.QUERIES["module_file_lists"](spark, str(tmp_path))
+    assert values(out, "source", "files", "languages", "english") == [("a", 3, "de,en", 2), ("b", 1, "de", 0)]
+    assert "collect_list" not in out._jdf.queryExecution().toString()
