@@ -6,7 +6,8 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -16,21 +17,41 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 _WRITTEN: list[str] = []
 
 
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete the tables that operators of this process stored. Call it once results are written: until then they may be read."""
-    jvm = spark.sparkContext._jvm
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def clear_scratch(spark: SparkSession, keep: DataFrame | None = None) -> None:
+    """Delete the tables that operators of this process stored, but for the files that `keep` reads.
+
+    Call it once results are written: until then they may be read.
+    """
+    kept = keep.inputFiles() if keep is not None else []
+    for path in list(_WRITTEN):
+        if not any(path.split("/")[-1] in file for file in kept):
+            _WRITTEN.remove(path)
+            _delete(spark, path)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for table_ in tables:
+        for path in {file.rsplit("/", 1)[0] for file in table_.inputFiles()}:
+            for known in [p for p in _WRITTEN if path.endswith(p.split("/")[-1])]:
+                _WRITTEN.remove(known)
+                _delete(table_.sparkSession, known)
 
 
 def scratch(spark: SparkSession) -> str:
     """A new path in the shared folder that the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is missing (a local test session) a temporary folder stands in.
+    Only where that setting is missing and Spark runs in this one process (a local test session) a temporary folder stands in.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(base)
     _WRITTEN.append(f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}")
@@ -45,6 +66,55 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_names(df: DataFrame | list[str], *bases: str) -> list[str]:
+    """Column names close to `bases` that `df` (or a list of names) does not have."""
+    taken = {c.lower() for c in (df if isinstance(df, list) else df.columns)}
+    out = []
+    for base in bases:
+        while base.lower() in taken:
+            base += "_"
+        taken.add(base.lower())
+        out.append(base)
+    return out
+
+
+#: Keys with more than one part in this of all rows are dealt to several tasks by `spread_join`; so few rows in all are no burden under one key.
+HOT_PARTS, HOT_FLOOR = 512, 8192
+
+
+def spread_join(rows: DataFrame, looked_up: DataFrame, key: str, dealt_by: list[str], counted: DataFrame | None = None, how: str = "inner") -> DataFrame:
+    """`rows` joined to `looked_up` on `key`, which is unique there, so that no key gathers its rows in one task.
+
+    A key that holds more than 1 / HOT_PARTS of the rows is hot; there are at most about HOT_PARTS of them, so their list is
+    broadcast. Their rows get a salt, a hash of `dealt_by`, and their looked-up row is copied to each salt. `counted`: a stored table with the keys of `rows`,
+    if that is cheaper to count than `rows`.
+    """
+    counted = rows if counted is None else counted
+    total = counted.count()
+    if total <= HOT_FLOOR:
+        return rows.join(looked_up, key, how)
+    share = total // HOT_PARTS
+    copies, salt = free_names([*rows.columns, *looked_up.columns], "copies_", "salt_")
+    hot = counted.groupBy(key).count().filter(F.col("count") > share).select(key, F.ceil(F.col("count") / share).cast("int").alias(copies))
+    hot = F.broadcast(hot)  # about HOT_PARTS rows at most
+    of_row = F.pmod(F.xxhash64(*dealt_by), F.coalesce(copies, F.lit(1))).cast("int")
+    left = rows.join(hot, key, "left").withColumn(salt, of_row).drop(copies)
+    right = looked_up.join(hot, key, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(copies, F.lit(1)) - 1))).drop(copies)
+    return left.join(right, [key, salt], how).drop(salt)
+
+
+def ranked_sample(rows: DataFrame, group: str, text: str, per_group: int) -> list[tuple[str, object]]:
+    """At most `per_group` distinct (text, group) of each group, those whose texts hash lowest: the same in every run, however often a text repeats.
+
+    Ranks are taken on hashes, each task sends at most `per_group` of a group; only the chosen texts are fetched.
+    """
+    hashed = rows.select(F.col(group).alias("group"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    order = Window.partitionBy("group").orderBy("h")
+    chosen = hashed.select("group", "h").distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_group).select("group", "h")
+    found = hashed.join(F.broadcast(chosen), ["group", "h"]).groupBy("group", "h").agg(F.min("text").alias("text"))  # groups x per_group rows
+    return [(r["text"], r["group"]) for r in sorted(found.collect(), key=lambda r: (str(r["group"]), r["h"]))]
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import ranked_sample
+
 HIDDEN, SPAN, LANES = 12, 64, 2048
 PER_LANGUAGE, TRAIN_WINDOWS, STEPS, BATCH, RATE = 200, 16000, 300, 192, 0.02
 
@@ -156,17 +158,8 @@ def train(samples: list[tuple[str, str]], hidden: int = HIDDEN, span: int = SPAN
 
 
 def labelled_sample(rows: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
-    """At most `per_language` (text, lang) rows of each language, chosen by a hash of the text; rows without text or language don't count."""
-    rows = rows.filter("text is not null and text <> '' and lang is not null").select("text", "lang", F.xxhash64("text").alias("_h"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not counts:
-        return []
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 2 * per_language / n))])
-    near = rows.filter(F.pmod("_h", F.lit(1 << 20)) <= F.element_at(share, F.col("lang")) * (1 << 20))
-    out: dict[str, list[tuple[int, str]]] = {}
-    for r in near.limit(3 * per_language * len(counts)).collect():
-        out.setdefault(r["lang"], []).append((r["_h"], r["text"]))
-    return [(t, lang) for lang, found in out.items() for _, t in sorted(found)[:per_language]]
+    """At most `per_language` distinct (text, lang) of each language, those whose texts hash lowest; rows without text or language don't count."""
+    return ranked_sample(rows.filter("text is not null and text <> '' and lang is not null"), "lang", "text", per_language)
 
 
 def predict(m: Model | None, texts: list[str | None], span: int = SPAN, lanes: int = LANES) -> list[tuple[str, float]]:
@@ -187,14 +180,15 @@ def predict(m: Model | None, texts: list[str | None], span: int = SPAN, lanes: i
     return [(m.languages[b], float(min(1.0, row[b] / len(r)))) if s else ("und", 0.0) for b, row, r, s in zip(best, pooled, raw, speaks, strict=True)]
 
 
-def identify(docs: DataFrame, m: Model | None, text: str = "text") -> DataFrame:
-    """`docs` with lang_pred and score (0 to 1). Null texts and texts without a letter are 'und', score 0.
+def identify(docs: DataFrame, m: Model | None, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """`docs` with lang_pred and score (0 to 1), or what `names` calls them. Null texts and texts without a letter are 'und', score 0.
 
-    Rows are predicted one by one, so equal texts get equal results. Other columns pass through; columns of the two names are replaced.
+    Rows are predicted one by one, so equal texts get equal results. Texts are read whole, however long. Other columns pass through; columns
+    of the two names are replaced. An empty table gives an empty result.
     """
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop(*names)
     at = docs.columns.index(text)
-    names = [*docs.columns, "lang_pred", "score"]
+    new, names = names, [*docs.columns, *names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,7 +202,7 @@ def identify(docs: DataFrame, m: Model | None, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return docs.mapInArrow(run, f"{schema}, `{new[0]}` string, `{new[1]}` double")
 
 
 def remainder(key: str, divisor: int):

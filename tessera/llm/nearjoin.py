@@ -1,15 +1,19 @@
 """N-gram Jaccard self-join by a MinHash LSH forest with exact verification.
 
-Texts become sets of hashed word 5-grams; texts with one set are one class from the start. Each set has
-`tries` signatures, the keys of as many prefix tries. A match of a whole signature finds only close pairs, so the matched prefix is
-shortened until the chance to miss a pair at the threshold, (1 - s^depth)^tries, is within 1 - target recall;
-that depth fixes the tries' buckets. Buckets are never expanded into all pairs:
+Texts become sets of hashed word 5-grams; texts with one set are one class from the start. Each set has a signature of `LEVELS`
+minima (16 bits each) in each of `tries` prefix tries. A trie is kept as its sorted list of signatures: all signatures are
+dealt by range of (trie, signature, set) and sorted, so a node that holds a third of all sets is cut into several ranges, and
+the longest prefix that a set shares with any other is the longer of those that it shares with its two neighbours.
 
-  round 1: every member of a bucket is verified against the member that meets most documents in all its buckets (ties: the
-  smallest id), so an original goes before its copies;
-  round 2: where verified links leave several components in one bucket, members of different components are compared by
-  sketches, a block of members against another block in each task. Components that may hold a link between each other become one
-  group; a task sends at most one row for each component it joins, and not the pairs.
+The forest is descended from whole signatures upwards. At a depth, the sets below one node are candidates; those that are not linked yet are
+verified against one head of the node, the set that meets most others there (ties: the smallest set number), so an original goes before its copies. Then the
+recall so far is estimated from the verified links: one of similarity s is found at this depth with p = 1 - (1 - s^depth)^tries, so it
+stands for 1 / p links; one link at the threshold is added for what has not been seen. While the estimate is below the target, the
+matched prefixes are shortened, to the longest depth at which these links speak for the target. The shortest depth reaches the target at the threshold itself, whatever the links are.
+
+Nodes are never expanded into all pairs. Where verified links leave several components below one node of the last depth, members of different
+components are compared by sketches, a block of members against another block in each task. Components that may hold a link between
+each other become one group; a task sends at most one row for each component it joins, and not the pairs.
 
 All links lie within these groups, so there every set is compared with every other, block against block again: a task holds two
 blocks of shingle sets, counts what is common by a matrix product and returns one row for each set: its number of links and the
@@ -17,7 +21,7 @@ smallest set that it hangs together with. These rows make the classes and the co
 
 Verification compares whole shingle sets; sets whose sizes alone rule the threshold out are not compared, nor are those whose
 sketches (one bit of each of many minima) differ by six standard deviations more than sets at the threshold do: 256 bits from the
-tries' minima in round 1, 2048 bits in round 2, which only the documents that are left there get.
+tries' minima with the heads, 2048 bits afterwards, which only the sets that are left there get.
 Components are found by label propagation with pointer jumping over stored tables.
 """
 
@@ -30,9 +34,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import mix64, stored
+from tessera.llm.common import forget, free_names, mix64, shuffle_width, spread_join, stored
 
-WORDS, THRESHOLD, TRIES, LONGEST, RECALL, BLOCK, SKETCH, WIDE = 5, 0.8, 60, 10, 0.9999, 512, 256, 2048
+WORDS, THRESHOLD, TRIES, LEVELS, RECALL, BLOCK, SKETCH, WIDE = 5, 0.8, 32, 8, 0.9999, 512, 256, 2048
 PASS_BYTES, BLOCK_SHINGLES = 4 << 20, 1 << 20
 _BASE = 0x2545F4914F6CDD1D
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -42,9 +46,21 @@ _IN_WORD = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
 
 
-def depth_for(threshold: float = THRESHOLD, tries: int = TRIES, longest: int = LONGEST, recall: float = RECALL) -> int:
-    """The longest prefix, at most `longest`, that reaches the target recall at the threshold."""
-    return next((d for d in range(longest, 1, -1) if 1 - (1 - threshold**d) ** tries >= recall), 1)
+def found_at(similarity: float, depth: int, tries: int = TRIES) -> float:
+    """The chance that two sets share a prefix of `depth` values in one of the tries."""
+    return 1 - (1 - similarity**depth) ** tries
+
+
+def shortest_depth(threshold: float = THRESHOLD, tries: int = TRIES, recall: float = RECALL) -> int:
+    """The longest prefix, at most a whole signature, that reaches the target recall at the threshold."""
+    return next((d for d in range(LEVELS, 1, -1) if found_at(threshold, d, tries) >= recall), 1)
+
+
+def estimated_recall(similarities: dict[float, int], depth: int, threshold: float = THRESHOLD, tries: int = TRIES) -> float:
+    """The share of all links that a depth finds, judged by the links that it found (similarity: number) and one more at the threshold."""
+    found = 1 + sum(similarities.values())
+    missed = sum(n * (1 / max(found_at(s, depth, tries), 1e-9) - 1) for s, n in [(threshold, 1), *similarities.items()])
+    return found / (found + missed)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,30 +105,26 @@ def shingles(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.nda
     return np.concatenate(parts) if parts else np.empty(0, np.uint64), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
 
 
-def bucket_keys(hashes: np.ndarray, offsets: np.ndarray, tries: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(texts, tries): the key of each text's prefix in each trie; (texts, SKETCH / 64): bits of its first minima, again and again if there are fewer.
+def signature_bits(hashes: np.ndarray, offsets: np.ndarray, tries: int) -> tuple[np.ndarray, np.ndarray]:
+    """(texts, 2 tries): of each trie LEVELS minima of 16 bits as two words, the first value in the highest bits; (texts, SKETCH / 64): bits of the first minima.
 
     Rows of texts without shingles mean nothing.
     """
     filled = np.flatnonzero(np.diff(offsets))
-    keys, sketch = np.zeros((len(offsets) - 1, tries), dtype=np.uint64), np.zeros((len(offsets) - 1, SKETCH // 64), dtype=np.uint64)
+    words, sketch = np.zeros((len(offsets) - 1, 2 * tries), dtype=np.uint64), np.zeros((len(offsets) - 1, SKETCH // 64), dtype=np.uint64)
     if not len(filled):
-        return keys, sketch
-    seeds = mix64(np.arange(1, 2 * tries * LONGEST + 1, dtype=np.uint64)).reshape(tries, LONGEST, 2)
-    drawn = 0
-    for t in range(tries):
-        key = np.full(len(filled), t + 1, dtype=np.uint64)
-        for d in range(depth):
-            value = (hashes ^ seeds[t, d, 1]) * (seeds[t, d, 0] | np.uint64(1))
-            value ^= value >> np.uint64(32)
-            least = np.minimum.reduceat(value, offsets[filled])
-            key = mix64(key * np.uint64(_BASE) + least)
-            if drawn < SKETCH:
-                bit = (mix64(least) >> np.uint64(17)) & np.uint64(1)
-                sketch[filled, drawn // 64] |= bit << np.uint64(drawn % 64)
-                drawn += 1
-        keys[filled, t] = key
-    return keys, sketch
+        return words, sketch
+    seeds = mix64(np.arange(1, 2 * tries * LEVELS + 1, dtype=np.uint64)).reshape(tries * LEVELS, 2)
+    value, shifted = np.empty_like(hashes), np.empty_like(hashes)
+    for drawn in range(tries * LEVELS):
+        np.bitwise_xor(hashes, seeds[drawn, 1], out=value)
+        value *= seeds[drawn, 0] | np.uint64(1)
+        value ^= np.right_shift(value, np.uint64(32), out=shifted)
+        least = mix64(np.minimum.reduceat(value, offsets[filled]))
+        words[filled, drawn // 4] |= (least >> np.uint64(48)) << np.uint64(48 - 16 * (drawn % 4))
+        if drawn < SKETCH:
+            sketch[filled, drawn // 64] |= ((least >> np.uint64(17)) & np.uint64(1)) << np.uint64(drawn % 64)
+    return words, sketch
 
 
 def wide_sketches(hashes: np.ndarray, offsets: np.ndarray, bits: int = WIDE) -> np.ndarray:
@@ -150,41 +162,102 @@ def _passes(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         yield first, len(texts)
 
 
-def signatures(docs: DataFrame, words: int, tries: int, depth: int) -> DataFrame:
-    """(doc_id, set_a, set_b, n, buckets, sketch) of each (doc_id, text): a 128-bit key of the shingle set, its size, buckets and sketch."""
+def _set_keys(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """(texts, 2): a 128-bit key of each shingle set."""
+    sums = np.zeros((len(hashes) + 1, 2), dtype=np.uint64)
+    np.cumsum(hashes, out=sums[1:, 0])
+    np.cumsum(mix64(hashes), out=sums[1:, 1])
+    return (sums[offsets[1:]] - sums[offsets[:-1]]).view(np.int64)
+
+
+def _list_array(rows: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, rows.shape[1]), pa.int32()), pa.array(rows.view(np.int64).ravel()))
+
+
+def signatures(docs: DataFrame, words: int, tries: int) -> DataFrame:
+    """(doc_id, text_hash, set_a, set_b, n, words, sketch) of each (doc_id, text_hash, text): a 128-bit key of the shingle set, its size, signatures and sketch."""
+    names = ["doc_id", "text_hash", "set_a", "set_b", "n", "words", "sketch"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = _texts(batch, 1)
+            texts = _texts(batch, 2)
             for a, b in _passes(texts):
                 hashes, offsets = shingles(texts[a:b], words)
-                n = np.diff(offsets)
-                keys, sketch = bucket_keys(hashes, offsets, tries, depth)
-                sums = np.zeros((len(hashes) + 1, 2), dtype=np.uint64)
-                np.cumsum(hashes, out=sums[1:, 0])
-                np.cumsum(mix64(hashes), out=sums[1:, 1])
-                sets = (sums[offsets[1:]] - sums[offsets[:-1]]).view(np.int64)
-                lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.view(np.int64).ravel())) for x in (keys, sketch)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets[:, 0]), pa.array(sets[:, 1]), pa.array(n, pa.int32()), *lists], names=["doc_id", "set_a", "set_b", "n", "buckets", "sketch"])
+                signature, sketch = signature_bits(hashes, offsets, tries)
+                sets = _set_keys(hashes, offsets)
+                columns = [pa.array(sets[:, 0]), pa.array(sets[:, 1]), pa.array(np.diff(offsets), pa.int32()), _list_array(signature), _list_array(sketch)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *columns], names=names)
 
-    return docs.mapInArrow(run, "doc_id long, set_a long, set_b long, n int, buckets array<long>, sketch array<long>")
+    return docs.mapInArrow(run, "doc_id long, text_hash long, set_a long, set_b long, n int, words array<long>, sketch array<long>")
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, shingles array<long>) of each (doc_id, text)."""
+    """(set, shingles array<long>) of those (set, set_a, set_b, text) whose text has the shingle set with this key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = _texts(batch, 1)
+            texts = _texts(batch, 3)
+            wanted = np.stack([batch.column(c).to_numpy() for c in (1, 2)], axis=1) if batch.num_rows else np.empty((0, 2), np.int64)
             for a, b in _passes(texts):
                 hashes, offsets = shingles(texts[a:b], words)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(hashes.view(np.int64)))], names=["doc_id", "shingles"])
+                same = (_set_keys(hashes, offsets) == wanted[a:b]).all(axis=1)
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(hashes.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], names=["set", "shingles"]).filter(pa.array(same))
+
+    return docs.select("set", "set_a", "set_b", "text").mapInArrow(run, "set long, shingles array<long>")
+
+
+def sorted_leaves(sets: DataFrame, shortest: int, tries: int = TRIES) -> DataFrame:
+    """(trie, hi, lo, set, matched) of (set, words): the leaves of every trie that share `shortest` values at least with another.
+
+    hi and lo are a signature; matched is the number of leading values that the leaf shares with one of its neighbours in the sorted
+    trie. The first and the last leaf of a range, whose neighbour lies elsewhere, count as wholly matched; a node with one leaf is no node.
+    """
+    leaf = F.array(*[F.struct(F.lit(t).alias("trie"), F.col("words")[2 * t].alias("hi"), F.col("words")[2 * t + 1].alias("lo")) for t in range(tries)])
+    leaves = sets.select("set", F.inline(leaf)).select("trie", "hi", "lo", "set")
+    dealt = leaves.repartitionByRange(shuffle_width(sets.sparkSession), "trie", "hi", "lo", "set").sortWithinPartitions("trie", "hi", "lo", "set")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, last_shared = None, LEVELS  # the row that waits for its next one, and what it shares with the one before
+        for batch in batches:
+            rows = pa.Table.from_batches([batch]) if last is None else pa.concat_tables([last, pa.Table.from_batches([batch])])
+            if not rows.num_rows:
+                continue
+            after = _shared_levels(*(rows.column(c).to_numpy() for c in range(3)))
+            before = np.concatenate([[last_shared], after])
+            yield from _leaves(rows.slice(0, rows.num_rows - 1), np.maximum(before[:-1], after), shortest)
+            last, last_shared = rows.slice(rows.num_rows - 1), int(before[-1])
+        if last is not None:
+            yield from _leaves(last, np.array([LEVELS]), shortest)
+
+    return dealt.mapInArrow(run, "trie int, hi long, lo long, set long, matched int")
+
+
+def _shared_levels(trie: np.ndarray, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """How many leading values each signature shares with the next one; none across tries."""
+    levels = np.zeros(max(0, len(trie) - 1), dtype=np.int64)
+    same = trie[1:] == trie[:-1]
+    for word in (hi, lo):
+        differ = (word[1:] ^ word[:-1]).view(np.uint64)
+        for shift in (48, 32, 16, 0):
+            same &= differ >> np.uint64(shift) == 0
+            levels += same
+    return levels
 
-    return docs.mapInArrow(run, "doc_id long, shingles array<long>")
+
+def _leaves(rows: pa.Table, matched: np.ndarray, shortest: int) -> Iterator[pa.RecordBatch]:
+    kept = rows.append_column("matched", pa.array(matched, pa.int32())).filter(pa.array(matched >= shortest))
+    yield from kept.combine_chunks().to_batches()
+
+
+def node_of(depth: int):
+    """The key of the node at `depth` above a leaf (trie, hi, lo)."""
+    whole = (F.col("hi"), F.shiftrightunsigned("lo", 16 * (LEVELS - depth)) if depth < LEVELS else F.col("lo")) if depth > LEVELS // 2 else (F.shiftrightunsigned("hi", 16 * (LEVELS // 2 - depth)), F.lit(0))
+    return F.xxhash64("trie", *whole)
 
 
 def sketched(sets: DataFrame) -> DataFrame:
-    """(rep, sketch) of each (doc_id, shingles): the wide sketch of each set, none of them empty."""
+    """(set, sketch) of each (set, shingles): the wide sketch of each set, none of them empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,32 +266,33 @@ def sketched(sets: DataFrame) -> DataFrame:
                 lists = part.column(1).to_pylist()
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
                 sketch = wide_sketches(np.concatenate([np.array(x, dtype=np.int64) for x in lists]).view(np.uint64), offsets)
-                values = pa.ListArray.from_arrays(pa.array(np.arange(0, sketch.size + 1, sketch.shape[1]), pa.int32()), pa.array(sketch.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), values], names=["rep", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column(0), _list_array(sketch)], names=["set", "sketch"])
 
-    return sets.select("doc_id", "shingles").mapInArrow(run, "rep long, sketch array<long>")
+    return sets.select("set", "shingles").mapInArrow(run, "set long, sketch array<long>")
 
 
 def components(links: DataFrame) -> DataFrame:
     """(id, label) of every id in `links` (a, b): the smallest id of its component."""
     both = stored(links.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("id"), F.col("a").alias("other"))).distinct())
-    labels = stored(both.groupBy("id").agg(F.least(F.col("id"), F.min("other")).alias("label")))
+    table = labels = stored(both.groupBy("id").agg(F.least(F.col("id"), F.min("other")).alias("label")))
     while True:
-        near = both.join(labels.select(F.col("id").alias("other"), "label"), "other").groupBy("id").agg(F.min("label").alias("near"))
+        near = spread_join(both, labels.select(F.col("id").alias("other"), "label"), "other", ["id"]).groupBy("id").agg(F.min("label").alias("near"))
         lower = labels.join(near, "id").select("id", F.least("label", "near").alias("new"), "label")
-        jumped = lower.join(labels.select(F.col("id").alias("new"), F.col("label").alias("far")), "new").select("id", F.least("new", "far").alias("new"), "label")
-        after = stored(jumped)
+        # Labels that are hot by now are those that will be looked up most.
+        far = spread_join(lower, labels.select(F.col("id").alias("new"), F.col("label").alias("far")), "new", ["id"], counted=labels.select(F.col("label").alias("new")))
+        after = stored(far.select("id", F.least("new", "far").alias("new"), "label"))
         changed = after.filter("new <> label").limit(1).count()
-        labels = after.select("id", F.col("new").alias("label"))
+        forget(table)
+        table, labels = after, after.select("id", F.col("new").alias("label"))
         if not changed:
+            forget(both)
             return labels
 
 
-def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Those (a, b) whose shingle sets have at least the threshold's Jaccard similarity, with it."""
-    left = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("_b"))
-    right = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("_a"))
-    both = pairs.join(left, "b").join(right, "a")
+def verified(pairs: DataFrame, vectors: DataFrame, threshold: float, counted: DataFrame) -> DataFrame:
+    """Those (a, b) whose shingle sets have at least the threshold's Jaccard similarity, with it; an `a` of many pairs (in `counted`, a stored table) is dealt to several tasks."""
+    both = pairs.join(vectors.select(F.col("set").alias("b"), F.col("shingles").alias("_b")), "b")
+    both = spread_join(both, vectors.select(F.col("set").alias("a"), F.col("shingles").alias("_a")), "a", ["b"], counted)
     common = F.size(F.array_intersect("_a", "_b"))
     similarity = common / (F.size("_a") + F.size("_b") - common)
     return both.select("a", "b", similarity.alias("similarity")).filter(F.col("similarity") >= threshold)
@@ -241,18 +315,18 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield held
 
 
-def in_blocks(members: DataFrame, group: str, block: int, shingles: int | None = None) -> DataFrame:
-    """`members` (`group`, rep, n, ...) with columns i, j, own in front: each goes to all pairs of blocks of its group that hold its own.
+def in_blocks(members: DataFrame, group: str, block: int, counted: DataFrame, shingles: int | None = None) -> DataFrame:
+    """`members` (`group`, set, n, ...) with columns i, j, own in front: each goes to all pairs of blocks of its group that hold its own.
 
     Blocks hold at most `block` members on average, and `shingles` shingles (the sum of n) if given, but one member at least; the rows
-    of one (group, i, j) are in one partition and follow each other.
+    of one (group, i, j) are in one partition and follow each other. `counted`: a stored table with the groups of the members.
     """
     number = F.ceil(F.count(F.lit(1)) / block)
     if shingles:
         number = F.greatest(number, F.least(F.ceil(F.sum("n") / shingles), F.count(F.lit(1))))
     sizes = members.groupBy(group).agg(number.cast("int").alias("blocks"))
     rest = [c for c in members.columns if c != group]
-    dealt = members.join(sizes, group).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = spread_join(members, sizes, group, ["set"], counted).withColumn("own", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(group, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", *rest)
     return dealt.repartition(group, "i", "j").sortWithinPartitions(group, "i", "j")
@@ -265,8 +339,8 @@ def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy())
 
 
-def joined(members: DataFrame, threshold: float, block: int) -> DataFrame:
-    """(a, b): labels that hang together by members that meet in a bucket and may be similar; of (bucket, rep, label, n, sketch)."""
+def joined(members: DataFrame, counted: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(a, b): labels that hang together by members that meet below a node and may be similar; of (node, set, label, n, sketch)."""
     most = far_apart(threshold, WIDE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,7 +359,7 @@ def joined(members: DataFrame, threshold: float, block: int) -> DataFrame:
             if moved.size:
                 yield pa.RecordBatch.from_arrays([pa.array(names[moved[0]]), pa.array(names[moved[1]])], names=["a", "b"])
 
-    return in_blocks(members, "bucket", block).mapInArrow(run, "a long, b long")
+    return in_blocks(members, "node", block, counted).mapInArrow(run, "a long, b long")
 
 
 def _common(values: np.ndarray, lengths: np.ndarray, a: np.ndarray, b: np.ndarray, step: int = 4096) -> np.ndarray:
@@ -305,31 +379,94 @@ def _common(values: np.ndarray, lengths: np.ndarray, a: np.ndarray, b: np.ndarra
     return out
 
 
-def linked(members: DataFrame, threshold: float, block: int) -> DataFrame:
-    """(rep, near, links) of (label, rep, rows, n, shingles), one for each pair of blocks: the rows of those sets there that are at or
-    above the threshold, and the smallest set there that a chain of such links leads to (rep itself, if to none smaller).
+def linked(members: DataFrame, counted: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(set, near, links) of (label, set, rows, n, shingles), one for each pair of blocks: the rows of those sets there that are at or
+    above the threshold, and the smallest set there that a chain of such links leads to (set itself, if to none smaller).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, 3):
-            i, j, own, rep, rows = (group.column(c).to_numpy() for c in ("i", "j", "own", "rep", "rows"))
+            i, j, own, set_, rows = (group.column(c).to_numpy() for c in ("i", "j", "own", "set", "rows"))
             values, n = _lists(group.column("shingles"))
             a, b = np.flatnonzero(own == i), np.flatnonzero(own == j)
             common = _common(values, n, a, b)
-            links = np.zeros((len(rep), len(rep)), dtype=bool)
+            links = np.zeros((len(set_), len(set_)), dtype=bool)
             links[np.ix_(a, b)] = common / (n[a][:, None] + n[b][None, :] - common) >= threshold
             links |= links.T
             np.fill_diagonal(links, False)
-            by_rep = np.argsort(rep)
-            links = links[np.ix_(by_rep, by_rep)]
-            rep, near, before = rep[by_rep], np.arange(len(rep)), None
+            by_set = np.argsort(set_)
+            links = links[np.ix_(by_set, by_set)]
+            set_, near, before = set_[by_set], np.arange(len(set_)), None
             while before is None or (near != before).any():
                 before = near
-                near = np.minimum(near, np.where(links, near[None, :], len(rep)).min(axis=1, initial=len(rep)))
+                near = np.minimum(near, np.where(links, near[None, :], len(set_)).min(axis=1, initial=len(set_)))
                 near = near[near]
-            yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(rep[near]), pa.array(links @ rows[by_rep])], names=["rep", "near", "links"])
+            yield pa.RecordBatch.from_arrays([pa.array(set_), pa.array(set_[near]), pa.array(links @ rows[by_set])], names=["set", "near", "links"])
 
-    return in_blocks(members, "label", block, BLOCK_SHINGLES).mapInArrow(run, "rep long, near long, links long")
+    return in_blocks(members, "label", block, counted, BLOCK_SHINGLES).mapInArrow(run, "set long, near long, links long")
+
+
+def _classed(docs: DataFrame, words: int, threshold: float, tries: int, recall: float, block: int) -> DataFrame:
+    """(doc_id, text_hash, n, class, class_id, n_links), a row for each of `docs` (doc_id, text).
+
+    class is null, class_id the row's own doc_id and n_links 0 for rows without a shingle or an id.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    rows = stored(signatures(docs, words, tries))
+    known = rows.filter("doc_id is not null and n > 0")
+    first = [F.first(c).alias(c) for c in ("n", "words", "sketch")]
+    # Written once, so each set keeps its number.
+    sets = stored(known.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("rows"), *first).withColumn("set", F.monotonically_increasing_id()))
+    sizes = sets.select("set", "n", "sketch", "rows")
+    leaves = stored(sorted_leaves(sets, shortest_depth(threshold, tries, recall), tries))
+    # The sets with a neighbour; one row of each is read again for its shingles. An id with several texts fits several sets, of which `shingle_sets` keeps the text's own.
+    wanted = stored(sets.join(leaves.select("set").distinct(), "set", "left_semi").select("set", "set_a", "set_b", F.col("low").alias("doc_id")))
+    vectors = stored(shingle_sets(docs.join(wanted, "doc_id"), words))
+    if vectors.count() > wanted.count():  # repeated rows
+        vectors = stored(vectors.dropDuplicates(["set"]))
+
+    other = sizes.select(F.col("set").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
+    differ = F.aggregate(F.zip_with("sketch", "sketch_a", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    possible = (F.least("n", "n_a") >= F.lit(threshold) * F.greatest("n", "n_a")) & (differ <= far_apart(threshold))
+    links, labels, depth, shortest = None, None, LEVELS, shortest_depth(threshold, tries, recall)
+    while True:
+        at = leaves.filter(F.col("matched") >= depth).select(node_of(depth).alias("node"), "set")
+        at = at.withColumn("label", F.col("set")) if labels is None else at.join(labels.withColumnRenamed("id", "set"), "set", "left").withColumn("label", F.coalesce("label", "set"))
+        at = stored(at)
+        open_ = at.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("node", "size")
+        placed = stored(spread_join(at, open_, "node", ["set"]))
+        meets = placed.groupBy("set").agg(F.sum("size").alias("meets"))
+        heads = placed.join(meets, "set").groupBy("node").agg(F.max(F.struct("meets", (-F.col("set")).alias("minus"), "label")).alias("x")).select("node", (-F.col("x.minus")).alias("a"), F.col("x.label").alias("label_a"))
+        pairs = stored(spread_join(placed, heads, "node", ["set"]).filter("label <> label_a").select("a", "set").distinct())
+        near = spread_join(pairs.join(sizes.drop("rows"), "set"), other, "a", ["set"], pairs).filter(possible)
+        new = stored(verified(near.select("a", F.col("set").alias("b")), vectors, threshold, pairs))
+        links = new if links is None else links.unionByName(new)
+        labels = components(links)
+        similar = {r["s"]: r["count"] for r in links.groupBy(F.round("similarity", 2).alias("s")).count().collect()}  # at most 101 numbers
+        if depth <= shortest or estimated_recall(similar, depth, threshold, tries) >= recall:
+            break
+        depth = next((d for d in range(depth - 1, shortest, -1) if estimated_recall(similar, d, threshold, tries) >= recall), shortest)
+
+    placed = placed.select("node", "set").join(labels.withColumnRenamed("id", "set"), "set", "left").select("node", "set", F.coalesce("label", "set").alias("label"))
+    placed = stored(placed)
+    split = placed.groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("node")
+    apart = stored(spread_join(placed, split, "node", ["set"]))
+    wide = stored(sketched(vectors.join(apart.select("set").distinct(), "set", "left_semi")))
+    maybe = joined(apart.join(sizes.select("set", "n"), "set").join(wide, "set"), apart, threshold, block)
+    groups = components(stored(links.select("a", "b").unionByName(maybe)))
+    held = vectors.join(groups.withColumnRenamed("id", "set"), "set").join(sizes.select("set", "rows", "n"), "set")
+    found = stored(linked(held.select("label", "set", "rows", "n", "shingles"), groups, threshold, block))
+
+    labels = components(found.filter("near <> set").select(F.col("set").alias("a"), F.col("near").alias("b")))
+    counts = found.groupBy("set").agg(F.sum("links").alias("links"))
+    classes = sets.select("set_a", "set_b", "set", "low", "rows").join(labels.withColumnRenamed("id", "set"), "set", "left").join(counts, "set", "left")
+    classes = stored(classes.select("set_a", "set_b", "low", F.coalesce("label", "set").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("rows") - 1).alias("n_links")))
+    lowest = classes.groupBy("class").agg(F.min("low").alias("class_id"))
+    classes = (spread_join(classes, lowest, "class", ["set_a"]).select(F.struct("set_a", "set_b").alias("key"), "class", "class_id", "n_links"))
+    keyed = known.select("doc_id", "text_hash", "n", F.struct("set_a", "set_b").alias("key"))
+    placed_rows = spread_join(keyed, classes, "key", ["doc_id"]).select("doc_id", "text_hash", "n", "class", "class_id", "n_links")
+    alone = rows.filter("doc_id is null or n = 0").select("doc_id", "text_hash", "n", F.lit(None).cast("long").alias("class"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return placed_rows.unionByName(alone)
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, tries: int = TRIES, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
@@ -338,54 +475,27 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     class_id is the smallest doc_id of the component; n_links counts the other rows with an id whose shingle sets have at least
     the threshold's similarity with the row's own, copies among them. Texts
     without words (null and empty ones too) are classes of their own without links, as are rows with a null id,
-    whose class is null. Repeated rows get the same result each, and link to each other. Other columns are not read.
+    whose class is null. Repeated rows get the same result each, and link to each other; rows that share an id but not the text are
+    rows like any others. Texts are compared whole, however long. An empty table gives an empty result. Other columns are not read.
     """
-    depth = depth_for(threshold, tries, recall=recall)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = stored(signatures(docs, words, tries, depth))
-    known = rows.filter("doc_id is not null and n > 0")
-    sets = stored(known.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"), F.first("buckets").alias("buckets"), F.first("sketch").alias("sketch")))
-    members = sets.select("rep", F.explode("buckets").alias("bucket"))
-    several = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low <> high")
-    met = stored(members.join(several.select("bucket", "size"), "bucket"))
-    known_by = met.groupBy("rep").agg(F.sum("size").alias("meets"))
-    heads = met.join(known_by, "rep").groupBy("bucket").agg(F.max(F.struct("meets", (-F.col("rep")).alias("minus"))).alias("x"))
-    shared = stored(met.join(heads.select("bucket", (-F.col("x.minus")).alias("head")), "bucket").select("bucket", "rep", "head"))
-    sizes = sets.groupBy("rep").agg(F.min(F.struct("n", "sketch")).alias("x"), F.sum("rows").alias("rows")).select("rep", "x.n", "x.sketch", "rows")
-    other = sizes.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
-    differ = F.aggregate(F.zip_with("sketch", "sketch_a", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    possible = (F.least("n", "n_a") >= F.lit(threshold) * F.greatest("n", "n_a")) & (differ <= far_apart(threshold))
+    return _classed(docs, words, threshold, tries, recall, block).select("doc_id", "class_id", "n_links")
 
-    first = stored(shared.filter("rep <> head").select(F.col("head").alias("a"), "rep").distinct().join(sizes, "rep").join(other, "a").filter(possible).select("a", F.col("rep").alias("b")))
-    wanted = shared.select(F.col("rep").alias("doc_id")).distinct()
-    vectors = shingle_sets(docs.join(wanted, "doc_id", "left_semi"), words)
-    if known.count() != known.select("doc_id").distinct().count():
-        vectors = vectors.dropDuplicates(["doc_id"])
-    vectors = stored(vectors)
-    links = stored(verified(first, vectors, threshold))
-
-    labels = components(links)
-    placed = shared.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("bucket", "rep", F.coalesce("label", "rep").alias("label"))
-    split = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-    apart = stored(placed.join(split.select("bucket"), "bucket", "left_semi"))
-    wide = stored(sketched(vectors.join(apart.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")))
-    maybe = joined(apart.join(sizes.select("rep", "n"), "rep").join(wide, "rep"), threshold, block)
-    groups = components(stored(links.select("a", "b").unionByName(maybe)))
-    held = vectors.join(groups.withColumnRenamed("id", "doc_id"), "doc_id").withColumnRenamed("doc_id", "rep").join(sizes.select("rep", "rows", "n"), "rep")
-    found = stored(linked(held.select("label", "rep", "rows", "n", "shingles"), threshold, block))
-
-    labels = components(found.filter("near <> rep").select(F.col("rep").alias("a"), F.col("near").alias("b")))
-    counts = found.groupBy(F.col("rep").alias("id")).agg(F.sum("links").alias("links"))
-    classes = sets.select("set_a", "set_b", F.col("rep").alias("id"), "rows").join(labels, "id", "left").join(counts, "id", "left")
-    classes = classes.select("set_a", "set_b", F.coalesce("label", "id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("rows") - 1).alias("n_links"))
-    placed_rows = known.join(classes, ["set_a", "set_b"]).select("doc_id", "class_id", "n_links")
-    alone = rows.filter("doc_id is null or n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return placed_rows.unionByName(alone)
 
+def one_of_each(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, tries: int = TRIES, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+    """One row of `docs` for each class, with all its columns: that with the smallest doc_id, of several texts with it that with the lowest hash.
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` that are the smallest of their class, one for each doc_id; rows with a null id stay."""
-    classes = near_duplicates(docs, **options)
-    kept = classes.filter("doc_id = class_id").select("doc_id").distinct()
-    left = docs.filter("doc_id is null").unionByName(docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
-    return left
+    Rows without an id or without words stay. Of rows that repeat id and text one stays, whichever; rows of one id with different
+    texts that are no near duplicates all stay.
+    """
+    rows = stored(_classed(docs, words, threshold, tries, recall, block))
+    id_, hash_ = free_names(docs, "id_", "hash_")
+    best = rows.filter("class is not null").groupBy("class").agg(F.min(F.struct("doc_id", "text_hash")).alias("x")).select(F.col("x.doc_id").alias(id_), F.col("x.text_hash").alias(hash_))
+    best = stored(best)
+    worded = rows.filter("class is not null").select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_))
+    bare = rows.filter("class is null and doc_id is not null").select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).distinct()
+    keyed = docs.withColumn(id_, F.col("doc_id").cast("long")).withColumn(hash_, F.xxhash64("text"))
+    kept = keyed.join(best.unionByName(bare), [id_, hash_], "left_semi")
+    if worded.join(best, [id_, hash_], "left_semi").count() > best.count():  # rows that repeat id and text
+        one = keyed.join(best, [id_, hash_], "left_semi").dropDuplicates([id_, hash_])
+        kept = one.unionByName(keyed.join(bare, [id_, hash_], "left_semi"))
+    return kept.select(*docs.columns).unionByName(docs.filter("doc_id is null"))

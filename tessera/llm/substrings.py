@@ -37,9 +37,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import mix64, shuffle_width, stored
+from tessera.llm.common import free_names, mix64, shuffle_width, stored
 
 LENGTH, PREFIX, PAD = 50, 16, 64
+NAMES = ("n_bytes", "n_removed", "n_spans", "kept")
 #: Bytes of text that one numpy pass covers, and anchors that one task gathers before it sends them.
 PASS_BYTES, FLUSH = 4 << 20, 2 << 20
 RANGES_PER_PARTITION, SAMPLE_DOCS, SAMPLE_ANCHORS = 2, 8, 8
@@ -276,12 +277,12 @@ def _passes(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         yield first, len(texts)
 
 
-def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, decoded: bool = False) -> DataFrame:
+def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, decoded: bool = False, names: tuple[str, str, str, str] = NAMES) -> DataFrame:
     """`docs` with n_bytes, n_removed, n_spans (maximal removed runs) and kept (binary: what is left).
 
     The key is an integer. Null texts count as empty; rows with a null key keep everything and take nothing
     from others. Rows with equal keys don't take from each other. Documents shorter than `length` bytes stay.
-    Other columns pass through; columns of the four new names are replaced. `decoded` puts what is left into the text column
+    Other columns pass through; columns of the four new names, or what `names` calls them, are replaced. An empty table gives an empty result. `decoded` puts what is left into the text column
     instead of `kept`, without the characters that a cut went through; uncut texts stay as they are.
     """
     if not PREFIX <= length <= PREFIX + 63 or length > PAD:
@@ -289,11 +290,14 @@ def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     spark, left = docs.sparkSession, length - PREFIX
     width = shuffle_width(spark)
     ranges = width * RANGES_PER_PARTITION
-    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept")
+    docs = docs.drop(*names)
+    hash_at, home_at = free_names(docs, "__hash", "__home")
     # Rows are told apart by their key; only where keys repeat does a hash of the text travel along.
     repeated = docs.filter(F.col(key).isNotNull()).groupBy(key).count().filter("count > 1").limit(1).count()
-    keyed = docs.withColumn("__hash", F.xxhash64(text) if repeated else F.lit(0).cast("long")).withColumn("__home", F.pmod(F.xxhash64(key, "__hash"), F.lit(width)).cast("int"))
-    lean = keyed.select(F.col(key).cast("long").alias("doc"), "__hash", "__home", F.col(text).alias("text")).filter(F.col("doc").isNotNull() & (F.octet_length("text") >= length))
+    # Rows without a key get no marks: any home does.
+    keyed = docs.withColumn(hash_at, F.when(F.col(key).isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64(text) if repeated else F.lit(0).cast("long")))
+    keyed = keyed.withColumn(home_at, F.pmod(F.xxhash64(key, hash_at), F.lit(width)).cast("int"))
+    lean = keyed.select(F.col(key).cast("long").alias("doc"), F.col(hash_at).alias("__hash"), F.col(home_at).alias("__home"), F.col(text).alias("text")).filter(F.col("doc").isNotNull() & (F.octet_length("text") >= length))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -391,15 +395,15 @@ def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", le
         x = later_windows(h, h2, doc)
         return shipment([(home_, MARK, wrap(doc[x[p]], hash_[x[p]], inside[x[p]], np.uint64(1) << a[x[p]].astype(np.uint64))) for home_, p in spread(home[x])])
 
-    def send_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send_texts(batches: Iterator[pa.RecordBatch], home: str) -> Iterator[pa.RecordBatch]:
         options = pa.ipc.IpcWriteOptions(compression="zstd")
         for batch in batches:
             rows = []
-            for home, part in spread(batch.column(batch.schema.get_field_index("__home")).to_numpy()):
+            for to, part in spread(batch.column(batch.schema.get_field_index(home)).to_numpy()):
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, batch.schema, options=options) as writer:
                     writer.write_batch(batch.take(pa.array(part)))
-                rows.append((home, TEXT, sink.getvalue().to_pybytes()))
+                rows.append((to, TEXT, sink.getvalue().to_pybytes()))
             yield shipment(rows)
 
     def at_home(batches: Iterator[pa.RecordBatch], marks: int, work: Callable, done: Callable) -> Iterator[pa.RecordBatch]:
@@ -481,7 +485,7 @@ def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", le
         def work(found, batch):
             spans, columns = found
             schema = batch.schema
-            keys = zip(batch.column(schema.get_field_index(key)).to_pylist(), batch.column(schema.get_field_index("__hash")).to_pylist(), strict=True)
+            keys = zip(batch.column(schema.get_field_index(key)).to_pylist(), batch.column(schema.get_field_index(hash_at)).to_pylist(), strict=True)
             texts, sizes, removed, runs, kept = _texts(batch, text), [], [], [], []
             for k, t in zip(keys, texts, strict=True):
                 sizes.append(len(t))
@@ -504,7 +508,7 @@ def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", le
             if decoded:
                 texts_ = pa.array([k.decode("utf-8", "ignore") if n else x.as_py() for k, n, x in zip(kept, removed, columns_[text_at], strict=True)], columns_[text_at].type)
                 columns_[text_at], kept = texts_, [None] * len(kept)
-            yield pa.RecordBatch.from_arrays([*columns_, pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], names=[*passed, "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([*columns_, pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], names=[*passed, *names])
 
         yield from at_home(batches, MARK, work, lambda home: ())
 
@@ -520,11 +524,11 @@ def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     # Anchors sort before texts at their homes; marks of both steps pass on.
     first_kind = F.when(F.col("kind") == TEXT, TEXT + 10).otherwise(F.col("kind"))
     to_home = lambda a, b: a.unionByName(b).withColumn("_first", first_kind).repartition(width, "to").sortWithinPartitions("to", "_first").drop("_first")
-    contexts = to_home(shared, lean.mapInArrow(send_texts, SHIPPED)).mapInArrow(send_contexts, SHIPPED)
+    contexts = to_home(shared, lean.mapInArrow(lambda x: send_texts(x, "__home"), SHIPPED)).mapInArrow(send_contexts, SHIPPED)
     late = stored(dealt(contexts).mapInArrow(lambda x: by_range(x, {CONTEXT: find_masks, WINDOW: find_window_masks}), SHIPPED))
     marks = early.unionByName(late)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return to_home(marks, keyed.mapInArrow(send_texts, SHIPPED)).mapInArrow(cut_texts, f"{schema}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return to_home(marks, keyed.mapInArrow(lambda x: send_texts(x, home_at), SHIPPED)).mapInArrow(cut_texts, f"{schema}, `{names[0]}` long, `{names[1]}` long, `{names[2]}` long, `{names[3]}` binary")
 
 
 def removal_digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -75,22 +75,43 @@ def test_one_chain_of_links(spark, monkeypatch):
 
 
 def test_recall_of_the_forest():
-    depth = nearjoin.depth_for()
-    assert 1 - (1 - 0.8**depth) ** nearjoin.TRIES >= nearjoin.RECALL > 1 - (1 - 0.8 ** (depth + 1)) ** nearjoin.TRIES
+    depth = nearjoin.shortest_depth()
+    assert nearjoin.found_at(0.8, depth) >= nearjoin.RECALL > nearjoin.found_at(0.8, depth + 1) and depth < nearjoin.LEVELS
     rng, hit = np.random.default_rng(2), 0
     for _ in range(200):  # pairs of sets with similarity 0.8
         words = rng.integers(0, 2**63, 100).astype(np.uint64)
         hashes = np.concatenate([np.sort(words[:90]), np.sort(words[10:])])
-        keys, _ = nearjoin.bucket_keys(hashes, np.array([0, 90, 180]), nearjoin.TRIES, depth)
-        hit += bool((keys[0] == keys[1]).any())
+        bits, _ = nearjoin.signature_bits(hashes, np.array([0, 90, 180]), nearjoin.TRIES)
+        values = bits.astype(">u8").view(">u2").reshape(2, nearjoin.TRIES, nearjoin.LEVELS)[:, :, :depth]
+        hit += bool((values[0] == values[1]).all(axis=1).any())
     assert hit >= 199
 
 
+def test_prefixes_are_shortened_until_the_links_found_speak_for_the_target():
+    close, borderline = {0.98: 500}, {0.8: 500}
+    assert nearjoin.estimated_recall(close, nearjoin.LEVELS) >= nearjoin.RECALL
+    assert nearjoin.estimated_recall(borderline, nearjoin.LEVELS) < nearjoin.RECALL <= nearjoin.estimated_recall(borderline, nearjoin.shortest_depth())
+    assert nearjoin.estimated_recall({}, nearjoin.LEVELS) < nearjoin.RECALL <= nearjoin.estimated_recall({}, nearjoin.shortest_depth())
+
+
+def test_sorted_leaves_know_their_longest_match(spark):
+    rng = np.random.default_rng(3)
+    values = rng.integers(0, 3, (60, 2, nearjoin.LEVELS)).astype(">u2")  # 60 sets, two tries
+    words = values.reshape(60, -1).copy().view(">u8").astype(np.uint64).view(np.int64)
+    sets = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(words)], "set long, words array<long>")
+    got = {(r["trie"], r["set"]): r["matched"] for r in nearjoin.sorted_leaves(sets, 2, 2).collect()}
+    shared = lambda a, b: int(np.cumprod(a == b).sum())
+    want = {(t, i): max(shared(values[i, t], values[j, t]) for j in range(60) if j != i) for t in range(2) for i in range(60)}
+    assert all(got.get(k, 0) == n or got.get(k) == nearjoin.LEVELS for k, n in want.items() if n >= 2)
+    assert sum(got[k] != want[k] for k in got) <= 2 * 4  # the ends of the ranges
+
+
 def test_edges(spark):
     rows = nearjoin.near_duplicates(tricky(spark)).collect()
     got = Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in rows)
     assert got == Counter([(1, 1, 0), (2, 2, 0), (3, 3, 0), (4, 4, 2), (4, 4, 2), (5, 4, 2), (6, 6, 0), (None, None, 0), (7, 7, 0)])
     kept = nearjoin.one_of_each(tricky(spark))
+    assert Counter((r["doc_id"], r["score"]) for r in kept.collect())[4, "score"] == 1
     assert kept.columns == tricky(spark).columns and Counter(r["doc_id"] for r in kept.collect()) == Counter([1, 2, 3, 4, 6, 7, None])
     assert nearjoin.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
@@ -99,3 +120,13 @@ def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(50, 60), (60, 55)], "a long, b long")
     got = {r["id"]: r["label"] for r in nearjoin.components(links).collect()}
     assert got == {i: 1 for i in range(1, 41)} | {50: 50, 55: 50, 60: 50}
+
+
+def test_texts_under_one_id_all_count(spark):
+    """Different texts with one id are rows like any others; of near duplicates among them one stays."""
+    a, b, c = (prose(x, 60) for x in "abc")
+    docs = spark.createDataFrame([(1, a), (1, b), (2, c), (2, a), (3, b + " end"), (3, c), (1, None), (1, "")], "doc_id long, text string")
+    got = Counter(tuple(r) for r in nearjoin.near_duplicates(docs).collect())
+    assert got == Counter([(1, 1, 1), (1, 1, 1), (2, 2, 1), (2, 1, 1), (3, 1, 1), (3, 2, 1), (1, 1, 0), (1, 1, 0)])
+    kept = Counter((r["doc_id"], r["text"]) for r in nearjoin.one_of_each(docs).collect())
+    assert kept == Counter([(1, a), (1, b), (2, c), (1, None), (1, "")])

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import duckdb
 import numpy as np
 from hypothesis import given, settings
@@ -15,21 +17,48 @@ def test_query_matches_sql(spark):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.integers(1, 60), st.integers(1, 8), st.integers(1, 12), st.integers(0, 10**6), st.sampled_from([1, 3, 64, 5000]))
-def test_block_is_exact(n, dims, k, seed, spread):
+@given(st.integers(1, 60), st.integers(1, 8), st.integers(0, 10**6), st.sampled_from([1, 3, 64, 5000, 10**8, 2**61]))
+def test_cells_bound_every_score(n, dims, seed, spread):
     rng = np.random.default_rng(seed)
     data = rng.integers(-spread, spread + 1, (n, dims))
-    data[rng.random(n) < 0.4] = data[0]
-    ids = rng.permutation(n) * 3
-    for q, (scores, found) in zip(ids[:5], topk.block_topk(data[:5], ids[:5], data, ids, k), strict=True):
-        every = sorted((-int(data[i] @ data[list(ids).index(q)]), int(ids[i])) for i in range(n) if ids[i] != q)[:k]
-        assert [(-int(s), int(i)) for s, i in zip(scores, found, strict=True)] == every
+    low, width, cells = topk.cells_of(data)
+    lower, upper = topk.bounds(data[:5], low, width, cells)
+    for i in range(min(5, n)):
+        for j in range(n):
+            score = sum(int(a) * int(b) for a, b in zip(data[i], data[j], strict=True))
+            assert lower[i, j] <= score <= upper[i, j]
+
+
+def brute(vectors, k, is_query):
+    out = []
+    for i, q in vectors:
+        if is_query(i):
+            every = sorted((-max(topk.LOW, min(topk.HIGH, sum(a * b for a, b in zip(q, v, strict=True)))), j) for j, v in vectors if j != i)[:k]
+            out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(every)]
+    return sorted(out)
+
+
+def test_large_components_are_exact(spark):
+    rng = np.random.default_rng(4)
+    for size in (10**8, 10**9, 2**62):  # products beyond 2^53, sums near 2^63, sums beyond
+        vectors = [(i, [int(x) for x in rng.integers(-size, size, 12)]) for i in range(150)]
+        vectors += [(200 + i, vectors[0][1]) for i in range(5)]
+        df = spark.createDataFrame(vectors, "vec_id long, v array<long>")
+        got = sorted(tuple(r) for r in topk.exact_topk(df, "vec_id % 20 = 0", 7, block=32, query_block=3, group=2).collect())
+        assert got == brute(vectors, 7, lambda i: i % 20 == 0)
+
+
+def test_repeated_rows_are_dealt_by_place(spark):
+    vectors = [(7, [1, 2])] * 300 + [(20, [3, 4]), (20, [3, 5])]
+    df = spark.createDataFrame(vectors, "vec_id long, v array<long>").repartition(3)
+    got = Counter(tuple(r) for r in topk.exact_topk(df, "vec_id % 20 = 0", 3, block=50, query_block=1).collect())
+    assert got == Counter([(20, r, 7, s) for s in (11, 13) for r in (1, 2, 3)])
 
 
 def test_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.5]), (1, [1.0, 0.5]), (2, [1.0, 0.5]), (3, None), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, []), (20, [-1.0, 2.0]), (None, [1.0, 1.0]), (8, [1.0, 2.0, 3.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 as score", "2 as rank", "3 as block")
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 as score", "2 as rank", "3 as block", "4 as row")
     got = sorted(tuple(r) for r in topk.exact_topk(topk.integer_vectors(df), "vec_id % 20 = 0", 2).collect())
     assert got == [(0, 1, 1, 64 * 64 + 32 * 32), (0, 2, 2, 64 * 64 + 32 * 32), (20, 1, 0, 0), (20, 2, 1, 0)]
     assert topk.exact_topk(topk.integer_vectors(df.limit(0)), "vec_id % 20 = 0", 2).count() == 0
