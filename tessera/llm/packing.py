@@ -4,7 +4,7 @@ Documents are tokenised where they lie; what is shuffled is one small row per pi
 planned on the histogram of piece lengths, which has at most `capacity` entries whatever the input
 holds, and each piece then finds its bin from its rank among the pieces of its length. So the driver
 sees counts only, never pieces, and no task sees all pieces of one length: ranks are taken within
-(length, salt) and shifted by the counts of the salts before.
+(length, salt) and shifted by the counts of the salts before. Pieces that fill a sequence need no rank: each is one.
 
 Planning, in the order of the method:
   1. lengths above a third of the capacity meet at most twice per bin: the longest takes the longest
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import free_names, stored
 
 SALTS = 64
 #: Fixed value: the word pattern of the byte-level vocabulary.
@@ -60,8 +60,8 @@ class ByteBpe:
             return self.library_ids(text)
         try:
             return np.array(self.encoding.encode_ordinary(text), dtype="<u4")
-        except BaseException as error:  # the engine's own panics are not Exceptions
-            if isinstance(error, (KeyboardInterrupt, SystemExit, MemoryError)):
+        except BaseException as error:
+            if type(error).__name__ != "PanicException":  # what the engine raises on texts it refuses; no subclass of Exception and importable from nowhere
                 raise
             return self.library_ids(text)
 
@@ -162,36 +162,44 @@ def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int
 def pack(pieces: DataFrame, capacity: int = 1024, salts: int = SALTS) -> DataFrame:
     """`pieces` with sequence_id and offset. Lengths lie between 1 and `capacity`.
 
-    `pieces` is read twice, so it should be a stored table. An empty table gives an empty result.
-    Identical rows are interchangeable; every other row's place follows from its columns.
+    Pieces as long as the capacity are sequences of their own and are not ranked. The others get a salt by their place in the table, so
+    that no (length, salt) gathers equal rows; there are `salts` of them, and more from `salts` x 2^20 pieces on. Columns of `pieces` pass
+    through, whatever their names, but for sequence_id and offset, which are replaced. An empty table gives an empty result.
     """
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    pieces = pieces.drop("sequence_id", "offset")
+    kept = [f.name for f in pieces.schema]
+    place_at, salt_at, rank_at = free_names(pieces, "place_", "salt_", "rank_")
+    table = stored(pieces.withColumn(place_at, F.xxhash64(F.monotonically_increasing_id())))  # written once, so each piece keeps its place
+    salts = max(salts, min(4096, table.count() >> 20))
+    salted = table.filter(F.col("length") < capacity).withColumn(salt_at, F.pmod(place_at, F.lit(salts)).cast("int"))
     count = np.zeros((capacity + 1, salts), dtype=np.int64)
-    for row in salted.groupBy("length", "_salt").count().collect():  # at most capacity x salts rows
-        count[row["length"], row["_salt"]] = row["count"]
+    for row in salted.groupBy("length", salt_at).count().collect():  # at most capacity x salts rows
+        count[row["length"], row[salt_at]] = row["count"]
     base = np.cumsum(count, axis=1) - count
     runs = np.array(sorted(plan_bins({i: int(n) for i, n in enumerate(count.sum(axis=1))}, capacity)), dtype=np.int64).reshape(-1, 5)
     span = np.int64(1) << np.int64(44)
     starts = runs[:, 0] * span + runs[:, 1]
-    kept = [f.name for f in pieces.schema]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            length, salt, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", "_salt", "_rank"))
+            length, salt, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", salt_at, rank_at))
             rank = base[length, salt] + rank - 1
             run = np.searchsorted(starts, length * span + rank, side="right") - 1
             sequence = runs[run, 3] + rank - runs[run, 1]
             arrays = [batch.column(batch.schema.get_field_index(c)) for c in kept]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(sequence), pa.array(runs[run, 4])], names=[*kept, "sequence_id", "offset"])
 
-    order = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = salted.withColumn("_rank", F.row_number().over(order).cast("long"))
+    order = Window.partitionBy("length", salt_at).orderBy("doc_id", "piece", "start", "ids_crc32")
+    ranked = salted.withColumn(rank_at, F.row_number().over(order).cast("long"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return ranked.mapInArrow(place, f"{schema}, sequence_id long, `offset` long")
+    placed = ranked.mapInArrow(place, f"{schema}, sequence_id long, `offset` long")
+    bins = int((runs[:, 3] + runs[:, 2]).max(initial=0))
+    full = table.filter(F.col("length") >= capacity).select(*kept, (F.monotonically_increasing_id() + bins).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return placed.unionByName(full)
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
     """Tokenise, cut and pack whole documents: (doc_id, piece, start, length, ids_crc32, sequence_id, offset)."""
-    return pack(stored(token_pieces(docs, vocabulary, capacity, end_id)), capacity)
+    return pack(token_pieces(docs, vocabulary, capacity, end_id), capacity)

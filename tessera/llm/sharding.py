@@ -4,10 +4,10 @@ A key goes to the first virtual node clockwise of its hash; keys that a full sha
 clockwise to the next shard that has room. Which keys overflow follows from the counts of keys per
 ring segment alone, so the driver walks the ring over `shards x vnodes` counts (times the salts) and
 never over keys. Within a segment keys are ordered by salt and hash; a prefix stays with the segment's
-own shard and the rest is handed on in runs. One shuffle by (segment, salt) ranks the keys.
+own shard and the rest is handed on in runs. Equal texts lie apart under law `rows`, as counts alone decide there. One shuffle by (segment, salt) ranks the keys.
 
 The bound on a shard's load is ceil(load_factor * mean). At load_factor 1 each shard takes exactly
-floor or ceil of the mean, so counts differ by one at most (law `rows`).
+floor or ceil of the mean, so counts differ by one at most (law `rows`); movement is least at larger factors.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.common import free_names, stored
+
 RING_BITS = 52
 SALTS = 8
 
@@ -76,9 +78,12 @@ def shard(rows: DataFrame, key: str, order: list[str], shards: int = 40, vnodes:
     """`rows` with shard (int) and slot (long, gapless from 0 in each shard).
 
     The ring position is a hash of `key` (null counts as a value of its own). Rows with equal keys
-    share a segment, where salts hashed from key and `order` spread them over tasks; fully identical
-    rows are interchangeable. An empty table gives an empty result. Other columns pass through.
+    share a segment, where salts by their place in the table spread them over tasks; fully identical
+    rows are interchangeable. An empty table gives an empty result. Other columns pass through, whatever their names, but for
+    shard and slot, which are replaced.
     """
+    rows = rows.drop("shard", "slot")
+    at_, segment_, salt_, rank_, run_, before_, runs_ = free_names(rows, "at_", "segment_", "salt_", "rank_", "run_", "before_", "runs_")
     spark = rows.sparkSession
     nodes = ring(shards, vnodes)
     owners = [s for _, s in nodes]
@@ -91,32 +96,32 @@ def shard(rows: DataFrame, key: str, order: list[str], shards: int = 40, vnodes:
     first = [bisect.bisect_left(positions, c << (RING_BITS - bits)) for c in range(1 << bits)]
     inside = [[positions[i] for i in c] for c in cells]
     at = F.shiftrightunsigned(F.xxhash64(F.lit("ring"), F.col(key)), 64 - RING_BITS)
-    cell = F.shiftright(F.col("_at"), RING_BITS - bits).cast("int") + 1
+    cell = F.shiftright(F.col(at_), RING_BITS - bits).cast("int") + 1
     segment = F.pmod(
-        F.element_at(_table(first, "array<int>"), cell) + F.size(F.filter(F.element_at(_table(inside, "array<array<bigint>>"), cell), lambda p: p < F.col("_at"))),
+        F.element_at(_table(first, "array<int>"), cell) + F.size(F.filter(F.element_at(_table(inside, "array<array<bigint>>"), cell), lambda p: p < F.col(at_))),
         F.lit(len(nodes)),
     )
-    salt = F.pmod(F.xxhash64(F.lit("salt"), F.col(key), *order), F.lit(salts)).cast("int")
-    placed = rows.withColumn("_at", at).withColumn("_segment", segment.cast("int")).withColumn("_salt", salt)
+    salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)).cast("int")
+    placed = stored(rows.withColumn(at_, at).withColumn(segment_, segment.cast("int")).withColumn(salt_, salt))  # written once, so each row keeps its salt
     counts = [[0] * salts for _ in nodes]
-    for r in placed.groupBy("_segment", "_salt").count().collect():  # at most shards x vnodes x salts rows
-        counts[r["_segment"]][r["_salt"]] = r["count"]
+    for r in placed.groupBy(segment_, salt_).count().collect():  # at most shards x vnodes x salts rows
+        counts[r[segment_]][r[salt_]] = r["count"]
     total = sum(map(sum, counts))
     runs = walk(counts, owners, limits(total, shards, load_factor))
     before = [[sum(c[:i]) for i in range(salts)] for c in counts]
     lookup = spark.createDataFrame(
         [(i, before[i], [{"a": a, "s": s, "b": b} for a, s, b in runs[i]]) for i in range(len(nodes)) if runs[i]],
-        "_segment int, _before array<bigint>, _runs array<struct<a: bigint, s: int, b: bigint>>",
+        f"`{segment_}` int, `{before_}` array<bigint>, `{runs_}` array<struct<a: bigint, s: int, b: bigint>>",
     )
-    window = Window.partitionBy("_segment", "_salt").orderBy("_at", key, *order)
-    ranked = placed.withColumn("_rank", F.row_number().over(window).cast("long") - 1)
-    rank = F.col("_rank") + F.element_at("_before", F.col("_salt") + 1)
-    run = F.element_at(F.filter("_runs", lambda x: x["a"] <= F.col("_rank")), -1)
+    window = Window.partitionBy(segment_, salt_).orderBy(at_, key, *order)
+    ranked = placed.withColumn(rank_, F.row_number().over(window).cast("long") - 1)
+    rank = F.col(rank_) + F.element_at(before_, F.col(salt_) + 1)
+    run = F.element_at(F.filter(runs_, lambda x: x["a"] <= F.col(rank_)), -1)
     return (
-        ranked.join(F.broadcast(lookup), "_segment")  # shards x vnodes rows
-        .withColumn("_rank", rank)
-        .withColumn("_run", run)
-        .select(*rows.columns, F.col("_run.s").alias("shard"), (F.col("_run.b") + F.col("_rank") - F.col("_run.a")).alias("slot"))
+        ranked.join(F.broadcast(lookup), segment_)  # shards x vnodes rows
+        .withColumn(rank_, rank)
+        .withColumn(run_, run)
+        .select(*rows.columns, F.col(f"{run_}.s").alias("shard"), (F.col(f"{run_}.b") + F.col(rank_) - F.col(f"{run_}.a")).alias("slot"))
     )
 
 
