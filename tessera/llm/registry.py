@@ -51,7 +51,7 @@ def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
 def op7_media(spark: SparkSession, folder: str) -> DataFrame:
     from tessera.llm.media import media_rows
 
-    return media_rows(table(spark, folder, "documents")).drop("clips")
+    return media_rows(table(spark, folder, "documents"))
 
 
 def op8_jaccard(spark: SparkSession, folder: str) -> DataFrame:

@@ -10,7 +10,7 @@ equal windows hold equal anchors, and every window of `length` bytes holds one.
      prefixes, so suffixes that could match never lie on two sides of a boundary: the comparison across
      boundaries is decided by where the boundaries lie. Suffixes whose prefix starts in two documents remain.
   2. Those fetch their context (all windows around the anchor) from the texts and go to the same ranges, where equal
-     windows meet and the smallest document of each is found; a mask says which windows of the anchor go.
+     windows meet and the smallest document of each is found: hashes of windows propose, their bytes decide; a mask says which windows of the anchor go.
   3. Masks return to the texts, which lose what the windows cover.
 
 No prefix gathers all its anchors in one task, even where a third of all rows share a passage:
@@ -164,14 +164,29 @@ def range_of(w0: np.ndarray, w1: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return out.astype(np.int32)
 
 
-def first_of_each(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Whether no row with the same hash has a smaller document."""
-    order = np.argsort(h, kind="stable")
-    starts = np.flatnonzero(np.concatenate([[True], h[order[1:]] != h[order[:-1]]])) if len(h) else np.empty(0, np.int64)
-    out = np.empty(len(h), dtype=bool)
+def earliest(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each row a row of the smallest document among those with its hash; a row of the smallest document is its own."""
+    order = np.lexsort((doc, h))
+    out = np.empty(len(h), dtype=np.int64)
     if len(h):
-        least = np.repeat(np.minimum.reduceat(doc[order], starts), np.diff(np.append(starts, len(h))))
-        out[order] = doc[order] == least
+        starts = np.flatnonzero(np.concatenate([[True], h[order[1:]] != h[order[:-1]]]))
+        out[order] = np.repeat(order[starts], np.diff(np.append(starts, len(h))))
+        own = doc[out] == doc
+        out[own] = np.flatnonzero(own)
+    return out
+
+
+def first_windows(h: np.ndarray, doc: np.ndarray, context: np.ndarray, rows: np.ndarray, low: int, length: int) -> np.ndarray:
+    """Whether the bytes [low, low + length) of each context lie in no context of a smaller document; hashes propose, bytes decide."""
+    first = earliest(h, doc)
+    later = np.flatnonzero(first != np.arange(len(h)))
+    out = np.ones(len(h), dtype=bool)
+    out[later] = False
+    for at in range(0, len(later), 1 << 15):
+        x = later[at : at + (1 << 15)]
+        if (context[rows[x], low : low + length] != context[rows[first[x]], low : low + length]).any():
+            _, same = np.unique(np.ascontiguousarray(context[rows, low : low + length]).view(f"V{length}").ravel(), return_inverse=True)
+            return earliest(same, doc) == np.arange(len(h))
     return out
 
 
@@ -223,7 +238,7 @@ def window_masks(context: np.ndarray, whole: np.ndarray, doc: np.ndarray, length
     """Bit a: the window that starts a bytes before the anchor also lies, as far before its anchor, in a smaller document."""
     mask = np.zeros(len(context), dtype=np.uint64)
     for a, have, h in window_hashes(context, whole, length):
-        later = ~first_of_each(h, doc[have])
+        later = ~first_windows(h, doc[have], context, have, length - PREFIX - a, length)
         mask[have[later]] |= np.uint64(1) << np.uint64(a)
     return mask
 
@@ -233,7 +248,7 @@ def least_windows(context: np.ndarray, whole: np.ndarray, doc: np.ndarray, lengt
     mask, found = np.zeros(len(context), dtype=np.uint64), []
     second = window_hashes(context, whole, length, 0x9E3779B97F4A7C15)
     for (a, have, h), (_, _, h2) in zip(window_hashes(context, whole, length), second, strict=True):
-        first = first_of_each(h, doc[have])
+        first = first_windows(h, doc[have], context, have, length - PREFIX - a, length)
         mask[have[~first]] |= np.uint64(1) << np.uint64(a)
         found.append((have[first], np.full(int(first.sum()), a, dtype=np.uint8), h[first], (h2[first] >> np.uint64(32)).astype(np.uint32)))
     return mask, *(np.concatenate(c) for c in zip(*found, strict=True))
@@ -320,8 +335,10 @@ def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", le
         def flush() -> pa.RecordBatch:
             h, w0, w1, doc, hash_, home, inside, size = (np.concatenate(c) for c in zip(*gathered, strict=True))
             gathered.clear()
-            first = first_of_each(h, doc)
-            gone, rows = np.flatnonzero(~first), []
+            before = earliest(h, doc)
+            gone = np.flatnonzero((before != np.arange(len(h))) & (w0 == w0[before]) & (w1 == w1[before]))  # the hash covers the bytes beyond these words
+            first, rows = np.ones(len(h), dtype=bool), []
+            first[gone] = False
             for home_, part in spread(home[gone]):
                 x = gone[part]
                 rows.append((home_, MARK, wrap(doc[x], hash_[x], inside[x].astype(np.uint32), whole_mask(inside[x], size[x], length))))
@@ -454,8 +471,12 @@ def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", le
                 return
             h, context, whole, doc, hash_, inside = (np.concatenate(c) for c in zip(*gathered, strict=True))
             gathered.clear()
-            first = first_of_each(h, doc)
-            gone, kept, rows = np.flatnonzero(~first), np.flatnonzero(first), []
+            before = earliest(h, doc)
+            later = np.flatnonzero(before != np.arange(len(h)))
+            gone = later[(context[later] == context[before[later]]).all(axis=1) & (whole[later] == whole[before[later]])]
+            first, rows = np.ones(len(h), dtype=bool), []
+            first[gone] = False
+            kept = np.flatnonzero(first)
             if len(gone):
                 rows.append((home, MARK, wrap(doc[gone], hash_[gone], inside[gone], whole[gone])))
             word = np.ascontiguousarray(context[kept, left : left + PREFIX]).view(">u8").astype(np.uint64)

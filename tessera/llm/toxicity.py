@@ -23,13 +23,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.language import remainder
 
 DECAY, SPAN, WIDTH, STRIDE, LANDMARKS = 0.6, 6, 20, 10, 64
-PER_CLASS, NEGATIVES, ROUNDS, REMEMBERED = 1200, 20000, 4, 400_000
+#: Bounds of the fit alone: labelled texts of a class, words of either class, candidates for landmarks of either kind. Scores know no bound.
+PER_CLASS, NEGATIVES, CANDIDATES = 1200, 20000, 300
+ROUNDS, REMEMBERED = 4, 400_000
 #: One letter at a time, as in i d i o t.
 SPACED = re.compile(r"(?:\b[^\W\d_]\b[\s.*_-]{1,3}){3,}[^\W\d_]\b")
 
@@ -43,34 +45,46 @@ def tokens(text: str | None) -> set[str]:
 
 
 def pieces(word: str) -> list[str]:
-    """A word without the punctuation around it, in overlapping stretches if it is long; none under three characters."""
+    """A word without the punctuation around it, in overlapping stretches if it is long."""
     word = word.strip("\"'`.,;:!?()[]{}<>|/\\%&$#*-_~+=«»“”…")
     if len(word) <= WIDTH:
-        return [word] if len(word) >= 3 else []
+        return [word] if word else []
     return [word[i : i + WIDTH] for i in range(0, len(word) - STRIDE, STRIDE)]
 
 
 @dataclass
 class Subsequences:
-    """The subsequences of three of words, numbered over an alphabet of 63 letters (0: any other)."""
+    """Numbers for the subsequences of three of some words, all of their letters included.
 
-    alphabet: np.ndarray  # code point -> letter
+    Other words are numbered by them too: what they have besides is in no such word and adds nothing to a kernel value with one.
+    """
+
+    letters: np.ndarray  # code point -> letter, 0: in none of the words
+    size: int
+    known: np.ndarray | None = None  # sorted subsequences, where all triples of letters would be too many
 
     @classmethod
-    def of(cls, words: list[str]) -> Subsequences:
-        table = np.zeros(1 << 16, dtype=np.int32)
-        for i, (c, _) in enumerate(Counter(c for w in words for c in w if ord(c) < 1 << 16).most_common(61)):
-            table[ord(c)] = i + 3
-        table[1], table[2] = 1, 2
-        return cls(table)
-
-    def numbers(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def of(cls, words: list[str], dense: int = 1 << 18) -> Subsequences:
+        letters = np.zeros(0x110000, dtype=np.int32)
+        letters[[1, 2, *sorted({ord(c) for w in words for c in w})]] = 1
+        letters = np.cumsum(letters, dtype=np.int32) * letters
+        size = int(letters.max()) + 1
+        if size**3 <= dense:
+            return cls(letters, size)
+        plain = cls(letters, size).numbers(words, plain_only=True)
+        return cls(letters, size, np.unique(plain[plain >= 0]))
+
+    @property
+    def rows(self) -> int:
+        return self.size**3 if self.known is None else len(self.known)
+
+    def numbers(self, words: list[str], plain_only: bool = False):
         """(words x subsequences) numbers, -1 where there is none; their weights; each word's own norm."""
         width = max(map(len, words)) + 2
         points = np.zeros((len(words), width), dtype=np.int64)
         for i, w in enumerate(words):
             points[i, : len(w) + 2] = [1, *map(ord, w), 2]
-        letters = self.alphabet[np.minimum(points, (1 << 16) - 1)]
+        letters = self.letters[points].astype(np.int64)
         plain, coded, weights = [], [], []
         for far in range(2, min(SPAN, width)):
             for near in range(1, far):
@@ -78,10 +92,16 @@ class Subsequences:
                 whole = points[:, c] > 0
                 plain.append(np.where(whole, (points[:, a] << 42) | (points[:, b] << 21) | points[:, c], -1))
                 x, y, z = letters[:, a], letters[:, b], letters[:, c]
-                coded.append(np.where(whole & (x > 0) & (y > 0) & (z > 0), (x << 12) | (y << 6) | z, -1))
+                if self.known is None:
+                    coded.append(np.where(whole & (x > 0) & (y > 0) & (z > 0), (x * self.size + y) * self.size + z, -1))
                 weights.append(np.full(width - far, DECAY ** (far + 1), dtype=np.float32))
         weight = np.concatenate(weights)
         every = np.concatenate(plain, axis=1)
+        if plain_only:
+            return every
+        if self.known is not None:
+            place = np.minimum(np.searchsorted(self.known, every), len(self.known) - 1)
+            coded = [np.where(self.known[place] == every, place, -1)]
         order = np.argsort(every, axis=1, kind="stable")
         every = np.take_along_axis(every, order, axis=1)
         new = np.ones(every.shape, dtype=bool)
@@ -94,7 +114,7 @@ class Subsequences:
     def table(self, landmarks: list[str]) -> np.ndarray:
         """(subsequences, landmarks): each landmark's normalised weight of each subsequence; the last row, for none, is zero."""
         numbers, weight, norm = self.numbers(landmarks)
-        out = np.zeros(((1 << 18) + 1, len(landmarks)), dtype=np.float32)
+        out = np.zeros((self.rows + 1, len(landmarks)), dtype=np.float32)
         for i, row in enumerate(numbers):
             np.add.at(out[:, i], row[row >= 0], weight[row >= 0] / norm[i])
         return out
@@ -159,7 +179,8 @@ def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
 
 
 def train(samples: list[tuple[str, int]], clean_share: float | None = None, landmarks: int = LANDMARKS, negatives: int = NEGATIVES, rounds: int = ROUNDS, seed: int = 1) -> Machine | None:
-    """Fit on (text, 0 or 1) samples; None unless both classes have words. clean_share: of label 0 where the sample comes from, if it differs."""
+    """Fit on (text, 0 or 1) samples; None unless both classes have words. Of the words of either class at most `negatives` are drawn, of the most frequent
+    witnesses and of the drawn ordinary words CANDIDATES may become landmarks. clean_share: of label 0 where the sample comes from, if it differs."""
     rng = np.random.default_rng(seed)
     bags = [(sorted({p for w in tokens(t) for p in pieces(w)}), label) for t, label in sorted(samples)]
     toxic, clean = [b for b, label in bags if label and b], [b for b, label in bags if not label and b]
@@ -176,9 +197,9 @@ def train(samples: list[tuple[str, int]], clean_share: float | None = None, land
     plain = [plain[i] for i in rng.permutation(len(plain))[:negatives]]
     words = sorted({w for b in toxic for w in b})
     words = [words[i] for i in rng.permutation(len(words))[:negatives]]
-    subsequences = Subsequences.of(words + plain)
 
     def spread(candidates: list[str], number: int) -> list[str]:
+        subsequences = Subsequences.of(candidates)
         table = subsequences.table(candidates)
         return [candidates[i] for i in _farthest(subsequences.apply(candidates, table), number)]
 
@@ -188,10 +209,11 @@ def train(samples: list[tuple[str, int]], clean_share: float | None = None, land
 
     hard: list[str] = []
     for turn in range(2):  # the second time with the mistakable words as landmarks
-        common = [w for w, _ in Counter(witness).most_common(300)]
+        common = [w for w, _ in Counter(witness).most_common(CANDIDATES)]
         marks = spread(common, landmarks // 2) + (spread(hard, landmarks // 4) if hard else [])
-        marks += spread(plain[:300], landmarks - len(marks))
+        marks += spread(plain[:CANDIDATES], landmarks - len(marks))
         marks = list(dict.fromkeys(marks))
+        subsequences = Subsequences.of(marks)
         table = subsequences.table(marks)
         values, vectors = np.linalg.eigh(subsequences.apply(marks, table).astype(np.float64))
         good = values > 1e-6
@@ -281,21 +303,25 @@ def score_texts(docs: DataFrame, machine: Machine | None, text: str = "text") ->
     return docs.mapInArrow(run, f"{schema}, score double, predicted int")
 
 
-def labelled_sample(rows: DataFrame, per_class: int = PER_CLASS) -> tuple[list[tuple[str, int]], float]:
-    """At most `per_class` (text, label) rows of each class, chosen by a hash of the text, and the share of label 0 among all."""
-    rows = rows.filter("text is not null and label in (0, 1)").select("text", F.col("label").cast("int").alias("label"), F.xxhash64("text").alias("_h"))
-    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    out = []
-    for label, n in counts.items():
-        near = rows.filter((F.col("label") == label) & (F.pmod("_h", F.lit(1 << 20)) <= min(1.0, 1.5 * per_class / n) * (1 << 20)))
-        found = sorted((r["_h"], r["text"]) for r in near.limit(2 * per_class).collect())
-        out += [(t, label) for _, t in found[:per_class]]
+def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[list[tuple[str, int]], float]:
+    """At most `per_class` (text, label) of each class and the share of label 0 among all labels.
+
+    Twice as many ids are drawn on the small side, `labels` (doc_id, label), those that hash lowest, the same in every run; only their texts are fetched,
+    one for each id. Ids with a null text or none don't count.
+    """
+    labels = labels.filter("doc_id is not null and label in (0, 1)").select("doc_id", F.col("label").cast("int").alias("label"))
+    counts = {r["label"]: r["count"] for r in labels.groupBy("label").count().collect()}
+    order = Window.partitionBy("label").orderBy("h", "doc_id")
+    drawn = labels.withColumn("h", F.xxhash64("doc_id")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= 2 * per_class)
+    texts = docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(drawn.select("doc_id", "label", "h")), "doc_id")  # 4 x per_class rows
+    found = sorted((r["label"], r["h"], r["doc_id"], r["text"]) for r in texts.groupBy("label", "h", "doc_id").agg(F.min("text").alias("text")).collect())
+    out = [(t, label) for wanted in counts for t, label in [(t, label) for label, _, _, t in found if label == wanted][:per_class]]
     return out, counts.get(0, 0) / max(1, sum(counts.values()))
 
 
 def toxicity_held_out(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted): trained on labelled rows whose crc32(doc_id) mod 5 is not 0; a null doc_id is neither."""
     known = labels.filter(remainder("doc_id", 5) != 0).groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    machine = train(*labelled_sample(docs.select("doc_id", "text").join(known, "doc_id")))
+    machine = train(*labelled_sample(docs, known))
     held = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
     return score_texts(docs.select("doc_id", "text"), machine).select("doc_id", held.alias("held_out"), "score", "predicted")

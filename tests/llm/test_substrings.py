@@ -108,3 +108,13 @@ def test_a_prefix_seen_in_two_documents_sends_two_rows():
     shared, ends, sizes = substrings.shared_here(w0, w1, doc)
     assert shared.tolist() == [True] * 1000 + [False] * 3
     assert doc[ends].tolist() == [[0], [999]] and sizes.tolist() == [1000]
+
+
+def test_bytes_decide_where_hashes_agree():
+    rng = np.random.default_rng(0)
+    context = rng.integers(0, 2, (40, 5)).astype(np.uint8)
+    doc, rows = rng.integers(0, 6, 40), np.arange(40)
+    for h in (np.zeros(40, np.uint64), context[:, 1].astype(np.uint64)):  # every hash the same; some
+        got = substrings.first_windows(h, doc, context, rows, 1, 3)
+        want = [not any((context[j, 1:4] == context[i, 1:4]).all() and doc[j] < doc[i] for j in range(40)) for i in range(40)]
+        assert got.tolist() == want
