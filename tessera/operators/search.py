@@ -6,13 +6,15 @@ shuffle; metadata filters apply before any similarity is computed, and a top-k i
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.vectors import cosine
+from tessera.functions.vectors import dot, norm
 
 
 @dataclass(frozen=True)
@@ -27,12 +29,15 @@ class Limits:
 
 
 def literal(vector: Sequence[float]) -> Column:
-    return F.array(*[F.lit(float(x)) for x in vector])
+    """One array literal, however wide."""
+    return F.from_json(F.lit(json.dumps([float(x) for x in vector])), "array<double>")
 
 
 def with_similarity(rows: DataFrame, query: Sequence[float], vector: str = "embedding", digits: int = 6) -> DataFrame:
-    """`rows` with similarity (rounded, so that a threshold doesn't hang on the order of additions); rows with a zero or null vector go."""
-    return rows.withColumn("similarity", F.round(cosine(F.col(vector), literal(query)), digits)).filter("similarity is not null")
+    """`rows` with similarity (rounded, so that a threshold doesn't hang on the order of additions), which replaces a column of that name; rows with a zero or null vector go."""
+    asked = literal(query)
+    similarity = dot(F.col(vector), asked) / F.nullif(norm(F.col(vector)) * F.lit(math.sqrt(sum(float(x) ** 2 for x in query))), F.lit(0.0))
+    return rows.withColumn("similarity", F.round(similarity, digits)).filter("similarity is not null")
 
 
 def top_k(rows: DataFrame, query: Sequence[float], k: int | None, threshold: float | None, key: str, vector: str = "embedding") -> DataFrame:
@@ -44,16 +49,21 @@ def top_k(rows: DataFrame, query: Sequence[float], k: int | None, threshold: flo
     return found if k is None else found.limit(k)
 
 
-def top_k_each(rows: DataFrame, queries: dict[int, Sequence[float]], k: int, key: str, vector: str = "embedding") -> DataFrame:
-    """top_k for several query vectors at once: query_id, rank and the row. A query's own row is left out.
+def top_k_each(rows: DataFrame, queries: DataFrame, k: int, key: str, vector: str = "embedding", block: int = 64) -> DataFrame:
+    """top_k for a table of queries (key, vector) at once: query_id, rank and the row. A query's own row is left out.
 
-    One pass over the corpus makes as many rows as queries; ranks are cut per task before the shuffle by Spark's window group limit.
+    Queries lie in blocks of about `block`; each part of the rows meets each block once, on (block, part). Ranks are
+    cut per task before the shuffle by Spark's window group limit.
     """
-    asked = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("query_id"), literal(v).alias("v")) for i, v in queries.items()]))
-    scored = rows.withColumn("_q", asked).filter(F.col("_q.query_id") != F.col(key))
-    scored = scored.withColumn("similarity", F.round(cosine(F.col(vector), F.col("_q.v")), 6)).withColumn("query_id", F.col("_q.query_id"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    blocks = max(1, -(-queries.count() // block))
+    asked = queries.filter(norm(F.col(vector)) > 0).select(F.struct(F.col(key).cast("long").alias("query_id"), F.col(vector).alias("v"), norm(F.col(vector)).alias("n")).alias("_q"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("_block"))
+    asked = asked.groupBy("_block").agg(F.collect_list("_q").alias("_qs")).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    met = rows.withColumn("_n", norm(F.col(vector))).filter("_n > 0").withColumn("_part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    scored = met.join(asked.withColumn("_block", F.col("_block").cast("int")), ["_block", "_part"]).withColumn("_q", F.explode("_qs")).filter(F.col("_q.query_id") != F.col(key))
+    scored = scored.withColumn("similarity", F.round(dot(F.col(vector), F.col("_q.v")) / (F.col("_n") * F.col("_q.n")), 6)).withColumn("query_id", F.col("_q.query_id"))
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), key)
-    return scored.filter("similarity is not null").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("_q")
+    return scored.drop("_q", "_qs", "_block", "_part", "_n").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def restricted(rows: DataFrame, column: str, keys: DataFrame | Sequence | None) -> DataFrame:
@@ -77,11 +87,13 @@ def hierarchical(rows: DataFrame, query: Sequence[float], key: str, component: s
 
     The chunk search sees every collected path, even where the list of files returned is cut.
     """
-    hits = top_k(rows, query, limits.hits, limits.threshold, key)
-    best = hits.groupBy(component).agg(F.max("similarity").alias("_s")).orderBy(F.desc("_s"), component).limit(limits.components)
-    children = first_of_each(rows.join(F.broadcast(best.select(component)), component, "left_semi"), component, key, limits.files)  # at most a few components
-    paths = hits.select(key).union(children.select(key)).distinct()
-    near = rows.join(paths, key, "left_semi")
-    none = hits.agg((F.count(F.lit(1)) == 0).alias("fallback"))  # one row
-    searched = near.withColumn("fallback", F.lit(False)).unionByName(rows.join(F.broadcast(none.filter("fallback")), how="inner"))
-    return with_similarity(searched, query).orderBy(F.desc("similarity"), key).limit(limits.chunks)
+    hits = top_k(rows, query, limits.hits, limits.threshold, key).select(key, component, "similarity").collect()  # at most limits.hits rows
+    if not hits:
+        return top_k(rows, query, limits.chunks, None, key).withColumn("fallback", F.lit(True))
+    best: dict = {}
+    for r in hits:
+        best[r[component]] = max(best.get(r[component], -2.0), r["similarity"])
+    components = sorted((c for c in best if c is not None), key=lambda c: (-best[c], c))[: limits.components]
+    children = first_of_each(rows.filter(F.col(component).isin(components)).select(key, component), component, key, limits.files).collect()  # components x files rows
+    paths = list({r[key] for r in [*hits, *children]})
+    return top_k(rows.filter(F.col(key).isin(paths)), query, limits.chunks, None, key).withColumn("fallback", F.lit(False))

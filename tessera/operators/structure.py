@@ -36,5 +36,9 @@ def merges(edge_counts: DataFrame, modules: DataFrame, most_files: int = 3, leas
 
 
 def parent_hashes(rows: DataFrame, parent: str, child_hash: str, name: str = "hash") -> DataFrame:
-    """(parent, hash): sha256 over the sorted child hashes, joined by |. The order of rows doesn't matter."""
+    """(parent, hash): sha256 over the sorted child hashes, joined by |. The order of rows doesn't matter.
+
+    All child hashes of a parent come together in one row, 65 bytes each, so a parent may have up to about 30 million children: a
+    folder's files or a repository's folders, not all files of everything.
+    """
     return rows.groupBy(parent).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(child_hash)), "|"), 256).alias(name))

@@ -37,24 +37,25 @@ def review_history(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""WITH {RANKED}
-SELECT r.o_custkey, r.o_orderkey, count(l.l_orderkey) AS findings, coalesce(string_agg(l.l_suppkey || ':' || l.l_linenumber, ',' ORDER BY l.l_suppkey, l.l_linenumber), '') AS listed
+SELECT r.o_custkey, r.o_orderkey, count(l.l_orderkey) AS findings, coalesce(string_agg(l.l_suppkey || ':' || coalesce(nullif(l.l_linenumber, 1)::VARCHAR, '-'), ',' ORDER BY l.l_suppkey, nullif(l.l_linenumber, 1) NULLS LAST), '') AS listed
 FROM ranked r LEFT JOIN lineitem l ON l.l_orderkey = r.o_orderkey WHERE r.n = 1 GROUP BY 1, 2""")
 def review_with_findings(spark: SparkSession, folder: str) -> DataFrame:
-    """The latest review with its findings nested, ordered by file and line, nulls last."""
+    """The latest review with its findings nested, ordered by file and line, nulls last; line 1 stands for a finding without a line."""
     latest = ranked_reviews(spark, folder).filter("n = 1").select("o_custkey", "o_orderkey")
     nested = latest.join(findings(spark, folder), F.col("l_orderkey") == F.col("o_orderkey"), "left").groupBy("o_custkey", "o_orderkey")
-    items = F.array_sort(F.collect_list(F.when(F.col("l_orderkey").isNotNull(), F.struct("l_suppkey", "l_linenumber"))))
+    line = F.nullif("l_linenumber", F.lit(1))
+    items = F.array_sort(F.collect_list(F.when(F.col("l_orderkey").isNotNull(), F.struct("l_suppkey", line.isNull().alias("last"), line.alias("line")))))
     return nested.agg(items.alias("items")).select(
-        "o_custkey", "o_orderkey", F.size("items").cast("long").alias("findings"), F.array_join(F.transform("items", lambda x: F.concat_ws(":", x["l_suppkey"], x["l_linenumber"])), ",").alias("listed")
+        "o_custkey", "o_orderkey", F.size("items").cast("long").alias("findings"), F.array_join(F.transform("items", lambda x: F.concat_ws(":", x["l_suppkey"], F.coalesce(x["line"].cast("string"), F.lit("-")))), ",").alias("listed")
     )
 
 
 @query("""
-SELECT l_orderkey, l_linenumber, l_suppkey, l_extendedprice, o.o_custkey, c.c_name AS repository FROM lineitem l JOIN orders o ON l_orderkey = o_orderkey JOIN customer c ON o_custkey = c_custkey WHERE l_shipdate < TIMESTAMP '1995-03-01'
+SELECT l_orderkey, l_linenumber, l_suppkey, l_extendedprice, o.o_custkey, c.c_name AS repository FROM lineitem l JOIN orders o ON l_orderkey = o_orderkey JOIN customer c ON o_custkey = c_custkey
 """)
 def finding_context(spark: SparkSession, folder: str) -> DataFrame:
     """A finding with its review and its repository."""
-    items = table(spark, folder, "lineitem").filter("l_shipdate < timestamp_ntz '1995-03-01'").select("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
+    items = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
     orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     customers = table(spark, folder, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("repository"))
     return items.join(orders, "l_orderkey").join(customers, "o_custkey").select("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "o_custkey", "repository")
@@ -92,12 +93,12 @@ def score_bands(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""
-SELECT o_orderkey, 'user' || o_custkey AS author, count(l_orderkey) AS files, coalesce(min(l_suppkey), -1) AS first_file FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey < 2000 GROUP BY o_orderkey, o_custkey
+SELECT o_orderkey, 'user' || o_custkey AS author, count(l_orderkey) AS files, coalesce(min(l_suppkey), -1) AS first_file FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_custkey
 """)
 def nested_pr_files(spark: SparkSession, folder: str) -> DataFrame:
     """A pull request with its files nested, nested fields pulled up, a missing patch as ''."""
-    files = table(spark, folder, "lineitem").filter("l_orderkey < 2000").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list("l_suppkey")).alias("files"))
-    pulls = table(spark, folder, "orders").filter("o_orderkey < 2000").select("o_orderkey", F.struct(F.concat(F.lit("user"), "o_custkey").alias("login")).alias("owner")).join(files, "o_orderkey", "left")
+    files = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list("l_suppkey")).alias("files"))
+    pulls = table(spark, folder, "orders").select("o_orderkey", F.struct(F.concat(F.lit("user"), "o_custkey").alias("login")).alias("owner")).join(files, "o_orderkey", "left")
     return pulls.select(
         "o_orderkey", F.col("owner.login").alias("author"), F.coalesce(F.size("files"), F.lit(0)).cast("long").alias("files"), F.coalesce(F.get("files", F.lit(0)), F.lit(-1).cast("long")).alias("first_file")
     ).withColumn("files", F.greatest("files", F.lit(0).cast("long")))

@@ -11,7 +11,7 @@ from tessera.plans.registry import query
 from tessera.sources.tables import table
 
 EDGES = """
-edges AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 1),
+edges AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem),
 counts AS (SELECT src % 400 AS module, dst % 7 + 1000 AS target, count(*) AS edges FROM edges GROUP BY 1, 2)
 """
 
@@ -49,15 +49,15 @@ def import_edges(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    edges = table(spark, folder, "lineitem").filter("l_returnflag = 'R' and l_linenumber = 1").select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).distinct()
+    edges = table(spark, folder, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).distinct()
     parts = table(spark, folder, "part").select(F.concat(F.lit("p"), "p_partkey").alias("path"), (F.col("p_partkey") % 400).alias("module"))
     suppliers = table(spark, folder, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("path"), (F.col("s_suppkey") % 7 + 1000).alias("module"))
     return edges, parts.unionByName(suppliers)
 
 
-@query(f"WITH {EDGES} SELECT c.module, c.target, c.edges FROM counts c WHERE module < 50")
+@query(f"WITH {EDGES} SELECT c.module, c.target, c.edges FROM counts c")
 def cross_module_edges(spark: SparkSession, folder: str) -> DataFrame:
-    return structure.cross_edges(*_graph(spark, folder)).filter("module < 50")
+    return structure.cross_edges(*_graph(spark, folder))
 
 
 @query(f"""WITH {EDGES},

@@ -18,9 +18,14 @@ WITH l AS (SELECT doc_id, source, n_chars, coalesce(sum(n_chars) OVER (PARTITION
 SELECT source, doc_id, CAST(CASE WHEN n_chars > 8000 - before THEN 8000 - before + {len(MARK)} ELSE n_chars END AS BIGINT) AS emitted, n_chars > 8000 - before AS cut FROM l WHERE before < 8000
 """)
 def patch_budget(spark: SparkSession, folder: str) -> DataFrame:
-    """A running budget of 8000 characters a source: the text that crosses it is cut and marked, later ones are left out."""
+    """A running budget of 8000 characters a source: the text that crosses it is cut and marked, later ones are left out.
+
+    Lengths alone are summed up in order; only the few texts within a budget are fetched.
+    """
+    docs = table(spark, folder, "documents")
     before = F.coalesce(F.sum("n_chars").over(Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = table(spark, folder, "documents").withColumn("left", 8000 - before).filter("left > 0")
+    lengths = docs.select("source", "doc_id", "n_chars").withColumn("left", 8000 - before).filter("left > 0")
+    rows = lengths.join(docs.select("source", "doc_id", "text"), ["source", "doc_id"])
     cut = F.col("n_chars") > F.col("left")
     patch = F.when(cut, F.concat(F.substring("text", 1, F.col("left").cast("int")), F.lit(MARK))).otherwise(F.col("text"))
     return rows.select("source", "doc_id", F.length(patch).cast("long").alias("emitted"), cut.alias("cut"))

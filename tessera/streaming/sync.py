@@ -32,16 +32,19 @@ def chunks_of(files: DataFrame, size: int, overlap: int) -> DataFrame:
 
 
 def indexed(current: DataFrame, changes: DataFrame, size: int = 200, overlap: int = 10) -> DataFrame:
-    """The index after a batch of changes (path, content, status, previous_path, commit_sha); of several changes to a path the last by commit counts.
+    """The index after a batch of changes (path, content, status, previous_path, commit_sha); of several changes to a path the last in the feed counts.
 
-    Removed and emptied files lose their chunks, renamed ones those of their old path; unchanged chunks of a changed file are only stamped anew.
+    The place in the feed is (landed_at, landed_file, place) where the batch has these columns, as start_sync's batches do, else the order of its rows. Removed and emptied files lose their chunks, renamed ones those of their old path; unchanged chunks of a changed file are only stamped anew.
     """
-    latest = Window.partitionBy("path").orderBy(F.desc("commit_sha"))
+    if "place" not in changes.columns:
+        changes = changes.withColumn("place", F.monotonically_increasing_id())
+    place = [c for c in ("landed_at", "landed_file", "place") if c in changes.columns]
+    latest = Window.partitionBy("path").orderBy(*[F.desc(c) for c in place])
     last = changes.withColumn("_n", F.row_number().over(latest)).filter("_n = 1")
     gone = last.filter("status = 'removed'").select("path").unionByName(last.filter("status = 'renamed' and previous_path is not null").select(F.col("previous_path").alias("path")))
     new = chunks_of(last.filter("status <> 'removed'"), size, overlap)
     touched = current.join(last.select("path").distinct(), "path", "left_semi")
-    stamp = last.agg(F.max("commit_sha").alias("commit_sha"))
+    stamp = last.agg(F.max_by("commit_sha", F.struct(*place)).alias("commit_sha"))
     rest = delete(delete(current, gone, ["path"]), last.select("path"), ["path"])
     merged = apply_diff(touched, new, ["path", "content_hash"], {}).drop("commit_sha").join(F.broadcast(stamp), how="inner")  # one row
     return rest.unionByName(merged.select(*rest.columns))
@@ -54,5 +57,5 @@ def start_sync(spark: SparkSession, landing: str, root: str, checkpoint: str, si
         session = batch.sparkSession
         indexed(index_at(session, root, number), batch, size, overlap).write.mode("overwrite").parquet(version(root, number + 1))
 
-    feed = spark.readStream.schema(CHANGE).json(landing)
+    feed = spark.readStream.schema(CHANGE).json(landing).select("*", F.col("_metadata.file_modification_time").alias("landed_at"), F.col("_metadata.file_name").alias("landed_file"))
     return feed.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -21,3 +21,12 @@ def test_change_feed_becomes_versions(spark, tmp_path):
     assert second == {("a", "l1\nl2"): "c2", ("a", "l4"): "c2", ("new", "y"): "c2"}
     run()  # nothing new: no new version
     assert not (tmp_path / "index" / "v3").exists()
+
+
+def test_the_last_change_in_the_feed_counts(spark, tmp_path):
+    """Commit hashes say nothing about order: b1 comes after f0."""
+    landing = tmp_path / "in"
+    landing.mkdir()
+    land(landing, "1.json", ("a", "old", "added", None, "f0"), ("a", "new", "modified", None, "b1"))
+    sync.start_sync(spark, str(landing), str(tmp_path / "index"), str(tmp_path / "state")).awaitTermination()
+    assert [(r["content"], r["commit_sha"]) for r in sync.index_at(spark, str(tmp_path / "index"), 1).collect()] == [("new", "b1")]
