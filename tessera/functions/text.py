@@ -94,6 +94,40 @@ def severity_rank(severity: Column) -> Column:
     return F.when(severity == "Critical", 1).when(severity == "Major", 2).when(severity == "Minor", 3).otherwise(4)
 
 
+def severity_bucket(severity: Column) -> Column:
+    """How a finding is shown: critical, major (warnings too), minor, else info; a missing severity is info."""
+    low = F.lower(F.coalesce(severity, F.lit("")))
+    return F.when(low == "critical", "critical").when(low.isin("major", "warning"), "major").when(low == "minor", "minor").otherwise("info")
+
+
+def with_feedback(question: Column, correction: Column) -> Column:
+    """The next question, after the corrective feedback (needed, explanation, keyPoints) where some is needed."""
+    points = F.array_join(F.transform(correction["keyPoints"], lambda p: F.concat(F.lit("- "), p)), "\n")
+    # The headings of the feedback.
+    text = F.concat(F.lit("**Corrective Feedback:**\n"), correction["explanation"], F.lit("\n\n**Key Points:**\n"), points, F.lit("\n\n---\n\n"), question)
+    return F.when(correction["needed"], text).otherwise(question)
+
+
+#: What is embedded of a summary by the kind of node: its fields in order, and what joins those that are lists.
+EMBEDDED = {
+    "file": [("purpose", None), ("summary", None), ("responsibilities", ". "), ("keywords", ", ")],
+    "component": [("purpose", None), ("summary", None), ("responsibilities", ". "), ("keywords", ", ")],
+    "architecture": [("summary", None), ("architectureStyle", None), ("majorLayers", ", "), ("requestFlows", ". "), ("crossCuttingConcerns", ", "), ("keywords", ", ")],
+    "repository": [("purpose", None), ("summary", None), ("features", ". "), ("keywords", ", ")],
+}
+
+
+def summary_text(kind: Column, payload: Column) -> Column:
+    """The text that is embedded of a summary's JSON, by its kind of node; of unknown kinds summary, purpose and the JSON itself. Empty fields go."""
+    fields = {name: joint for parts in EMBEDDED.values() for name, joint in parts}
+    node = F.from_json(payload, ", ".join(f"{name} {'array<string>' if joint else 'string'}" for name, joint in fields.items()))
+    part = lambda name: F.array_join(node[name], fields[name]) if fields[name] else node[name]
+    out = joined("\n", node["summary"], node["purpose"], payload)
+    for name, parts in EMBEDDED.items():
+        out = F.when(F.lower(kind) == name, joined("\n", *[part(p) for p, _ in parts])).otherwise(out)
+    return out
+
+
 def stripped(text: Column) -> Column:
     """Without white space at either end."""
     return F.regexp_replace(text, r"^\s+|\s+$", "")

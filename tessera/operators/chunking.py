@@ -1,6 +1,6 @@
-"""Chunks of texts: overlapping line windows in SQL, a symbol chunker and file facts for Python sources.
+"""Chunks of texts: overlapping line windows in SQL, a symbol chunker and file facts for seven languages.
 
-Python is parsed with the standard library's ast. Other languages get whole-file chunks, as no grammars are at hand.
+Python is parsed with the standard library's ast, the others are scanned by lines and braces (`scanning`), an approximation.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import scanning
+
 MAX_LINES, OVERLAP = 200, 10
 
 
@@ -39,36 +41,49 @@ CHUNK = (
     "file_path string, language string, symbol_type string, symbol_name string, qualified_name string, parent_symbol string, "
     "is_exported boolean, docstring string, start_line int, end_line int, content string"
 )
-LANGUAGES = {".ts": "typescript", ".tsx": "tsx", ".js": "javascript", ".jsx": "jsx", ".py": "python", ".go": "go", ".cpp": "cpp"}
+# The languages of file extensions, as chunk headers name them.
+LANGUAGES = {".ts": "TypeScript", ".tsx": "TypeScript (React)", ".js": "JavaScript", ".jsx": "JavaScript (React)", ".py": "Python", ".go": "Go", ".cpp": "C++"}
+
+
+def header(path: str, language: str, kind: str, name: str, exported: bool) -> str:
+    # The lines of a chunk's header.
+    lines = [f"// File: {path}", f"// Language: {language}", f"// Type: {kind}", f"// Name: {name}", "// Exported: true" if exported else ""]
+    return "\n".join(x for x in lines if x)
 
 
 def python_symbols(path: str, source: str) -> list[tuple]:
-    """Chunk rows of one Python file; functions, methods and classes, nested ones too, with the comments right above them."""
+    """Chunk rows of one Python file; functions, methods (as functions without a parent) and classes, nested ones too, with the comments and decorators right above them."""
     lines = source.split("\n")
     found: list[tuple] = []
 
-    def visit(node: ast.AST, parents: list[str]) -> None:
+    def visit(node: ast.AST) -> None:
         for child in ast.iter_child_nodes(node):
             if isinstance(child, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
                 first = min([child.lineno, *[d.lineno for d in child.decorator_list]])
                 while first > 1 and lines[first - 2].lstrip().startswith("#"):
                     first -= 1
                 kind = "class" if isinstance(child, ast.ClassDef) else "function"
-                name = ".".join([*parents, child.name])
-                head = f"// File: {path}\n// Language: python\n// Type: {kind}\n// Name: {name}"
+                head = header(path, "Python", kind, child.name, False)
                 body = "\n".join(lines[first - 1 : child.end_lineno])
-                found.append((path, "python", kind, child.name, name, parents[-1] if parents else None, not child.name.startswith("_"), ast.get_docstring(child), first, child.end_lineno, f"{head}\n{body}".strip()))
-                visit(child, [*parents, child.name])
-            else:
-                visit(child, parents)
+                found.append((path, "Python", kind, child.name, child.name, None, False, ast.get_docstring(child), first, child.end_lineno, f"{head}\n{body}".strip()))
+            visit(child)
+
+    visit(ast.parse(source))
+    return found
+
 
-    visit(ast.parse(source), [])
+def scanned_symbols(path: str, language: str, source: str) -> list[tuple]:
+    """Chunk rows of one file of another language."""
+    lines, found = source.split("\n"), []
+    for kind, name, parent, exported, docstring, first, last in scanning.symbols(language, source):
+        full = f"{parent}.{name}" if parent else name
+        text = f"{header(path, language, kind, full, exported)}\n" + "\n".join(lines[first : last + 1])
+        found.append((path, language, kind, name, full, parent, exported, docstring, first + 1, last + 1, text.strip()))
     return found
 
 
 def symbol_chunks(files: DataFrame) -> DataFrame:
-    """Chunks of (path, content): symbols of Python files, one whole-file chunk for files without symbols, of other
-    known languages, or that don't parse. Unknown extensions and empty contents give no rows. `split_large` cuts long chunks."""
+    """Chunks of (path, content): symbols of files of known languages, one whole-file chunk for files without symbols or that don't parse. Unknown extensions and empty contents give no rows. `split_large` cuts long chunks."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in CHUNK.split(", ")]
@@ -76,7 +91,7 @@ def symbol_chunks(files: DataFrame) -> DataFrame:
             out: list[tuple] = []
             for path, language, content in zip(pdf["path"], pdf["language"], pdf["content"], strict=True):
                 try:
-                    rows = python_symbols(path, content) if language == "python" else []
+                    rows = python_symbols(path, content) if language == "Python" else scanned_symbols(path, language, content)
                 except (SyntaxError, ValueError, RecursionError):
                     rows = []
                 n = content.count("\n") + 1
@@ -95,7 +110,7 @@ def split_large(chunks: DataFrame, size: int = MAX_LINES, overlap: int = OVERLAP
 
     chunk_index and chunk_total are null for chunks that stay whole. Line numbers are those of the source, without the header.
     """
-    header = F.when(F.col("symbol_type") == "file", 2).otherwise(4)
+    header = F.when(F.col("symbol_type") == "file", 2).otherwise(4 + F.col("is_exported").cast("int"))
     parts = line_windows(chunks, "content", size, overlap)
     cut = F.col("parts") > 1
     start = F.col("start_line") + F.greatest(F.lit(0), F.col("first_line") - 1 - header)
@@ -131,18 +146,19 @@ def python_facts(path: str, source: str) -> list[tuple]:
 
 
 def file_facts(files: DataFrame) -> DataFrame:
-    """python_facts of the Python files among (path, content). Files that don't parse and other languages give no rows."""
+    """Imports, exports, decorators and inheritance of (path, content) files. Files that don't parse, Go, C++ and unknown languages give no rows."""
     from tessera.functions.text import extension
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out: list[tuple] = []
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+            for path, language, content in zip(pdf["path"], pdf["language"], pdf["content"], strict=True):
                 try:
-                    out += python_facts(path, content)
+                    out += python_facts(path, content) if language == "Python" else [(path, *fact) for fact in scanning.facts(language, content)]
                 except (SyntaxError, ValueError, RecursionError):
                     continue
             yield pd.DataFrame(out, columns=[c.split()[0] for c in FACT.split(", ")])
 
-    python = files.filter((extension(F.col("path")) == ".py") & F.col("content").isNotNull())
-    return python.select("path", "content").mapInPandas(run, FACT)
+    table = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
+    known = files.withColumn("language", F.try_element_at(table, extension(F.col("path")))).filter("language is not null and content is not null")
+    return known.select("path", "language", "content").mapInPandas(run, FACT)

@@ -44,3 +44,13 @@ def delete(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
 def first_row(rows: DataFrame, group: list[str], order: list) -> DataFrame:
     """The first row of each group."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter("_n = 1").drop("_n")
+
+
+def transitions(runs: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, status, indexed_commit) after all runs (key, order, ok, commit): INDEXED or FAILED by the last one, INDEXING while its outcome (ok) is null.
+
+    The pointer is the commit of the last run that succeeded, so a failure leaves it where it was.
+    """
+    last = F.max_by(F.struct("ok"), order)["ok"]
+    status = F.when(last.isNull(), "INDEXING").when(last, "INDEXED").otherwise("FAILED")
+    return runs.groupBy(key).agg(status.alias("status"), F.max_by(F.when(F.col("ok"), F.col("commit")), F.when(F.col("ok"), F.col(order))).alias("indexed_commit"))

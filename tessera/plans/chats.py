@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import age
+from tessera.functions.schemas import missing, parsed
+from tessera.functions.text import age, with_feedback
 from tessera.plans.registry import query
 from tessera.sources.tables import table
 
@@ -144,12 +145,28 @@ def json_props(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").select("event_id", F.from_json("props", "k int").getField("k").alias("k"))
 
 
-@query("SELECT event_id, CASE WHEN json_extract_string(props, '$.k') IS NULL THEN 'k' ELSE '' END || ',missing' AS missing FROM events")
+@query("""
+SELECT event_id, CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'findings' WHEN 2 THEN 'overall_score,risk_level' ELSE 'summary,overall_score,risk_level,findings' END AS missing,
+  CASE WHEN event_id % 4 < 2 THEN CAST(event_id % 100 AS INTEGER) END AS score FROM events
+""")
 def schema_validation(spark: SparkSession, folder: str) -> DataFrame:
-    """Required fields that a payload lacks."""
-    lacks = [F.when(F.get_json_object("props", f"$.{name}").isNull(), name) for name in ("k", "missing")]
-    text = F.concat(F.coalesce(lacks[0], F.lit("")), F.lit(","), F.coalesce(lacks[1], F.lit("")))
-    return table(spark, folder, "events").select("event_id", text.alias("missing"))
+    """Model output under its declared schema: the required fields that a payload lacks, null ones too, all if it is no JSON."""
+    n, score = F.col("event_id") % 4, (F.col("event_id") % 100).cast("string")
+    whole = F.concat(F.lit('{"summary": "s", "findings": [], "risk_level": "Low", "overall_score": '), score, F.lit("}"))
+    partly = F.concat(F.lit('{"summary": "s", "risk_level": "Low", "overall_score": '), score, F.lit("}"))
+    payload = F.when(n == 0, whole).when(n == 1, partly).when(n == 2, '{"summary": "s", "findings": [{"title": "t"}], "overall_score": null}').otherwise("no json")
+    return table(spark, folder, "events").select("event_id", F.array_join(missing(payload, "review"), ",").alias("missing"), parsed(payload, "review")["overall_score"].alias("score"))
+
+
+@query("""
+SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN '**Corrective Feedback:**' || chr(10) || 'because ' || turn || chr(10) || chr(10) || '**Key Points:**' || chr(10) || '- ' || role || chr(10) || '- b' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || 'next' ELSE 'next' END AS shown FROM conversations
+""")
+def corrective_feedback(spark: SparkSession, folder: str) -> DataFrame:
+    """An evaluated turn's next question, after its corrective feedback where some is needed."""
+    needed = F.when(F.col("turn") % 3 == 0, "true").otherwise("false")
+    payload = F.concat(F.lit('{"nextQuestion": "next", "correction": {"needed": '), needed, F.lit(', "explanation": "because '), F.col("turn").cast("string"), F.lit('", "keyPoints": ["'), F.col("role"), F.lit('", "b"]}}'))
+    got = parsed(payload, "turn_evaluation")
+    return table(spark, folder, "conversations").select("conv_id", "turn", with_feedback(got["nextQuestion"], got["correction"]).alias("shown"))
 
 
 @query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS shown, TIMESTAMP '2024-02-01' AS touched FROM orders")

@@ -168,3 +168,14 @@ def part_line_numbers(spark: SparkSession, folder: str) -> DataFrame:
     lines, words = F.size(F.split("text", "\n", -1)), F.size(F.split("text", " ", -1))
     ratio = F.when(F.col("n_chars") > 0, F.round(words / F.col("n_chars"), 6))
     return table(spark, folder, "documents").select("doc_id", lines.alias("lines"), (lines + 4).alias("end_line"), ratio.alias("ratio"))
+
+
+@query("""
+WITH r AS (SELECT o_custkey, o_orderkey, o_orderstatus FROM orders)
+SELECT o_custkey, CASE arg_max(o_orderstatus, o_orderkey) WHEN 'O' THEN 'INDEXING' WHEN 'F' THEN 'INDEXED' ELSE 'FAILED' END AS status, max(CASE WHEN o_orderstatus = 'F' THEN o_orderkey END) AS indexed_commit FROM r GROUP BY o_custkey
+""")
+def index_status(spark: SparkSession, folder: str) -> DataFrame:
+    """Status transitions of a repository's index: a run goes on (O), succeeded (F) or failed (P); failures leave the pointer."""
+    ok = F.when(F.col("o_orderstatus") == "F", True).when(F.col("o_orderstatus") == "P", False)
+    runs = table(spark, folder, "orders").select("o_custkey", "o_orderkey", ok.alias("ok"), F.col("o_orderkey").alias("commit"))
+    return delta.transitions(runs, "o_custkey", "o_orderkey")

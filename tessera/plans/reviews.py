@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import severity_rank
+from tessera.functions.schemas import missing, parsed
+from tessera.functions.text import severity_bucket, severity_rank
 from tessera.operators import delta
 from tessera.plans.registry import query
 from tessera.sources.tables import table
@@ -113,3 +114,29 @@ def review_commit(spark: SparkSession, folder: str) -> DataFrame:
     reviews = table(spark, folder, "orders").select("o_custkey", "o_orderkey")
     merged = delta.insert_missing(reviews.filter("o_orderkey % 2 = 0"), reviews.filter("o_orderkey % 2 = 1"), ["o_orderkey"])
     return merged.withColumn("is_latest", F.col("o_orderkey") == F.max("o_orderkey").over(Window.partitionBy("o_custkey")))
+
+
+@query("""
+WITH r AS (SELECT o_orderkey, o_orderkey % 100 AS score, CASE o_orderkey % 3 WHEN 0 THEN 'warning' WHEN 1 THEN 'Critical' ELSE 'Praise' END AS severity FROM orders WHERE o_orderkey % 5 <> 4)
+SELECT o_orderkey, 'review' AS kind, CAST(score AS VARCHAR) AS value FROM r
+UNION ALL SELECT o_orderkey, 'finding', 'f' || o_orderkey || ' ' || CASE severity WHEN 'warning' THEN 'major' WHEN 'Critical' THEN 'critical' ELSE 'info' END FROM r
+UNION ALL SELECT o_orderkey, 'user', 'look at ' || o_orderkey FROM r
+UNION ALL SELECT o_orderkey, 'ai', '{"summary":"s","overall_score":' || score || ',"risk_level":"Low","findings":[{"severity":"' || severity || '","file_path":"f' || o_orderkey || '"}]}' FROM r
+""")
+def review_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """A model's review becomes a review row, its findings and two audit rows, together or not at all: payloads that lack a required field commit nothing."""
+    n = F.col("o_orderkey") % 3
+    severity = F.when(n == 0, "warning").when(n == 1, "Critical").otherwise("Praise")
+    whole = F.to_json(F.struct(F.lit("s").alias("summary"), (F.col("o_orderkey") % 100).alias("overall_score"), F.lit("Low").alias("risk_level"), F.array(F.struct(severity.alias("severity"), F.concat(F.lit("f"), "o_orderkey").alias("file_path"))).alias("findings")))
+    payload = F.when(F.col("o_orderkey") % 5 != 4, whole).otherwise('{"summary": "s"}')
+    asked = table(spark, folder, "orders").select("o_orderkey", payload.alias("payload"), F.concat(F.lit("look at "), "o_orderkey").alias("prompt"))
+    return committed(asked)
+
+
+def committed(reviews: DataFrame) -> DataFrame:
+    """(o_orderkey, kind, value) rows of whole reviews (o_orderkey, prompt, payload)."""
+    whole = reviews.filter(F.size(missing(F.col("payload"), "review")) == 0).withColumn("got", parsed(F.col("payload"), "review"))
+    row = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+    found = F.transform("got.findings", lambda f: row("finding", F.concat_ws(" ", f["file_path"], severity_bucket(f["severity"]))))
+    rows = F.concat(F.array(row("review", F.col("got.overall_score").cast("string")), row("user", F.col("prompt")), row("ai", F.col("payload"))), F.coalesce(found, F.array().cast("array<struct<kind: string, value: string>>")))
+    return whole.select("o_orderkey", F.inline(rows))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import joined, stripped
+from tessera.functions.text import joined, stripped, summary_text
 from tessera.plans.registry import query
 from tessera.sources.tables import table
 
@@ -32,15 +32,23 @@ def patch_budget(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'purpose ' || doc_id || chr(10) || 'a. b' ELSE 'style' || chr(10) || 'x, y' || chr(10) || 'k' END AS text FROM documents
+SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN concat_ws(chr(10), nullif(source, ''), 'about ' || doc_id, lang || '. ' || source, 'k, ' || lang)
+  WHEN 1 THEN concat_ws(chr(10), 'about ' || doc_id, lang || '. ' || source) WHEN 2 THEN concat_ws(chr(10), 'about ' || doc_id, lang, lang || ', ' || source, 'k, ' || lang)
+  WHEN 3 THEN concat_ws(chr(10), nullif(source, ''), 'about ' || doc_id, source, 'k, ' || lang)
+  ELSE concat_ws(chr(10), 'about ' || doc_id, nullif(source, ''), '{"purpose":"' || source || '","summary":"about ' || doc_id || '"}') END AS text FROM documents
 """)
 def embedding_text(spark: SparkSession, folder: str) -> DataFrame:
     """What is embedded of a summary: which fields, and how lists are joined, goes by the kind of node; empty fields go."""
-    a, b = F.array(F.lit("a"), F.lit("b")), F.array(F.lit("x"), F.lit("y"))
-    file = joined("\n", F.concat(F.lit("purpose "), F.col("doc_id").cast("string")), F.lit(""), F.array_join(a, ". "), F.lit(None).cast("string"))
-    architecture = joined("\n", F.lit(""), F.lit("style"), F.array_join(b, ", "), F.lit("k"))
-    kind = F.when(F.col("doc_id") % 2 == 0, "file").otherwise("architecture")
-    return table(spark, folder, "documents").select("doc_id", F.when(kind == "file", file).otherwise(architecture).alias("text"))
+    n, about, two = F.col("doc_id") % 5, F.concat(F.lit("about "), F.col("doc_id").cast("string")), F.array("lang", "source")
+    words = F.array(F.lit("k"), F.col("lang"))
+    kind = F.when(n == 0, "file").when(n == 1, "component").when(n == 2, "Architecture").when(n == 3, "repository").otherwise("other")
+    file = F.to_json(F.struct(F.col("source").alias("purpose"), about.alias("summary"), two.alias("responsibilities"), words.alias("keywords")))
+    component = F.to_json(F.struct(F.lit("").alias("purpose"), about.alias("summary"), two.alias("responsibilities"), F.array().cast("array<string>").alias("keywords")))
+    architecture = F.to_json(F.struct(about.alias("summary"), F.col("lang").alias("architectureStyle"), two.alias("majorLayers"), F.lit(None).cast("array<string>").alias("requestFlows"), words.alias("keywords")))
+    repository = F.to_json(F.struct(F.col("source").alias("purpose"), about.alias("summary"), F.array("source").alias("features"), words.alias("keywords")))
+    other = F.to_json(F.struct(F.col("source").alias("purpose"), about.alias("summary")))
+    payload = F.when(n == 0, file).when(n == 1, component).when(n == 2, architecture).when(n == 3, repository).otherwise(other)
+    return table(spark, folder, "documents").select("doc_id", summary_text(kind, payload).alias("text"))
 
 
 @query("""
@@ -116,10 +124,54 @@ def comment_runs(spark: SparkSession, folder: str) -> DataFrame:
     return lines.withColumn("run", run).groupBy("doc_id", "run").agg((F.min("pos") + 1).alias("first_line"), F.count(F.lit(1)).alias("lines")).select("doc_id", "first_line", "lines")
 
 
-@query("SELECT doc_id, 'file' AS symbol_type, 'typescript' AS language, CAST(len(string_split(text, chr(10))) AS INTEGER) AS end_line FROM documents WHERE length(text) > 0")
+@query("""
+SELECT doc_id, 'class' AS symbol_type, 'TypeScript' AS language, 'D' || doc_id AS qualified, true AS is_exported, CAST(1 AS INTEGER) AS start_line, CAST(5 AS INTEGER) AS end_line FROM documents WHERE doc_id % 4 = 0
+UNION ALL SELECT doc_id, 'method', 'TypeScript', 'D' || doc_id || '.go', false, 2, 4 FROM documents WHERE doc_id % 4 = 0
+UNION ALL SELECT doc_id, 'function', 'Python', 'f', false, 1, 3 FROM documents WHERE doc_id % 4 = 1
+UNION ALL SELECT doc_id, 'method', 'Go', 'Run', false, 2, 5 FROM documents WHERE doc_id % 4 = 2
+UNION ALL SELECT doc_id, 'file', 'C++', 'src/' || doc_id || '.cpp', false, 1, 1 FROM documents WHERE doc_id % 4 = 3
+""")
 def code_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    """The chunker over files of a language without a parser: one whole-file chunk each."""
-    from tessera.operators.chunking import symbol_chunks
+    """Symbols of sources in four languages, a comment and a decorator above them included; a file without symbols is one chunk."""
+    from tessera.operators.chunking import split_large, symbol_chunks
+
+    n, name = F.col("doc_id") % 4, F.col("doc_id").cast("string")
+    typescript = F.concat(F.lit("export class D"), name, F.lit(" extends Base {\n  go(x: string): string {\n    return `}${x}`; // }\n  }\n}\nlet n = 1;"))
+    python = F.concat(F.lit("# about "), name, F.lit("\n@cached\ndef f(): return 1\n"))
+    go = F.concat(F.lit("package x\n// Run about "), name, F.lit("\nfunc (r *R) Run() {\n\tx := map[string]int{}\n}\n"))
+    content = F.when(n == 0, typescript).when(n == 1, python).when(n == 2, go).otherwise("int answer;")
+    suffix = F.when(n == 0, ".ts").when(n == 1, ".py").when(n == 2, ".go").otherwise(".cpp")
+    files = table(spark, folder, "documents").select(F.concat(F.lit("src/"), name, suffix).alias("path"), content.alias("content"))
+    found = split_large(symbol_chunks(files))
+    return found.select(F.regexp_extract("file_path", r"(\d+)", 1).cast("long").alias("doc_id"), "symbol_type", "language", F.col("qualified_name").alias("qualified"), "is_exported", "start_line", "end_line")
 
-    files = table(spark, folder, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".ts")).alias("path"), F.col("text").alias("content"))
-    return symbol_chunks(files).select(F.split("file_path", r"\.")[0].cast("long").alias("doc_id"), "symbol_type", "language", "end_line")
+
+@query("""
+WITH n AS (SELECT doc_id, doc_id % 120 + 150 AS body FROM documents), l AS (SELECT doc_id, body + 2 + 5 AS lines FROM n), p AS (SELECT doc_id, lines, CAST(CASE WHEN lines <= 200 THEN 1 ELSE ceil((lines - 200) / 190.0) + 1 END AS INTEGER) AS parts FROM l)
+SELECT doc_id, CASE WHEN parts = 1 THEN 'big' ELSE 'big (part ' || i || '/' || parts || ')' END AS symbol, CASE WHEN parts > 1 THEN CAST(i AS INTEGER) END AS chunk_index, CAST(least(200, lines - 190 * (i - 1)) AS INTEGER) AS lines
+FROM (SELECT *, unnest(range(1, parts + 1)) AS i FROM p)
+""")
+def code_chunks_split(spark: SparkSession, folder: str) -> DataFrame:
+    """A symbol of more than 200 lines, its header counted, becomes overlapping parts."""
+    from tessera.operators.chunking import split_large, symbol_chunks
+
+    body = F.array_join(F.array_repeat(F.lit("  step();"), (F.col("doc_id") % 120 + 150).cast("int")), "\n")
+    content = F.concat(F.lit("export function big() {\n"), body, F.lit("\n}"))
+    files = table(spark, folder, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".js")).alias("path"), content.alias("content"))
+    parts = split_large(symbol_chunks(files))
+    return parts.select(F.split("file_path", r"\.")[0].cast("long").alias("doc_id"), F.col("symbol_name").alias("symbol"), "chunk_index", F.size(F.split("content", "\n", -1)).alias("lines"))
+
+
+@query("""
+SELECT doc_id, k AS kind, n AS name, t AS target FROM documents, (VALUES ('import', './util', NULL, 0), ('import', 'react', NULL, 0), ('decorator', '@Injectable()', NULL, 0), ('inheritance', 'A', 'Base', 0), ('export', 'export class A extends Base {', NULL, 0),
+  ('import', 'os', NULL, 1), ('import', '..pkg', 'thing', 1), ('decorator', 'B', 'wrap(1)', 1), ('inheritance', 'B', 'Base', 1), ('export', 'B', NULL, 1)) f(k, n, t, m) WHERE doc_id % 2 = m
+""")
+def code_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """Imports, exports, decorators and inheritance of TypeScript and Python sources."""
+    from tessera.operators.chunking import file_facts
+
+    odd = F.col("doc_id") % 2 == 1
+    typescript = "import { u } from './util';\nimport React from \"react\";\n// import no from 'where'\n@Injectable()\nexport class A extends Base {\n}\n"
+    python = "import os\nfrom ..pkg import thing\n__all__ = ['B']\n@wrap(1)\nclass B(Base):\n    pass\n"
+    files = table(spark, folder, "documents").select(F.concat(F.col("doc_id").cast("string"), F.when(odd, ".py").otherwise(".ts")).alias("path"), F.when(odd, python).otherwise(typescript).alias("content"))
+    return file_facts(files).select(F.split("file_path", r"\.")[0].cast("long").alias("doc_id"), "kind", "name", "target")

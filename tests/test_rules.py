@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.text import age, denied, extension, module_name, severity_rank
-from tessera.operators import chunking, delta, markdown, search, structure, summaries
+from tessera.operators import chunking, delta, markdown, scanning, search, structure, summaries
 from tessera.sources import landed, providers
 
 
@@ -115,10 +115,10 @@ def test_python_chunks(spark):
     source = "import os\n\n# greets\n@dec\ndef f(x):\n    'doc'\n    return x\n\nclass _C:\n    def m(self):\n        pass\n"
     files = spark.createDataFrame([("a/b.py", source), ("bad.py", "def ("), ("x.go", "package x"), ("y.txt", "z"), ("e.py", "")], "path string, content string")
     out = {(r["file_path"], r["qualified_name"]): r for r in chunking.symbol_chunks(files).collect()}
-    assert set(out) == {("a/b.py", "f"), ("a/b.py", "_C"), ("a/b.py", "_C.m"), ("bad.py", "bad.py"), ("x.go", "x.go")}
+    assert set(out) == {("a/b.py", "f"), ("a/b.py", "_C"), ("a/b.py", "m"), ("bad.py", "bad.py"), ("x.go", "x.go")}
     f = out["a/b.py", "f"]
-    assert (f["start_line"], f["end_line"], f["docstring"], f["is_exported"], f["symbol_type"]) == (3, 7, "doc", True, "function")
-    assert out["a/b.py", "_C.m"]["parent_symbol"] == "_C"
+    assert (f["start_line"], f["end_line"], f["docstring"], f["is_exported"], f["symbol_type"]) == (3, 7, "doc", False, "function")
+    assert out["a/b.py", "m"]["parent_symbol"] is None
     assert f["content_hash"] == hashlib.sha256(f["content"].encode()).hexdigest()
 
 
@@ -189,3 +189,16 @@ def test_module_file_lists_counts_without_lists(spark, tmp_path):
     out = catalogue.QUERIES["module_file_lists"](spark, str(tmp_path))
     assert values(out, "source", "files", "languages", "english") == [("a", 3, "de,en", 2), ("b", 1, "de", 0)]
     assert "collect_list" not in out._jdf.queryExecution().toString()
+
+
+def test_scanned_symbols():
+    source = "/** says { */\nexport const say = async (x: string): Promise<void> => {\n  call('}');\n};\nexport interface P { a: number }\ntype T =\n  | 'a'\n  | 'b';\nexport default class K {\n  // runs\n  @log\n  run(a: number) {\n    if (a) { return; }\n  }\n  field = (x) => x;\n}\nenum E { A }\n"
+    got = {(kind, name): rest for kind, name, *rest in scanning.symbols("TypeScript", source)}
+    assert got["function", "say"] == [None, True, "/** says { */", 0, 3]
+    assert got["interface", "P"][1:] == [True, None, 4, 4] and got["type", "T"][3:] == [5, 7]
+    assert got["class", "K"] == [None, True, None, 8, 15] and got["method", "run"] == ["K", False, "// runs", 9, 13] and got["method", "field"][3:] == [14, 14]
+    assert got["enum", "E"][3:] == [16, 16] and len(got) == 7
+    cpp = "#include <x>\nstruct P {\n  int a;\n};\nint add(int a, int b) {\n  return a + b;\n}\nint later(int);\n"
+    assert [(k, n, a, b) for k, n, *_, a, b in scanning.symbols("C++", cpp)] == [("class", "P", 1, 3), ("function", "add", 4, 6)]
+    go = "package a\ntype R struct {\n\tx int\n}\nfunc New() *R {\n\treturn &R{}\n}\n"
+    assert [(k, n, a, b) for k, n, *_, a, b in scanning.symbols("Go", go)] == [("class", "R", 1, 3), ("function", "New", 4, 6)]
