@@ -12,11 +12,12 @@ from __future__ import annotations
 
 import json
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import free_names, stored
 
 BINS, LABELLED, SHARPNESS, ITERATIONS, TOLERANCE, RIDGE, FOLD = 4096, 20000, 40.0, 80, 0.002, 1e-3, 16
 #: Targets and budget (times the tokens there are) of the query and of the pipeline.
@@ -113,6 +114,8 @@ def fit_rates(rows: DataFrame, targets: list[float], iterations: int = ITERATION
         residual = [float(f"{(got[j] - targets[j]) / scale[j]:.9g}") for j in range(d)]
         if max(map(abs, residual)) < tolerance:
             break
+        if turn + 1 == iterations:
+            warnings.warn(f"rates stop {max(map(abs, residual)):.3g} of a target away from it after {iterations} steps", stacklevel=2)
         if before is not None:  # Barzilai-Borwein: the step that the last change of the gradient asks for
             bend = -form(before, [x - y for x, y in zip(residual, before, strict=True)])
             step = min(max(shortest, step * form(before, before) / bend), 1000 * shortest) if bend > 0 else shortest
@@ -144,8 +147,10 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
 
 
 def mixed_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of `docs`, each as often as its copies say."""
-    rates = mix(docs, labels, **options).filter("copies > 0").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("copies").alias("__copies")).distinct()
-    keyed = docs.withColumn("__text_hash", F.xxhash64("text"))
-    taken = keyed.join(rates, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")))
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    """The rows of `docs`, each as often as its copies say, with all their columns, whatever their names."""
+    id_, hash_, copies, copy = free_names(docs, "id_", "hash_", "copies_", "copy_")
+    rates = mix(docs, labels, **options).filter("copies > 0").select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), F.col("copies").alias(copies)).distinct()
+    (text_hash,) = free_names([*docs.columns, *rates.columns], "text_hash_")
+    keyed = docs.withColumn(text_hash, F.xxhash64("text"))
+    taken = keyed.join(rates, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(text_hash) == F.col(hash_)))
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)

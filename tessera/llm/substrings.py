@@ -473,7 +473,8 @@ def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", le
             gathered.clear()
             before = earliest(h, doc)
             later = np.flatnonzero(before != np.arange(len(h)))
-            gone = later[(context[later] == context[before[later]]).all(axis=1) & (whole[later] == whole[before[later]])]
+            same = [(context[x] == context[before[x]]).all(axis=1) & (whole[x] == whole[before[x]]) for x in np.array_split(later, len(later) // (1 << 15) + 1)]
+            gone = later[np.concatenate(same)]
             first, rows = np.ones(len(h), dtype=bool), []
             first[gone] = False
             kept = np.flatnonzero(first)

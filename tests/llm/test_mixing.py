@@ -54,3 +54,20 @@ def test_edges(spark):
     want = sum(c * (2 if k[0] == 4 else 1) for k, c in copies.items())
     assert taken.count() == want
     assert mixing.domains_of(labels).filter(F.col("doc_id") == 5).first()["domain"] == "toxic"
+
+
+def test_rates_meet_the_least_squares_solution(spark):
+    """Against a dense solver: projected gradient in numpy, run to the end; the fitted rates lose no more than the tolerance allows."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    p, tokens = rng.dirichlet([0.4, 0.4, 0.4], 60), rng.integers(5, 300, 60)
+    targets = np.array([0.6, 0.3, 0.1]) * tokens.sum()
+    rows = spark.createDataFrame([(i, int(n), [float(x) for x in q]) for i, (n, q) in enumerate(zip(tokens, p, strict=True))], "doc_id long, tokens long, p array<double>")
+    got = {r["doc_id"]: r["rate"] for r in mixing.fit_rates(rows, targets.tolist()).collect()}
+    rate = np.array([got[i] for i in range(60)])
+    a = (p * tokens[:, None]).T / targets[:, None]
+    best = np.ones(60)
+    for _ in range(20000):
+        best = np.maximum(0, best - a.T @ (a @ best - 1) / np.linalg.norm(a, 2) ** 2)
+    assert (rate >= 0).all() and np.abs(a @ rate - 1).max() <= np.abs(a @ best - 1).max() + mixing.TOLERANCE
