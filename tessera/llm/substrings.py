@@ -42,7 +42,7 @@ from tessera.llm.common import free_names, mix64, shuffle_width, stored
 LENGTH, PREFIX, PAD = 50, 16, 64
 NAMES = ("n_bytes", "n_removed", "n_spans", "kept")
 #: Bytes of text that one numpy pass covers, and anchors that one task gathers before it sends them.
-PASS_BYTES, FLUSH = 4 << 20, 2 << 20
+PASS_BYTES, FLUSH = 4 << 20, 1 << 20
 RANGES_PER_PARTITION, SAMPLE_DOCS, SAMPLE_ANCHORS = 2, 8, 8
 #: Anchors with one prefix above which their windows are dealt one by one.
 HOT = 1 << 15
@@ -263,7 +263,7 @@ def later_windows(h: np.ndarray, h2: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return order[doc[order] != least]
 
 
-def masks_of_prefix_groups(order: np.ndarray, starts: np.ndarray, context: np.ndarray, whole: np.ndarray, doc: np.ndarray, length: int, at_once: int = 1 << 17) -> np.ndarray:
+def masks_of_prefix_groups(order: np.ndarray, starts: np.ndarray, context: np.ndarray, whole: np.ndarray, doc: np.ndarray, length: int, at_once: int = 1 << 16) -> np.ndarray:
     """window_masks over runs of whole groups, about `at_once` rows at a time."""
     mask = np.zeros(len(order), dtype=np.uint64)
     ends = np.append(starts[1:], len(order))
