@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -103,6 +103,19 @@ def spread_join(rows: DataFrame, looked_up: DataFrame, key: str, dealt_by: list[
     return left.join(right, [key, salt], how).drop(salt)
 
 
+def parts_of(size: str, total: int) -> Column:
+    """The number of tasks to which a key with `size` (a column) of all `total` rows is dealt: one, if it holds no more than 1 / HOT_PARTS of them."""
+    return F.lit(1) if total <= HOT_FLOOR else F.ceil(F.col(size) / (total // HOT_PARTS)).cast("int")
+
+
+def dealt_join(rows: DataFrame, looked_up: DataFrame, key: str, dealt_by: list[str], parts: str) -> DataFrame:
+    """`spread_join` for rows that know already, as the looked-up ones do, to how many tasks their key is dealt (column `parts`): nothing is counted or joined for that."""
+    (salt,) = free_names([*rows.columns, *looked_up.columns], "salt_")
+    left = rows.withColumn(salt, F.pmod(F.xxhash64(*dealt_by), F.col(parts)).cast("int"))
+    right = looked_up.withColumn(salt, F.explode(F.sequence(F.lit(0), F.col(parts) - 1))).drop(parts)
+    return left.join(right, [key, salt]).drop(salt)
+
+
 def ranked_sample(rows: DataFrame, group: str, text: str, per_group: int) -> list[tuple[str, object]]:
     """At most `per_group` distinct (text, group) of each group, those whose texts hash lowest: the same in every run, however often a text repeats.
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import forget, free_names, mix64, shuffle_width, spread_join, stored
+from tessera.llm.common import dealt_join, forget, free_names, mix64, parts_of, shuffle_width, spread_join, stored
 
 WORDS, THRESHOLD, TRIES, LEVELS, RECALL, BLOCK, SKETCH, WIDE = 5, 0.8, 32, 8, 0.9999, 512, 256, 2048
 PASS_BYTES, BLOCK_SHINGLES = 4 << 20, 1 << 20
@@ -315,18 +315,13 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield held
 
 
-def in_blocks(members: DataFrame, group: str, block: int, counted: DataFrame, shingles: int | None = None) -> DataFrame:
-    """`members` (`group`, set, n, ...) with columns i, j, own in front: each goes to all pairs of blocks of its group that hold its own.
+def in_blocks(members: DataFrame, group: str) -> DataFrame:
+    """`members` (`group`, set, blocks, ...) with columns i, j, own in front: each goes to all pairs of the blocks of its group that hold its own.
 
-    Blocks hold at most `block` members on average, and `shingles` shingles (the sum of n) if given, but one member at least; the rows
-    of one (group, i, j) are in one partition and follow each other. `counted`: a stored table with the groups of the members.
+    blocks is the number of blocks of the group; the rows of one (group, i, j) are in one partition and follow each other.
     """
-    number = F.ceil(F.count(F.lit(1)) / block)
-    if shingles:
-        number = F.greatest(number, F.least(F.ceil(F.sum("n") / shingles), F.count(F.lit(1))))
-    sizes = members.groupBy(group).agg(number.cast("int").alias("blocks"))
-    rest = [c for c in members.columns if c != group]
-    dealt = spread_join(members, sizes, group, ["set"], counted).withColumn("own", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
+    rest = [c for c in members.columns if c not in (group, "blocks")]
+    dealt = members.withColumn("own", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(group, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", *rest)
     return dealt.repartition(group, "i", "j").sortWithinPartitions(group, "i", "j")
@@ -339,8 +334,8 @@ def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy())
 
 
-def joined(members: DataFrame, counted: DataFrame, threshold: float, block: int) -> DataFrame:
-    """(a, b): labels that hang together by members that meet below a node and may be similar; of (node, set, label, n, sketch)."""
+def joined(members: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(a, b): labels that hang together by members that meet below a node and may be similar; of (node, set, size, label, n, sketch), size being the node's."""
     most = far_apart(threshold, WIDE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,7 +354,8 @@ def joined(members: DataFrame, counted: DataFrame, threshold: float, block: int)
             if moved.size:
                 yield pa.RecordBatch.from_arrays([pa.array(names[moved[0]]), pa.array(names[moved[1]])], names=["a", "b"])
 
-    return in_blocks(members, "node", block, counted).mapInArrow(run, "a long, b long")
+    members = members.select("node", "set", F.ceil(F.col("size") / block).cast("int").alias("blocks"), "label", "n", "sketch")
+    return in_blocks(members, "node").mapInArrow(run, "a long, b long")
 
 
 def _common(values: np.ndarray, lengths: np.ndarray, a: np.ndarray, b: np.ndarray, step: int = 4096) -> np.ndarray:
@@ -382,6 +378,8 @@ def _common(values: np.ndarray, lengths: np.ndarray, a: np.ndarray, b: np.ndarra
 def linked(members: DataFrame, counted: DataFrame, threshold: float, block: int) -> DataFrame:
     """(set, near, links) of (label, set, rows, n, shingles), one for each pair of blocks: the rows of those sets there that are at or
     above the threshold, and the smallest set there that a chain of such links leads to (set itself, if to none smaller).
+
+    Blocks hold at most `block` members and BLOCK_SHINGLES shingles on average, but one member at least. `counted`: a stored table with the labels of the members.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -403,7 +401,10 @@ def linked(members: DataFrame, counted: DataFrame, threshold: float, block: int)
                 near = near[near]
             yield pa.RecordBatch.from_arrays([pa.array(set_), pa.array(set_[near]), pa.array(links @ rows[by_set])], names=["set", "near", "links"])
 
-    return in_blocks(members, "label", block, counted, BLOCK_SHINGLES).mapInArrow(run, "set long, near long, links long")
+    each = F.count(F.lit(1))
+    number = F.greatest(F.ceil(each / block), F.least(F.ceil(F.sum("n") / BLOCK_SHINGLES), each))
+    sizes = members.groupBy("label").agg(number.cast("int").alias("blocks"))
+    return in_blocks(spread_join(members, sizes, "label", ["set"], counted), "label").mapInArrow(run, "set long, near long, links long")
 
 
 def _classed(docs: DataFrame, words: int, threshold: float, tries: int, recall: float, block: int) -> DataFrame:
@@ -434,10 +435,10 @@ def _classed(docs: DataFrame, words: int, threshold: float, tries: int, recall:
         at = at.withColumn("label", F.col("set")) if labels is None else at.join(labels.withColumnRenamed("id", "set"), "set", "left").withColumn("label", F.coalesce("label", "set"))
         at = stored(at)
         open_ = at.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("node", "size")
-        placed = stored(spread_join(at, open_, "node", ["set"]))
+        placed = stored(spread_join(at, open_, "node", ["set"]).withColumn("parts", parts_of("size", at.count())))
         meets = placed.groupBy("set").agg(F.sum("size").alias("meets"))
-        heads = placed.join(meets, "set").groupBy("node").agg(F.max(F.struct("meets", (-F.col("set")).alias("minus"), "label")).alias("x")).select("node", (-F.col("x.minus")).alias("a"), F.col("x.label").alias("label_a"))
-        pairs = stored(spread_join(placed, heads, "node", ["set"]).filter("label <> label_a").select("a", "set").distinct())
+        heads = placed.join(meets, "set").groupBy("node").agg(F.max(F.struct("meets", (-F.col("set")).alias("minus"), "label")).alias("x"), F.first("parts").alias("parts")).select("node", "parts", (-F.col("x.minus")).alias("a"), F.col("x.label").alias("label_a"))
+        pairs = stored(dealt_join(placed, heads, "node", ["set"], "parts").filter("label <> label_a").select("a", "set").distinct())
         near = spread_join(pairs.join(sizes.drop("rows"), "set"), other, "a", ["set"], pairs).filter(possible)
         new = stored(verified(near.select("a", F.col("set").alias("b")), vectors, threshold, pairs))
         links = new if links is None else links.unionByName(new)
@@ -447,12 +448,12 @@ def _classed(docs: DataFrame, words: int, threshold: float, tries: int, recall:
             break
         depth = next((d for d in range(depth - 1, shortest, -1) if estimated_recall(similar, d, threshold, tries) >= recall), shortest)
 
-    placed = placed.select("node", "set").join(labels.withColumnRenamed("id", "set"), "set", "left").select("node", "set", F.coalesce("label", "set").alias("label"))
+    placed = placed.drop("label").join(labels.withColumnRenamed("id", "set"), "set", "left").select("node", "set", "size", "parts", F.coalesce("label", "set").alias("label"))
     placed = stored(placed)
-    split = placed.groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("node")
-    apart = stored(spread_join(placed, split, "node", ["set"]))
+    split = placed.groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.first("parts").alias("parts")).filter("low <> high").select("node", "parts")
+    apart = stored(dealt_join(placed, split, "node", ["set"], "parts"))
     wide = stored(sketched(vectors.join(apart.select("set").distinct(), "set", "left_semi")))
-    maybe = joined(apart.join(sizes.select("set", "n"), "set").join(wide, "set"), apart, threshold, block)
+    maybe = joined(apart.join(sizes.select("set", "n"), "set").join(wide, "set"), threshold, block)
     groups = components(stored(links.select("a", "b").unionByName(maybe)))
     held = vectors.join(groups.withColumnRenamed("id", "set"), "set").join(sizes.select("set", "rows", "n"), "set")
     found = stored(linked(held.select("label", "set", "rows", "n", "shingles"), groups, threshold, block))
