@@ -77,6 +77,14 @@ def joined(separator: str, *parts: Column) -> Column:
     return F.concat_ws(separator, *[F.nullif(p, F.lit("")) for p in parts])
 
 
+def uri_component(text: Column) -> Column:
+    """Percent-encoded UTF-8; letters, digits and - _ . ! ~ * ' ( ) stay, as in a browser."""
+    encoded = F.url_encode(text)
+    for written, wanted in {"+": "%20", "%7E": "~", "%21": "!", "%27": "'", "%28": "(", "%29": ")"}.items():
+        encoded = F.replace(encoded, F.lit(written), F.lit(wanted))
+    return encoded
+
+
 def age(then: Column, now: Column) -> Column:
     """'59 seconds ago' ... 'Yesterday' ... '2 days ago'."""
     seconds = F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(then.cast("timestamp"))
@@ -100,6 +108,12 @@ def severity_bucket(severity: Column) -> Column:
     return F.when(low == "critical", "critical").when(low.isin("major", "warning"), "major").when(low == "minor", "minor").otherwise("info")
 
 
+def interview_ready(config: Column) -> Column:
+    """Whether an interview's configuration, a struct, names a mode and a difficulty."""
+    given = lambda c: F.coalesce(config[c] != "", F.lit(False))
+    return given("mode") & given("difficulty")
+
+
 def with_feedback(question: Column, correction: Column) -> Column:
     """The next question, after the corrective feedback (needed, explanation, keyPoints) where some is needed."""
     points = F.array_join(F.transform(correction["keyPoints"], lambda p: F.concat(F.lit("- "), p)), "\n")

@@ -41,6 +41,18 @@ def delete(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(gone.select(*keys).distinct(), keys, "left_anti")
 
 
+def delete_owned(rows: DataFrame, requests: DataFrame, key: str, owner: str) -> tuple[DataFrame, DataFrame]:
+    """(rows that stay, keys that went) after `requests` (key, owner): a row goes only for its own owner; null owners own nothing."""
+    gone = rows.join(requests.select(key, owner).distinct(), [key, owner], "left_semi").select(key)
+    return delete(rows, gone, [key]), gone
+
+
+def set_null(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """`rows` whose reference `key` is null where its target is among `gone` (the same column)."""
+    lost = gone.select(key).distinct().withColumn("_gone", F.lit(True))
+    return rows.join(lost, key, "left").withColumn(key, F.when(F.col("_gone").isNull(), F.col(key))).select(*rows.columns)
+
+
 def first_row(rows: DataFrame, group: list[str], order: list) -> DataFrame:
     """The first row of each group."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter("_n = 1").drop("_n")

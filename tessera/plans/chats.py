@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.schemas import missing, parsed
-from tessera.functions.text import age, with_feedback
+from tessera.functions.text import age, interview_ready, with_feedback
 from tessera.plans.registry import query
+from tessera.sources import landed
 from tessera.sources.tables import table
 
 
@@ -173,3 +174,22 @@ def corrective_feedback(spark: SparkSession, folder: str) -> DataFrame:
 def date_display(spark: SparkSession, folder: str) -> DataFrame:
     """Dates are shown in one format; touches take a stated time, so results repeat."""
     return table(spark, folder, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("shown"), F.expr("timestamp_ntz '2024-02-01 00:00:00'").alias("touched"))
+
+
+@query("SELECT event_id, event_type <> 'error' AND event_id % 3 = 0 AS ready FROM events")
+def interview_config(spark: SparkSession, folder: str) -> DataFrame:
+    """Configurations are valid if mode and difficulty are there: neither missing, null nor empty."""
+    mode = F.when(F.col("event_type") == "error", "").otherwise(F.col("event_type"))
+    difficulty = F.when(F.col("event_id") % 3 == 0, ', "difficulty": "hard"}').when(F.col("event_id") % 3 == 1, ', "difficulty": null}').otherwise("}")
+    config = F.from_json(F.concat(F.lit('{"mode": "'), mode, F.lit('"'), difficulty), "mode string, difficulty string")
+    return table(spark, folder, "events").select("event_id", interview_ready(config).alias("ready"))
+
+
+@query("SELECT event_id AS github_repo_id, 'c' || event_id AS commit_sha FROM events WHERE event_type = 'view' AND event_id % 3 = 0 OR event_type = 'click' AND event_id % 3 = 1")
+def push_default_branch(spark: SparkSession, folder: str) -> DataFrame:
+    """Of pushes to branches and tags those to each repository's default branch."""
+    ref = F.when(F.col("event_id") % 3 == 0, "refs/heads/view").when(F.col("event_id") % 3 == 1, "refs/heads/click").otherwise("refs/tags/view")
+    repository = F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("default_branch"))
+    pushed = F.struct(ref.alias("ref"), F.concat(F.lit("c"), "event_id").alias("after"), repository.alias("repository"))
+    rows = table(spark, folder, "events").select(F.from_json(F.to_json(pushed), landed.PUSH).alias("push")).select("push.*")
+    return landed.default_branch_pushes(rows)

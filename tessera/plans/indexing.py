@@ -76,6 +76,28 @@ def cascade_delete(spark: SparkSession, folder: str) -> DataFrame:
     return size(kept, "orders").unionByName(size(children, "lineitem"))
 
 
+@query("""
+WITH gone AS (SELECT o_orderkey FROM orders WHERE o_custkey % 2 = 0 AND o_orderstatus = 'F')
+SELECT 'orders' AS relation, count(*) AS left_rows FROM orders ANTI JOIN gone USING (o_orderkey)
+UNION ALL SELECT 'lineitem', count(*) FROM lineitem ANTI JOIN gone ON l_orderkey = o_orderkey
+""")
+def owned_delete(spark: SparkSession, folder: str) -> DataFrame:
+    """All finished orders are to go, asked for by the owner where its number is even and by another elsewhere: only the former go, with their items."""
+    orders, items = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), table(spark, folder, "lineitem").select("l_orderkey")
+    asked = orders.filter("o_orderstatus = 'F'").select("o_orderkey", (F.col("o_custkey") + F.col("o_custkey") % 2 * 1_000_000_000).alias("o_custkey"))
+    kept, gone = delta.delete_owned(orders, asked, "o_orderkey", "o_custkey")
+    children = delta.delete(items, gone.withColumnRenamed("o_orderkey", "l_orderkey"), ["l_orderkey"])
+    size = lambda df, name: df.agg(F.count(F.lit(1)).alias("left_rows")).select(F.lit(name).alias("relation"), "left_rows")
+    return size(kept, "orders").unionByName(size(children, "lineitem"))
+
+
+@query("SELECT o_orderkey, CASE WHEN c_acctbal >= 0 THEN o_custkey END AS o_custkey FROM orders LEFT JOIN customer ON c_custkey = o_custkey")
+def set_null_on_delete(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders of customers that are deleted (those in debt) stay, without their customer."""
+    gone = table(spark, folder, "customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
+    return delta.set_null(table(spark, folder, "orders").select("o_orderkey", "o_custkey"), gone, "o_custkey")
+
+
 @query("""
 SELECT doc_id, CAST(part AS INTEGER) AS part, CAST(parts AS INTEGER) AS parts, CAST((part - 1) * 15 + 1 AS INTEGER) AS first_line, CAST(least((part - 1) * 15 + 20, n) AS INTEGER) AS last_line,
   sha256(array_to_string(lines[(part - 1) * 15 + 1 : (part - 1) * 15 + 20], chr(10))) AS content_hash

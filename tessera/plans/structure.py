@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.text import denied, extension, module_name
+from tessera.functions.text import denied, extension, module_name, uri_component
 from tessera.operators import search, structure
 from tessera.plans.registry import query
 from tessera.sources.tables import table
@@ -97,3 +97,11 @@ def url_tail(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages")
     encoded = F.replace(F.col("url"), F.lit("://"), F.url_encode(F.lit("://")))
     return pages.select("page_id", F.element_at(F.split("url", "/", -1), -1).alias("tail"), encoded.alias("half_encoded"))
+
+
+@query(r"""
+SELECT page_id, replace(replace(replace(replace(replace(url_encode('is:open ' || url || ' (a*b)!~' || chr(39) || 'é+'), '%21', '!'), '%27', chr(39)), '%28', '('), '%29', ')'), '%2A', '*') AS encoded FROM pages
+""")
+def url_encoded(spark: SparkSession, folder: str) -> DataFrame:
+    """A search text as a part of an address."""
+    return table(spark, folder, "pages").select("page_id", uri_component(F.concat(F.lit("is:open "), "url", F.lit(" (a*b)!~'é+"))).alias("encoded"))

@@ -13,6 +13,7 @@ FILE = "filename string, status string, additions int, deletions int, patch stri
 PULL_DETAIL = f"{PULL}, files array<struct<{', '.join(c.replace(' ', ': ', 1) for c in FILE.split(', '))}>>"
 IDENTITY = "type string, data struct<id: string, first_name: string, last_name: string, email_addresses: array<struct<id: string, email_address: string>>, primary_email_address_id: string>"
 CHANGE = "path string, content string, status string, previous_path string, commit_sha string"
+PUSH = "ref string, after string, repository struct<id: bigint, default_branch: string>"
 
 
 def read(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -44,6 +45,12 @@ def tree(rows: DataFrame) -> DataFrame:
     return rows.filter(kept).select("path", "content", F.lit("added").alias("status"))
 
 
+def default_branch_pushes(rows: DataFrame) -> DataFrame:
+    """(github_repo_id, commit_sha) of the pushes (PUSH schema) to the default branch; pushes without a branch or a repository go."""
+    on_default = F.col("ref") == F.concat(F.lit("refs/heads/"), F.col("repository.default_branch"))
+    return rows.filter(on_default).select(F.col("repository.id").alias("github_repo_id"), F.col("after").alias("commit_sha"))
+
+
 def users(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(users to upsert, ids to delete) of an identity feed: the primary address if there is one, else the first."""
     mails = F.col("data.email_addresses")
