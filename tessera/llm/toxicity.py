@@ -307,12 +307,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLA
     """At most `per_class` (text, label) of each class and the share of label 0 among all labels.
 
     Twice as many ids are drawn on the small side, `labels` (doc_id, label), those that hash lowest, the same in every run; only their texts are fetched,
-    one for each id. Ids with a null text or none don't count.
+    one for each id. Ids with a null text or none don't count, repeated labels count once. Only hashes below a bound that leaves about four times as many ids
+    as are wanted of a class are ranked, so a class of any size sends few rows to the task that ranks it.
     """
-    labels = labels.filter("doc_id is not null and label in (0, 1)").select("doc_id", F.col("label").cast("int").alias("label"))
+    labels = labels.filter("doc_id is not null and label in (0, 1)").select("doc_id", F.col("label").cast("int").alias("label")).distinct()
     counts = {r["label"]: r["count"] for r in labels.groupBy("label").count().collect()}
     order = Window.partitionBy("label").orderBy("h", "doc_id")
-    drawn = labels.withColumn("h", F.xxhash64("doc_id")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= 2 * per_class)
+    bound = {label: min((1 << 63) - 1, (1 << 64) * 4 * per_class // n - (1 << 63)) for label, n in counts.items()}
+    low = F.col("h") <= F.when(F.col("label") == 0, F.lit(bound.get(0, 0))).otherwise(F.lit(bound.get(1, 0)))
+    drawn = labels.withColumn("h", F.xxhash64("doc_id")).filter(low).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= 2 * per_class)
     texts = docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(drawn.select("doc_id", "label", "h")), "doc_id")  # 4 x per_class rows
     found = sorted((r["label"], r["h"], r["doc_id"], r["text"]) for r in texts.groupBy("label", "h", "doc_id").agg(F.min("text").alias("text")).collect())
     out = [(t, label) for wanted in counts for t, label in [(t, label) for label, _, _, t in found if label == wanted][:per_class]]

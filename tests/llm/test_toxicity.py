@@ -87,3 +87,13 @@ def test_edges(spark):
     assert {r["score"] for r in toxicity.toxicity_held_out(tricky(spark), labels.limit(0)).collect()} == {0.0}
     assert toxicity.pieces("x" * 45) == ["x" * 20, "x" * 20, "x" * 20, "x" * 15]
     assert toxicity.pieces("(ab)") == ["ab"] and toxicity.pieces("--") == []
+
+
+def test_sample_is_what_hashes_lowest_however_many_labels_there_are(spark):
+    docs = spark.range(3000).selectExpr("id as doc_id", "concat('text ', id) as text")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 3 = 0 as int) as label")
+    labels = labels.unionByName(labels.filter("doc_id = 1500"))
+    got, share = toxicity.labelled_sample(docs, labels, per_class=5)
+    rows = sorted((r["h"], r["doc_id"], r["label"]) for r in labels.distinct().selectExpr("xxhash64(doc_id) as h", "doc_id", "label").collect())
+    want = [(f"text {i}", label) for wanted in (0, 1) for _, i, label in [x for x in rows if x[2] == wanted][:5]]
+    assert sorted(got) == sorted(want) and abs(share - 2 / 3) < 1e-9
