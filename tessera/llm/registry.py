@@ -75,7 +75,19 @@ def op10_urls(spark: SparkSession, folder: str) -> DataFrame:
     return judge_urls(table(spark, folder, "pages").select("page_id", "url"), rule_table(spark, RULES)).drop("url")
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_mixing": op2_mixing, "op3_topk": op3_topk, "op4_language": op4_language, "op5_substrings": op5_substrings, "op6_sharding": op6_sharding, "op7_media": op7_media, "op8_jaccard": op8_jaccard, "op9_toxicity": op9_toxicity, "op10_urls": op10_urls}
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    from tessera.llm.whitening import whitened_components
+
+    return whitened_components(table(spark, folder, "embeddings"))
+
+
+def op13_quality(spark: SparkSession, folder: str) -> DataFrame:
+    from tessera.llm.quality import quality_verdicts
+
+    return quality_verdicts(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+QUERIES = {"op1_packing": op1_packing, "op2_mixing": op2_mixing, "op3_topk": op3_topk, "op4_language": op4_language, "op5_substrings": op5_substrings, "op6_sharding": op6_sharding, "op7_media": op7_media, "op8_jaccard": op8_jaccard, "op9_toxicity": op9_toxicity, "op10_urls": op10_urls, "op11_whitening": op11_whitening, "op13_quality": op13_quality}
 
 OP3_SQL = """
 WITH v AS (
