@@ -81,13 +81,19 @@ def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitened_components(table(spark, folder, "embeddings"))
 
 
+def op12_trie(spark: SparkSession, folder: str) -> DataFrame:
+    from tessera.llm.trie import conversation_trie
+
+    return conversation_trie(table(spark, folder, "conversations"))
+
+
 def op13_quality(spark: SparkSession, folder: str) -> DataFrame:
     from tessera.llm.quality import quality_verdicts
 
     return quality_verdicts(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_mixing": op2_mixing, "op3_topk": op3_topk, "op4_language": op4_language, "op5_substrings": op5_substrings, "op6_sharding": op6_sharding, "op7_media": op7_media, "op8_jaccard": op8_jaccard, "op9_toxicity": op9_toxicity, "op10_urls": op10_urls, "op11_whitening": op11_whitening, "op13_quality": op13_quality}
+QUERIES = {"op1_packing": op1_packing, "op2_mixing": op2_mixing, "op3_topk": op3_topk, "op4_language": op4_language, "op5_substrings": op5_substrings, "op6_sharding": op6_sharding, "op7_media": op7_media, "op8_jaccard": op8_jaccard, "op9_toxicity": op9_toxicity, "op10_urls": op10_urls, "op11_whitening": op11_whitening, "op12_trie": op12_trie, "op13_quality": op13_quality}
 
 OP3_SQL = """
 WITH v AS (
@@ -157,4 +163,38 @@ p AS (
 ) SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE n = 1
 """
 
-ORACLES: dict[str, str] = {"op3_topk": OP3_SQL, "op5_substrings": OP5_SQL, "op8_jaccard": OP8_SQL, "op10_urls": OP10_SQL}
+OP12_SQL = """
+WITH ids AS (
+  SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL
+), sums AS (
+  SELECT c, list_reduce(list_transform(range(1, length(CAST(c AS VARCHAR)) + 1), lambda i: CAST(ascii(substr(CAST(c AS VARCHAR), CAST(i AS INTEGER), 1)) AS BIGINT)),
+    lambda crc, b: list_reduce(range(8), lambda y, z: CASE WHEN y % 2 = 1 THEN xor(y // 2, 3988292384) ELSE y // 2 END, xor(crc, b)), 4294967295) AS crc FROM ids
+), heads AS (
+  SELECT c, c - c % 5 AS base, xor(crc, 4294967295) % 9 AS h FROM sums
+), t AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, ''))) AS rank,
+         struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) AS said FROM conversations WHERE conv_id IS NOT NULL
+), rebuilt AS (
+  SELECT c, 0 AS own, rank, said FROM heads JOIN (SELECT c AS base, rank, said FROM t) USING (base) WHERE rank <= h
+  UNION ALL SELECT c, 1, rank, said FROM heads JOIN t USING (c) WHERE rank > h
+), whole AS (
+  SELECT c, coalesce(list(said ORDER BY own, rank) FILTER (WHERE said IS NOT NULL), []) AS said FROM ids LEFT JOIN rebuilt USING (c) GROUP BY c
+), prefixes AS (
+  SELECT c, d, said[:d] AS prefix, d = len(said) AS ends FROM (SELECT c, said, unnest(range(len(said) + 1)) AS d FROM whole)
+), named AS (
+  SELECT c, d, ends, prefix, min(c) OVER (PARTITION BY d, prefix) AS node FROM prefixes
+), nodes AS (
+  SELECT node, d, count(*) AS n, coalesce(sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE ends)), sha256('')) AS ends_sha256,
+         (count(*) - 1) * CASE WHEN d > 0 THEN octet_length(encode(any_value(prefix)[d].text)) ELSE 0 END AS saved FROM named GROUP BY node, d
+), parents AS (
+  SELECT m.node, m.d, p.node AS parent FROM nodes m JOIN named p ON p.c = m.node AND p.d = m.d - 1
+), kids AS (
+  SELECT parent AS node, d - 1 AS d, count(*) AS n_children FROM parents GROUP BY ALL
+), subtrees AS (
+  SELECT a.node, a.d, sum(m.saved) AS saved_tokens, count(*) FILTER (WHERE k.node IS NULL) AS n_leaves
+  FROM nodes m JOIN named a ON a.c = m.node AND a.d <= m.d LEFT JOIN kids k ON k.node = m.node AND k.d = m.d GROUP BY ALL
+) SELECT node AS conv_id, CAST(d AS BIGINT) AS depth, parent AS parent_conv_id, n AS n_convs, coalesce(n_children, 0) AS n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256
+  FROM nodes JOIN subtrees USING (node, d) LEFT JOIN parents USING (node, d) LEFT JOIN kids USING (node, d)
+"""
+
+ORACLES: dict[str, str] = {"op3_topk": OP3_SQL, "op5_substrings": OP5_SQL, "op8_jaccard": OP8_SQL, "op10_urls": OP10_SQL, "op12_trie": OP12_SQL}

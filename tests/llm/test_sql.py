@@ -18,7 +18,7 @@ def view(con, name):
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_operator_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "conversations"):
         view(con, t)
     want, got = con.sql(registry.ORACLES[name]), registry.QUERIES[name](spark, FOLDER)
     assert sorted(want.columns) == sorted(got.columns)
