@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import language, mixing, nearjoin, packing, substrings
-from tessera.llm.common import clear_scratch, free_names, stored, table
+from tessera.llm.common import Scope, free_names, stored, table
 
 #: A document goes if no language is found in it, or none with this probability.
 LEAST_SCORE = 0.3
@@ -81,9 +81,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`; what each returns is written as Parquet and read again."""
     docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = stored(docs)
-            clear_scratch(spark, keep=docs)  # what the stage stored for itself
+    with Scope() as own:
+        for i, (_, stage) in enumerate(STAGES):
+            docs = stage(spark, docs, sf_dir)
+            if i < len(STAGES) - 1:
+                docs = stored(docs)
+                own.clear(spark, keep=docs)  # what the stage stored for itself; other runs' tables stay
     return docs

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
+from contextvars import ContextVar
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,33 +16,48 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-_WRITTEN: list[str] = []
+class Scope:
+    """The tables that operators stored while it was the current one (`with scope():`); a run that clears them leaves those of others alone."""
 
+    def __init__(self) -> None:
+        self.paths: list[str] = []
 
-def _delete(spark: SparkSession, path: str) -> None:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    def clear(self, spark: SparkSession, keep: DataFrame | None = None) -> None:
+        """Delete the scope's tables, but for the files that `keep` reads. Call it once results are written: until then they may be read."""
+        kept = keep.inputFiles() if keep is not None else []
+        for path in list(self.paths):
+            if not any(path.split("/")[-1] in file for file in kept):
+                self.paths.remove(path)
+                _delete(spark, path)
 
+    def __enter__(self) -> Scope:
+        self._token = _SCOPE.set(self)
+        _SCOPES.add(self)
+        return self
 
-def clear_scratch(spark: SparkSession, keep: DataFrame | None = None) -> None:
-    """Delete the tables that operators of this process stored, but for the files that `keep` reads.
+    def __exit__(self, *_: object) -> None:
+        _SCOPE.reset(self._token)
 
-    Call it once results are written: until then they may be read.
-    """
-    kept = keep.inputFiles() if keep is not None else []
-    for path in list(_WRITTEN):
-        if not any(path.split("/")[-1] in file for file in kept):
-            _WRITTEN.remove(path)
-            _delete(spark, path)
+
+#: Tables stored outside of any scope; the current scope, per thread; all scopes whose tables may still be there.
+_COMMON = Scope()
+_SCOPE: ContextVar[Scope] = ContextVar("scope", default=_COMMON)
+_SCOPES: weakref.WeakSet[Scope] = weakref.WeakSet([_COMMON])
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def forget(*tables: DataFrame) -> None:
     """Delete stored tables that nothing reads any more."""
     for table_ in tables:
         for path in {file.rsplit("/", 1)[0] for file in table_.inputFiles()}:
-            for known in [p for p in _WRITTEN if path.endswith(p.split("/")[-1])]:
-                _WRITTEN.remove(known)
-                _delete(table_.sparkSession, known)
+            for held in list(_SCOPES):
+                for known in [p for p in held.paths if path.endswith(p.split("/")[-1])]:
+                    held.paths.remove(known)
+                    _delete(table_.sparkSession, known)
 
 
 def scratch(spark: SparkSession) -> str:
@@ -54,8 +71,9 @@ def scratch(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(base)
-    _WRITTEN.append(f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}")
-    return _WRITTEN[-1]
+    path = f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
+    _SCOPE.get().paths.append(path)
+    return path
 
 
 def stored(df: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+import os
 import re
 from collections import Counter
 
@@ -73,3 +74,25 @@ def test_a_missing_language_is_filled_in(spark):
     blank = docs.withColumn("lang", F.when(F.col("doc_id") % 3 != 0, F.col("lang")))
     got = corpus_pipeline.language_id(spark, blank, FOLDER).select("doc_id", F.col("lang").alias("found")).join(docs, "doc_id").filter("doc_id % 3 = 0")
     assert got.filter("found = lang").count() >= 0.95 * got.count() > 0
+
+
+def test_runs_delete_their_own_tables_alone(spark, monkeypatch):
+    """Results built lazily before and between pipeline runs can still be read after them; what a finished stage stored is gone."""
+    from tessera.llm import registry
+
+    seen = []
+
+    def stage(session, docs, folder):
+        half = common.stored(docs.filter("doc_id % 2 = 0"))
+        seen.append(half)
+        return half.limit(50)
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("first", stage), ("second", lambda s, d, f: stage(s, d, f).filter("doc_id % 4 = 0"))])
+    packed, shards = registry.op1_packing(spark, FOLDER), registry.op6_sharding(spark, FOLDER)
+    first = corpus_pipeline.run(spark, FOLDER)
+    second = corpus_pipeline.run(spark, FOLDER)
+    n = table(spark, FOLDER, "documents").count()
+    assert packed.select("doc_id").distinct().count() == n and shards.count() == n
+    assert first.count() == second.count() == 25
+    alive = [os.path.exists(t.inputFiles()[0].removeprefix("file://")) for t in seen]
+    assert alive == [False, True, False, True]
