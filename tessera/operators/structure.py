@@ -35,6 +35,11 @@ def merges(edge_counts: DataFrame, modules: DataFrame, most_files: int = 3, leas
     return best.join(small, "module").select("module", F.col("target").alias("merged_into"))
 
 
+def assignments(modules: DataFrame, merged: DataFrame) -> DataFrame:
+    """(path, module, moved): `modules` (path, module) after `merged` (module, merged_into); one step, as merges are decided on the original assignment."""
+    return modules.join(merged, "module", "left").select("path", F.coalesce("merged_into", "module").alias("module"), F.col("merged_into").isNotNull().alias("moved"))
+
+
 def parent_hashes(rows: DataFrame, parent: str, child_hash: str, name: str = "hash") -> DataFrame:
     """(parent, hash): sha256 over the sorted child hashes, joined by |. The order of rows doesn't matter.
 

@@ -51,11 +51,25 @@ def default_branch_pushes(rows: DataFrame) -> DataFrame:
     return rows.filter(on_default).select(F.col("repository.id").alias("github_repo_id"), F.col("after").alias("commit_sha"))
 
 
-def users(events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(users to upsert, ids to delete) of an identity feed: the primary address if there is one, else the first."""
+def sync_plan(repositories: DataFrame, commits: DataFrame) -> DataFrame:
+    """(repo_id, head, indexed, action): one row per repository with its head commit, the last of `commits` (repo_id, sha, place).
+
+    action: missing (no commit), already_indexing (a run is on), initial (nothing was indexed), up_to_date, or delta. repositories: (repo_id, status, indexed).
+    """
+    heads = commits.groupBy("repo_id").agg(F.max_by("sha", "place").alias("head"))
+    action = (
+        F.when(F.col("head").isNull(), "missing").when(F.col("status") == "INDEXING", "already_indexing").when(F.col("indexed").isNull(), "initial")
+        .when(F.col("indexed") == F.col("head"), "up_to_date").otherwise("delta")
+    )
+    return repositories.join(heads, "repo_id", "left").select("repo_id", "head", "indexed", action.alias("action"))
+
+
+def users(events: DataFrame, sequence: str) -> DataFrame:
+    """(external_id, sequence, deleted, email, name) of an identity feed: the primary address if there is one, else the first; '' where there is none."""
     mails = F.col("data.email_addresses")
     primary = F.filter(mails, lambda m: m["id"] == F.col("data.primary_email_address_id"))
-    mail = F.coalesce(F.get(primary, F.lit(0))["email_address"], F.get(mails, F.lit(0))["email_address"])
+    mail = F.coalesce(F.get(primary, F.lit(0))["email_address"], F.get(mails, F.lit(0))["email_address"], F.lit(""))
     name = F.nullif(F.concat_ws(" ", F.nullif(F.col("data.first_name"), F.lit("")), F.nullif(F.col("data.last_name"), F.lit(""))), F.lit(""))
-    kept = events.filter(F.col("type").isin("user.created", "user.updated")).select(F.col("data.id").alias("external_id"), mail.alias("email"), name.alias("name"))
-    return kept, events.filter(F.col("type") == "user.deleted").select(F.col("data.id").alias("external_id"))
+    deleted = F.col("type") == "user.deleted"
+    kept = events.filter(F.col("type").isin("user.created", "user.updated", "user.deleted"))
+    return kept.select(F.col("data.id").alias("external_id"), F.col(sequence).alias("sequence"), deleted.alias("deleted"), F.when(~deleted, mail).alias("email"), F.when(~deleted, name).alias("name"))

@@ -4,9 +4,11 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
-from tessera.plans import catalogue
+from tessera.operators import structure as operators
+from tessera.plans import catalogue, structure
 from tessera.sources.tables import TABLES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -34,7 +36,20 @@ def rows_of(columns, rows):
 def test_query_matches_sql(spark, duck, name):
     got = catalogue.QUERIES[name](spark, FOLDER)
     want = duck.sql(catalogue.ORACLES[name])
-    assert rows_of(got.columns, got.collect()) == rows_of(list(want.columns), want.fetchall())
+    columns, rows = rows_of(got.columns, got.collect())
+    assert rows, "a query without rows proves nothing"
+    assert (columns, rows) == rows_of(list(want.columns), want.fetchall())
+
+
+def test_merges_occur_and_fail_to(spark):
+    """Modules that merge, that miss the share exactly or by a tie, and that are too large, many of each."""
+    rows = catalogue.QUERIES["module_merge"](spark, "/root/testdata/sf0.01").count()
+    edges, modules = structure._modules(spark, "/root/testdata/sf0.01")
+    counts = operators.cross_edges(edges, modules).groupBy("module").agg(F.sum("edges").alias("total"), F.max("edges").alias("best"), F.sort_array(F.collect_list("edges"), asc=False).alias("all"))
+    sized = counts.join(modules.groupBy("module").count(), "module").filter("total >= 2")
+    small = sized.filter("count <= 3")
+    assert rows > 300 and small.filter("5 * best > 3 * total").count() == rows
+    assert small.filter("5 * best = 3 * total").count() > 30 and small.filter("size(all) > 1 and all[0] = all[1]").count() > 100 and sized.filter("count = 4 and 5 * best > 3 * total").count() > 300
 
 
 def test_entry_points(spark):

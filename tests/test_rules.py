@@ -127,9 +127,8 @@ def test_landed_feeds(spark, tmp_path):
         '{"type":"user.created","data":{"id":"1","first_name":"A","last_name":"","email_addresses":[{"id":"x","email_address":"x@e"},{"id":"y","email_address":"y@e"}],"primary_email_address_id":"y"}}\n'
         '{"type":"user.deleted","data":{"id":"2"}}\n'
     )
-    kept, gone = landed.users(landed.read(spark, str(tmp_path / "u.json"), landed.IDENTITY))
-    assert values(kept, "external_id", "email", "name") == [("1", "y@e", "A")]
-    assert values(gone, "external_id") == [("2",)]
+    changes = landed.users(landed.read(spark, str(tmp_path / "u.json"), landed.IDENTITY).withColumn("sequence", F.lit(1)), "sequence")
+    assert values(changes, "external_id", "deleted", "email", "name") == [("1", False, "y@e", "A"), ("2", True, None, None)]
     (tmp_path / "p.json").write_text('{"number":3,"title":"t","draft":true,"state":"open","user":{"login":"u"},"head":{"sha":"s"},"updated_at":"2024-01-01T00:00:00Z","files":[{"filename":"a","status":"added","additions":1,"deletions":0}]}\n')
     pulls = landed.read(spark, str(tmp_path / "p.json"), landed.PULL_DETAIL)
     assert values(landed.pulls(pulls), "number", "author", "status") == [(3, "u", "draft")]
