@@ -1,6 +1,6 @@
 """Chunks of texts: overlapping line windows in SQL, a symbol chunker and file facts for seven languages.
 
-Python is parsed with the standard library's ast, the others are scanned by lines and braces (`scanning`), an approximation.
+Python is parsed with the standard library's ast, the others are cut into tokens (`lexing`) in which declarations are found (`scanning`).
 """
 
 from __future__ import annotations
@@ -9,8 +9,9 @@ import ast
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from tessera.operators import scanning
 
@@ -82,27 +83,49 @@ def scanned_symbols(path: str, language: str, source: str) -> list[tuple]:
     return found
 
 
-def symbol_chunks(files: DataFrame) -> DataFrame:
-    """Chunks of (path, content): symbols of files of known languages, one whole-file chunk for files without symbols or that don't parse. Unknown extensions and empty contents give no rows. `split_large` cuts long chunks."""
+@udtf(returnType=f"{CHUNK}, error string")
+class SymbolChunks:
+    """Table function (path, language, content) -> the chunks of one file. A file that can't be read gives one chunk, of kind file, and says why in `error`."""
+
+    def eval(self, path: str, language: str, content: str) -> Iterator[tuple]:
+        error, rows = None, []
+        try:
+            rows = python_symbols(path, content) if language == "Python" else scanned_symbols(path, language, content)
+        except (SyntaxError, ValueError, RecursionError) as e:  # a broken file must not end the job
+            error = f"{type(e).__name__}: {e.args[0] if e.args else ''}"
+        if rows:
+            yield from ((*row, None) for row in rows)
+        else:
+            text = f"// File: {path}\n// Language: {language}\n{content}".strip()
+            yield path, language, "file", path.rpartition("/")[2], path, None, False, None, 1, content.count("\n") + 1, text, error
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in CHUNK.split(", ")]
-        for pdf in batches:
-            out: list[tuple] = []
-            for path, language, content in zip(pdf["path"], pdf["language"], pdf["content"], strict=True):
-                try:
-                    rows = python_symbols(path, content) if language == "Python" else scanned_symbols(path, language, content)
-                except (SyntaxError, ValueError, RecursionError):
-                    rows = []
-                n = content.count("\n") + 1
-                out += rows or [(path, language, "file", path.rpartition("/")[2], path, None, False, None, 1, n, f"// File: {path}\n// Language: {language}\n{content}".strip())]
-            yield pd.DataFrame(out, columns=names)
 
+def chunk_report(files: DataFrame, observation: Observation | None = None) -> DataFrame:
+    """Chunks of (path, content) and `error`: symbols of files of known languages, one whole-file chunk for files without symbols or that can't be read, which says why.
+
+    Unknown extensions and empty contents give no rows. `observation` gets the numbers of chunks, files and failures once the rows were made, without another pass.
+    """
     from tessera.functions.text import extension
 
     table = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
-    known = files.withColumn("language", F.try_element_at(table, extension(F.col("path")))).filter("language is not null and length(content) > 0")
-    return known.select("path", "language", "content").mapInPandas(run, CHUNK).withColumn("content_hash", F.sha2("content", 256))
+    known = files.select(F.col("path").alias("_path"), F.try_element_at(table, extension(F.col("path"))).alias("_language"), F.col("content").alias("_content"))
+    known = known.filter("_language is not null and length(_content) > 0")
+    chunks = known.lateralJoin(SymbolChunks(F.col("_path").outer(), F.col("_language").outer(), F.col("_content").outer())).drop("_path", "_language", "_content")
+    if observation is not None:
+        chunks = chunks.observe(observation, F.count(F.lit(1)).alias("chunks"), F.count_if(F.col("symbol_type") == "file").alias("whole_files"), F.count("error").alias("failures"))
+    return chunks.withColumn("content_hash", F.sha2("content", 256))
+
+
+def symbol_chunks(files: DataFrame) -> DataFrame:
+    """`chunk_report` without errors. `split_large` cuts long chunks."""
+    return chunk_report(files).drop("error")
+
+
+def file_outlines(chunks: DataFrame) -> DataFrame:
+    """(file_path, classes, interfaces, functions): names by kind, in the order of the file; functions and methods by their qualified names. One row per file, as long as its chunks are."""
+    of = lambda kinds, name: F.transform(F.filter("x", lambda r: r["symbol_type"].isin(*kinds)), lambda r: r[name])
+    rows = chunks.groupBy("file_path").agg(F.array_sort(F.collect_list(F.struct("start_line", "end_line", "symbol_type", "symbol_name", "qualified_name"))).alias("x"))
+    return rows.select("file_path", of(["class"], "symbol_name").alias("classes"), of(["interface"], "symbol_name").alias("interfaces"), of(["function", "method"], "qualified_name").alias("functions"))
 
 
 def split_large(chunks: DataFrame, size: int = MAX_LINES, overlap: int = OVERLAP) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import normalised
+from tessera.operators.chunking import file_facts
 
 # What may follow an import specifier, in order of priority.
 SUFFIXES = ["", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.js"]
@@ -19,6 +20,12 @@ def import_edges(imports: DataFrame, paths: DataFrame) -> DataFrame:
     return found.groupBy("src", "specifier").agg(F.min_by("dst", "pos").alias("dst")).select("src", "dst").distinct()
 
 
+def file_edges(files: DataFrame) -> DataFrame:
+    """(src, dst): what (path, content) files import from one another, by their own import statements."""
+    said = file_facts(files).filter("kind = 'import' and target is null").select(F.col("file_path").alias("path"), F.col("name").alias("specifier"))
+    return import_edges(said, files.select("path"))
+
+
 def cross_edges(edges: DataFrame, modules: DataFrame) -> DataFrame:
     """(module, target, edges) counts of edges between different modules. modules: (path, module)."""
     a = modules.select(F.col("path").alias("src"), "module")

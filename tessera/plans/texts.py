@@ -126,7 +126,7 @@ def comment_runs(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("""
 SELECT doc_id, 'class' AS symbol_type, 'TypeScript' AS language, 'D' || doc_id AS qualified, true AS is_exported, CAST(1 AS INTEGER) AS start_line, CAST(5 AS INTEGER) AS end_line FROM documents WHERE doc_id % 4 = 0
-UNION ALL SELECT doc_id, 'method', 'TypeScript', 'D' || doc_id || '.go', false, 2, 4 FROM documents WHERE doc_id % 4 = 0
+UNION ALL SELECT doc_id, 'method', 'TypeScript', 'D' || doc_id || '.go', true, 2, 4 FROM documents WHERE doc_id % 4 = 0
 UNION ALL SELECT doc_id, 'function', 'Python', 'f', false, 1, 3 FROM documents WHERE doc_id % 4 = 1
 UNION ALL SELECT doc_id, 'method', 'Go', 'Run', false, 2, 5 FROM documents WHERE doc_id % 4 = 2
 UNION ALL SELECT doc_id, 'file', 'C++', 'src/' || doc_id || '.cpp', false, 1, 1 FROM documents WHERE doc_id % 4 = 3

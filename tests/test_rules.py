@@ -195,7 +195,7 @@ def test_scanned_symbols():
     got = {(kind, name): rest for kind, name, *rest in scanning.symbols("TypeScript", source)}
     assert got["function", "say"] == [None, True, "/** says { */", 0, 3]
     assert got["interface", "P"][1:] == [True, None, 4, 4] and got["type", "T"][3:] == [5, 7]
-    assert got["class", "K"] == [None, True, None, 8, 15] and got["method", "run"] == ["K", False, "// runs", 9, 13] and got["method", "field"][3:] == [14, 14]
+    assert got["class", "K"] == [None, True, None, 8, 15] and got["method", "run"] == ["K", True, "// runs", 9, 13] and got["method", "field"][3:] == [14, 14]
     assert got["enum", "E"][3:] == [16, 16] and len(got) == 7
     cpp = "#include <x>\nstruct P {\n  int a;\n};\nint add(int a, int b) {\n  return a + b;\n}\nint later(int);\n"
     assert [(k, n, a, b) for k, n, *_, a, b in scanning.symbols("C++", cpp)] == [("class", "P", 1, 3), ("function", "add", 4, 6)]
