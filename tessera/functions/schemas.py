@@ -38,3 +38,8 @@ def missing(payload: Column, kind: str) -> Column:
     required = [name for name in DECLARED[kind] if not name.endswith("?")]
     lacks = F.filter(F.array(*map(F.lit, required)), lambda n: F.try_element_at(got, n).isNull())
     return F.when(got.isNull(), F.array(*map(F.lit, required))).otherwise(lacks)
+
+
+def within(state: Column, field: str) -> Column:
+    """The object in `field` of a JSON text, as a variant, whether it is stored as an object or as its text; null for broken texts, other types and where it lacks."""
+    return F.try_parse_json(F.try_variant_get(F.try_parse_json(state), f"$.{field}", "string"))

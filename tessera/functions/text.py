@@ -143,5 +143,5 @@ def summary_text(kind: Column, payload: Column) -> Column:
 
 
 def stripped(text: Column) -> Column:
-    """Without white space at either end."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """Without white space at either end, no-break and other Unicode spaces among it."""
+    return F.regexp_replace(text, r"^[\s\u00a0\ufeff\p{Z}]+|[\s\u00a0\ufeff\p{Z}]+$", "")

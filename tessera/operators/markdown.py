@@ -1,35 +1,80 @@
-"""Markdown texts as rows: fenced code with its language, headings, items, quotes and paragraphs, with their inline marks."""
+"""Markdown texts as rows: fenced code with its language, headings, items, quotes and paragraphs, with their inline marks.
+
+Lines are read one after the other. A fence opens on a line that begins with three or more backticks and closes on a line of at least as many and nothing else; a fence that
+nothing closes is no fence, and its lines count as any others.
+"""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
-FENCE = re.compile(r"(```[\s\S]*?```)")
-FENCED = re.compile(r"```(\w+)?\n?([\s\S]*?)```")
-LINE = [("heading", re.compile(r"(#{1,3}) (.*)")), ("item", re.compile(r"([-*]) (.*)")), ("numbered", re.compile(r"(\d+)\.\s+(.*)")), ("quote", re.compile(r"(>) (.*)"))]
-INLINE = re.compile(r"`([^`]+)`|\*\*([^*]+)\*\*|\*([^*]+)\*")
 BLOCK = "position int, kind string, mark string, content string, code array<string>, bold array<string>, italic array<string>"
 
 
-def blocks(text: str) -> list[tuple]:
-    """Blocks of a text. The mark is a fence's language ("code" if it names none), a heading's #, an item's bullet or number.
-
-    A fence that is never closed is plain text; nothing inside a closed one counts as a line of its own; blank lines give no row.
-    """
-    found: list[tuple] = []
-    for part in FENCE.split(text):
-        if fenced := FENCED.fullmatch(part):
-            found.append((len(found), "fence", fenced[1] or "code", fenced[2].rstrip(), [], [], []))
+def fence_length(line: str) -> int:
+    """How many backticks a line that may open or close a fence begins with; 0 if fewer than three."""
+    n = len(line) - len(line.lstrip("`"))
+    return n if n >= 3 else 0
+
+
+def line_kind(line: str) -> tuple[str, str | None, str]:
+    """(kind, mark, content) of a line outside of fences."""
+    head, _, rest = line.partition(" ")
+    if head in ("#", "##", "###") and rest:
+        return "heading", head, rest.strip()
+    if head in ("-", "*") and rest:
+        return "item", head, rest.strip()
+    if head[:-1].isdecimal() and head.endswith(".") and rest.strip():
+        return "numbered", head[:-1], rest.strip()
+    if head == ">" and rest:
+        return "quote", head, rest.strip()
+    return "paragraph", None, line
+
+
+def inline_marks(text: str) -> tuple[list[str], list[str], list[str]]:
+    """(code, bold, italic) of one line: what stands between equal marks, inner ones first. Marks within code are text, marks that nothing closes too; bold and italic may hold each other."""
+    code, bold, italic = [], [], []
+    open_: list[tuple[str, int]] = []
+    i = 0
+    while i < len(text):
+        if text[i] == "`":
+            end = text.find("`", i + 1)
+            if end > i + 1:
+                code.append(text[i + 1 : end])
+                i = end + 1
+                continue
+        mark = "**" if text.startswith("**", i) else "*" if text[i] == "*" else ""
+        if not mark:
+            i += 1
             continue
-        for line in filter(None, map(str.strip, part.split("\n"))):
-            kind, match = next(((k, m) for k, p in LINE if (m := p.fullmatch(line))), ("paragraph", None))
-            content = match[2] if match else line
-            inline = INLINE.findall(content)
-            found.append((len(found), kind, match[1] if match else None, content, *([x[i] for x in inline if x[i]] for i in range(3))))
+        at = next((k for k in range(len(open_) - 1, -1, -1) if open_[k][0] == mark), None)
+        if at is not None and i > open_[at][1]:
+            (bold if mark == "**" else italic).append(text[open_[at][1] : i])
+            del open_[at:]
+        else:
+            open_.append((mark, i + len(mark)))
+        i += len(mark)
+    return code, bold, italic
+
+
+def blocks(text: str) -> list[tuple]:
+    """Blocks of a text. The mark is a fence's language ("code" if it names none), a heading's #, an item's bullet or number. Blank lines give no row."""
+    lines, found, i = text.split("\n"), [], 0
+    closers = [(k, fence_length(s)) for k, line in enumerate(lines) if (s := line.strip()) and not s.strip("`") and fence_length(s)]
+    while i < len(lines):
+        line = lines[i].strip()
+        n = fence_length(line)
+        end = next((k for k, size in closers if k > i and size >= n), None) if n and "`" not in line[n:] else None
+        if end is not None:
+            found.append((len(found), "fence", (line[n:].split() or ["code"])[0], "\n".join(lines[i + 1 : end]).rstrip(), [], [], []))
+            i = end
+        elif line:
+            kind, mark, content = line_kind(line)
+            found.append((len(found), kind, mark, content, *inline_marks(content)))
+        i += 1
     return found
 
 

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,21 +51,58 @@ def top_k(rows: DataFrame, query: Sequence[float], k: int | None, threshold: flo
     return found if k is None else found.limit(k)
 
 
-def top_k_each(rows: DataFrame, queries: DataFrame, k: int, key: str, vector: str = "embedding", block: int = 64) -> DataFrame:
-    """top_k for a table of queries (key, vector) at once: query_id, rank and the row. A query's own row is left out.
+#: So many query vectors at most travel to the rows as a value; more of them meet the rows in a shuffle.
+TRAVELLING = 4096
 
-    Queries lie in blocks of about `block`; each part of the rows meets each block once, on (block, part). Ranks are
-    cut per task before the shuffle by Spark's window group limit.
+
+def top_k_each(rows: DataFrame, queries: DataFrame, k: int, key: str, vector: str = "embedding", names: tuple[str, str, str] = ("query_id", "rank", "similarity")) -> DataFrame:
+    """top_k for a table of queries (key, vector) at once: the query's key, rank and similarity, under `names`, and the row. A query's own row is left out.
+
+    `names` must differ from the columns of `rows`. Queries travel in blocks of TRAVELLING, each one scan of the rows, which stay where they are: a task keeps the k best of
+    each query and sends those alone. Rows are fetched for what is left. Zero and null vectors, and null keys, take no part.
     """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    blocks = max(1, -(-queries.count() // block))
-    asked = queries.filter(norm(F.col(vector)) > 0).select(F.struct(F.col(key).cast("long").alias("query_id"), F.col(vector).alias("v"), norm(F.col(vector)).alias("n")).alias("_q"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("_block"))
-    asked = asked.groupBy("_block").agg(F.collect_list("_q").alias("_qs")).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    met = rows.withColumn("_n", norm(F.col(vector))).filter("_n > 0").withColumn("_part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    scored = met.join(asked.withColumn("_block", F.col("_block").cast("int")), ["_block", "_part"]).withColumn("_q", F.explode("_qs")).filter(F.col("_q.query_id") != F.col(key))
-    scored = scored.withColumn("similarity", F.round(dot(F.col(vector), F.col("_q.v")) / (F.col("_n") * F.col("_q.n")), 6)).withColumn("query_id", F.col("_q.query_id"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), key)
-    return scored.drop("_q", "_qs", "_block", "_part", "_n").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    query_id, rank, similarity = names
+    asked = queries.filter(F.col(key).isNotNull() & (norm(F.col(vector)) > 0)).select(F.col(key).cast("long").alias("q"), F.col(vector).cast("array<double>").alias("v"))
+    blocks = max(1, -(-asked.count() // TRAVELLING))
+    best = None
+    for i in range(blocks):
+        block = asked.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == i).toPandas()  # about TRAVELLING rows
+        found = _best_of_tasks(rows.select(F.col(key).cast("long").alias("r"), F.col(vector).cast("array<double>").alias("v")).filter("r is not null and v is not null"), block, k)
+        best = found if best is None else best.unionByName(found)
+    order = Window.partitionBy("q").orderBy(F.desc("s"), "r")
+    best = best.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k)
+    best = best.select(F.col("q").alias(query_id), F.col("n").alias(rank), F.col("r").alias(f"{query_id}_r"), F.col("s").alias(similarity))
+    return best.join(rows, F.col(f"{query_id}_r") == F.col(key).cast("long")).drop(f"{query_id}_r")
+
+
+def _best_of_tasks(rows: DataFrame, block: pd.DataFrame, k: int) -> DataFrame:
+    """(q, r, s): of each task's rows (r, v) the k with the highest similarity s to each query (q, v) of the block, ties to the smaller r."""
+    ids = block["q"].to_numpy(dtype=np.int64)
+    asked = [np.asarray(v, dtype=float) for v in block["v"]]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: pd.DataFrame | None = None
+        for pdf in batches:
+            for size, same in pdf.groupby(pdf["v"].map(len)):
+                at = [i for i, v in enumerate(asked) if len(v) == size]
+                data = np.stack([np.asarray(v, dtype=float) for v in same["v"]]) if size and at else np.zeros((0, 0))
+                length = np.sqrt((data * data).sum(axis=1)) if len(data) else np.zeros(0)
+                data, r, length = data[length > 0], same["r"].to_numpy()[: len(length)][length > 0], length[length > 0]
+                for first in range(0, len(at) if len(data) else 0, 256):
+                    part = at[first : first + 256]
+                    q = np.stack([asked[i] for i in part])
+                    s = np.round(q @ data.T / (np.sqrt((q * q).sum(axis=1))[:, None] * length), 6)
+                    s[ids[part][:, None] == r] = -np.inf
+                    floor = np.partition(s, -min(k, s.shape[1]), axis=1)[:, -min(k, s.shape[1])] if k else np.full(len(q), np.inf)
+                    i, j = np.nonzero((s >= floor[:, None]) & (s > -np.inf))
+                    new = pd.DataFrame({"q": ids[part][i], "r": r[j], "s": s[i, j]})
+                    kept = new if kept is None else pd.concat([kept, new])
+            if kept is not None and len(kept) > 4 * k * max(1, len(ids)):
+                kept = kept.sort_values(["q", "s", "r"], ascending=[True, False, True]).groupby("q").head(k)
+        if kept is not None:
+            yield kept.sort_values(["q", "s", "r"], ascending=[True, False, True]).groupby("q").head(k)
+
+    return rows.mapInPandas(run, "q long, r long, s double").withColumn("s", F.round("s", 6))
 
 
 def restricted(rows: DataFrame, column: str, keys: DataFrame | Sequence | None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.schemas import missing, parsed
+from tessera.functions.schemas import missing, parsed, within
 from tessera.functions.text import age, interview_ready, with_feedback
 from tessera.plans.registry import query
 from tessera.sources import landed
@@ -146,6 +146,21 @@ def json_props(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").select("event_id", F.from_json("props", "k int").getField("k").alias("k"))
 
 
+@query("""
+SELECT event_id, CASE WHEN event_id % 6 IN (0, 1, 2) THEN CAST(CASE WHEN event_id % 6 = 2 THEN NULL ELSE event_id % 100 END AS INTEGER) END AS score, CASE event_id % 6 WHEN 0 THEN user_id || ' notes' WHEN 1 THEN '' END AS notes,
+  CASE event_id % 6 WHEN 3 THEN 'broken' WHEN 4 THEN 'absent' WHEN 5 THEN 'absent' ELSE 'read' END AS state FROM events
+""")
+def nested_state(spark: SparkSession, folder: str) -> DataFrame:
+    """State as it may be stored: nested, with an object kept as text, with a wrong type, broken off, without the field, and no object at all."""
+    n, score, who = F.col("event_id") % 6, (F.col("event_id") % 100).cast("string"), F.col("user_id").cast("string")
+    nested = F.concat(F.lit('{"evaluation": {"score": '), score, F.lit(', "notes": [{"text": "'), who, F.lit(' notes"}]}}'))
+    as_text = F.concat(F.lit('{"evaluation": "{\\"score\\": '), score, F.lit(', \\"notes\\": [{\\"text\\": \\"\\"}]}"}'))
+    state = F.when(n == 0, nested).when(n == 1, as_text).when(n == 2, '{"evaluation": {"score": "none", "notes": []}}').when(n == 3, '{"evaluation": {').when(n == 4, F.col("props")).otherwise("[1]")
+    inner = within(state, "evaluation")
+    found = F.when(F.try_parse_json(state).isNull(), "broken").when(inner.isNull(), "absent").otherwise("read")
+    return table(spark, folder, "events").select("event_id", F.try_variant_get(inner, "$.score", "int").alias("score"), F.try_variant_get(inner, "$.notes[0].text", "string").alias("notes"), found.alias("state"))
+
+
 @query("""
 SELECT event_id, CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'findings' WHEN 2 THEN 'overall_score,risk_level' ELSE 'summary,overall_score,risk_level,findings' END AS missing,
   CASE WHEN event_id % 4 < 2 THEN CAST(event_id % 100 AS INTEGER) END AS score FROM events

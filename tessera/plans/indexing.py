@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import delta, structure
 from tessera.operators.chunking import line_windows
+from tessera.operators.constraints import Check, Reference, Required, Unique, violations
 from tessera.plans.registry import query
 from tessera.sources.tables import table
 
@@ -201,3 +202,20 @@ def index_status(spark: SparkSession, folder: str) -> DataFrame:
     ok = F.when(F.col("o_orderstatus") == "F", True).when(F.col("o_orderstatus") == "P", False)
     runs = table(spark, folder, "orders").select("o_custkey", "o_orderkey", ok.alias("ok"), F.col("o_orderkey").alias("commit"))
     return delta.transitions(runs, "o_custkey", "o_orderkey")
+
+
+@query("""
+WITH pending AS (SELECT o_custkey, min(o_orderkey) AS first FROM orders WHERE o_orderstatus = 'P' AND o_custkey IS NOT NULL GROUP BY 1 HAVING count(*) > 1)
+SELECT o_orderkey, 'one_pending' AS violated FROM orders JOIN pending USING (o_custkey) WHERE o_orderstatus = 'P' AND o_orderkey > first
+UNION ALL SELECT o_orderkey, 'dear_orders_are_closed' FROM orders WHERE o_totalprice > 300000 AND o_orderstatus <> 'F'
+UNION ALL SELECT o_orderkey, 'customer_exists' FROM orders WHERE o_custkey IS NOT NULL AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0)
+UNION ALL SELECT o_orderkey, 'status_known' FROM orders WHERE nullif(o_orderstatus, 'O') IS NULL
+""")
+def constraint_violations(spark: SparkSession, folder: str) -> DataFrame:
+    """A partial uniqueness, a check, a reference and a required column, over all orders."""
+    orders = table(spark, folder, "orders").withColumn("status", F.nullif(F.col("o_orderstatus"), F.lit("O")))
+    rules = [
+        Unique("one_pending", ("o_custkey",), ("o_orderkey",), "o_orderstatus = 'P'"), Check("dear_orders_are_closed", "o_totalprice <= 300000 or o_orderstatus = 'F'"),
+        Reference("customer_exists", "o_custkey", table(spark, folder, "customer").filter("c_acctbal >= 0"), "c_custkey"), Required("status_known", "status"),
+    ]
+    return violations(orders, rules).select("o_orderkey", "violated")

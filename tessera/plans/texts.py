@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import joined, stripped, summary_text
+from tessera.operators.budget import running_before
 from tessera.plans.registry import query
 from tessera.sources.tables import table
 
@@ -20,11 +21,10 @@ SELECT source, doc_id, CAST(CASE WHEN n_chars > 8000 - before THEN 8000 - before
 def patch_budget(spark: SparkSession, folder: str) -> DataFrame:
     """A running budget of 8000 characters a source: the text that crosses it is cut and marked, later ones are left out.
 
-    Lengths alone are summed up in order; only the few texts within a budget are fetched.
+    Lengths alone are summed up in order, by blocks of ids, so that a hot source is many tasks; only the few texts within a budget are fetched.
     """
     docs = table(spark, folder, "documents")
-    before = F.coalesce(F.sum("n_chars").over(Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    lengths = docs.select("source", "doc_id", "n_chars").withColumn("left", 8000 - before).filter("left > 0")
+    lengths = running_before(docs.select("source", "doc_id", "n_chars"), "source", "doc_id", "n_chars", "before", budget=8000).withColumn("left", 8000 - F.col("before"))
     rows = lengths.join(docs.select("source", "doc_id", "text"), ["source", "doc_id"])
     cut = F.col("n_chars") > F.col("left")
     patch = F.when(cut, F.concat(F.substring("text", 1, F.col("left").cast("int")), F.lit(MARK))).otherwise(F.col("text"))
@@ -62,6 +62,31 @@ def markdown_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", F.size(lines).cast("long").alias("lines"), count("^#{1,6} ").alias("headings"), count("^[-*] ").alias("items"), count("^$").alias("blanks"))
 
 
+@query("""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM documents),
+b AS (SELECT doc_id, k, k % 6 AS t, trim(line, ' ' || chr(9) || chr(13)) AS line FROM l)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS position, CASE t WHEN 0 THEN 'fence' WHEN 1 THEN 'heading' WHEN 2 THEN 'item' WHEN 3 THEN 'numbered' WHEN 4 THEN 'quote' ELSE 'paragraph' END AS kind,
+  CASE t WHEN 0 THEN CASE WHEN k % 4 = 0 THEN 'py' ELSE 'code' END WHEN 1 THEN '##' WHEN 2 THEN '*' WHEN 3 THEN CAST(k AS VARCHAR) WHEN 4 THEN '>' END AS mark,
+  CASE t WHEN 1 THEN 'c' || k WHEN 2 THEN 'b ' || '`' || k || '`' WHEN 4 THEN '' ELSE '' END AS marked
+FROM b
+""")
+def markdown_block_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Blocks of texts whose lines become fences (which hold lines that look like others), headings, items, numbered items, quotes and paragraphs, with code, bold and italic marks."""
+    from tessera.operators.markdown import block_rows
+
+    def shaped(line: Column, k: Column) -> Column:
+        n, flat = k.cast("string"), F.translate(line, "`*", "''")
+        return (
+            F.when(k % 6 == 0, F.concat(F.when(k % 4 == 0, "````py").otherwise("````"), F.lit("\n# no heading\n```\n- "), flat, F.lit("\n````")))
+            .when(k % 6 == 1, F.concat(F.lit("## **c"), n, F.lit("** "), flat)).when(k % 6 == 2, F.concat(F.lit("* *b **`"), n, F.lit("`*** "), flat))
+            .when(k % 6 == 3, F.concat(n, F.lit(". x"), flat)).when(k % 6 == 4, F.concat(F.lit("> x"), flat)).otherwise(F.concat(F.lit("x"), flat))
+        )
+
+    docs = table(spark, folder, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n", -1), shaped), "\n").alias("text"))
+    inline = F.concat(F.array_join("bold", ""), F.array_join("code", ""))
+    return block_rows(docs).select("doc_id", F.col("position").cast("long").alias("position"), "kind", "mark", F.when(F.col("kind") == "heading", F.array_join("bold", "")).when(F.col("kind") == "item", F.concat(F.lit("b "), F.lit("`"), F.array_join("code", ""), F.lit("`"))).otherwise(inline).alias("marked"))
+
+
 @query("""
 SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN NULL WHEN c_custkey % 4 = 1 THEN c_name ELSE c_name || ' ' || c_mktsegment END AS full_name, 'b' || c_custkey AS email FROM customer
 """)
@@ -74,13 +99,13 @@ def user_profile_merge(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "customer").select("c_custkey", F.nullif(joined(" ", first, last), F.lit("")).alias("full_name"), mail.alias("email"))
 
 
-@query("""
-SELECT doc_id, trim(string_split(text, chr(10))[1]) AS first_line, CASE WHEN doc_id % 2 = 0 THEN source || '.' || doc_id ELSE doc_id::VARCHAR END AS qualified, source || ':' || doc_id || ':0' AS source_id FROM documents
+@query(r"""
+SELECT doc_id, regexp_replace(string_split(chr(9) || chr(160) || ' ' || text, chr(10))[1], '^[\s\x{A0}]+|[\s\x{A0}]+$', '', 'g') AS first_line, CASE WHEN doc_id % 2 = 0 THEN source || '.' || doc_id ELSE doc_id::VARCHAR END AS qualified, source || ':' || doc_id || ':0' AS source_id FROM documents
 """)
 def symbol_labels(spark: SparkSession, folder: str) -> DataFrame:
     name = F.col("doc_id").cast("string")
     qualified = F.when(F.col("doc_id") % 2 == 0, F.concat("source", F.lit("."), name)).otherwise(name)
-    return table(spark, folder, "documents").select("doc_id", F.trim(F.split("text", "\n", -1)[0]).alias("first_line"), qualified.alias("qualified"), F.concat_ws(":", "source", name, F.lit("0")).alias("source_id"))
+    return table(spark, folder, "documents").select("doc_id", stripped(F.split(F.concat(F.lit("\t\u00a0 "), "text"), "\n", -1)[0]).alias("first_line"), qualified.alias("qualified"), F.concat_ws(":", "source", name, F.lit("0")).alias("source_id"))
 
 
 @query("""

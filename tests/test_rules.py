@@ -1,13 +1,15 @@
 """Hand-worked cases of the rules."""
 
 import hashlib
+import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.text import age, denied, extension, module_name, severity_rank
-from tessera.operators import chunking, delta, markdown, scanning, search, structure, summaries
-from tessera.sources import landed, providers
+from tessera.operators import budget, chunking, constraints, delta, markdown, scanning, search, structure, summaries
+from tessera.sources import contents, landed, paged, providers
 
 
 def values(df, *columns):
@@ -171,15 +173,101 @@ def test_file_facts(spark):
 
 
 def test_markdown_blocks_know_fences(spark):
-    text = "# A `b`\n\n```py\n# no heading\n- x\n```\n> q **r** *s*\n* i\n2. j\n```\nz```\n```\n- open"
+    text = "# A `b`\n\n```py\n# no heading\n- x\n```\n> q **r** *s*\n* i\n2. j\n````\nz```\n```\n````\n```\n- open"
     rows = markdown.block_rows(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")).orderBy("position").collect()
     assert [(r["kind"], r["mark"], r["content"]) for r in rows] == [
         ("heading", "#", "A `b`"), ("fence", "py", "# no heading\n- x"), ("quote", ">", "q **r** *s*"), ("item", "*", "i"), ("numbered", "2", "j"),
-        ("fence", "code", "z"), ("paragraph", None, "```"), ("item", "-", "open"),
+        ("fence", "code", "z```\n```"), ("paragraph", None, "```"), ("item", "-", "open"),
     ]
     assert rows[0]["code"] == ["b"] and (rows[2]["bold"], rows[2]["italic"]) == (["r"], ["s"])
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("*a **b** c*", ([], ["b"], ["a **b** c"])), ("**a *b* c**", ([], ["a *b* c"], ["b"])), ("`*a*` *b*", (["*a*"], [], ["b"])), ("*a", ([], [], [])), ("**", ([], [], [])), ("* *", ([], [], [" "])),
+        ("`` x", ([], [], [])), ("`a", ([], [], [])), ("2 * 3 ** 4", ([], [], [])), ("**a** `b` **c**", (["b"], ["a", "c"], [])),
+    ],
+)
+def test_inline_marks(text, want):
+    assert markdown.inline_marks(text) == want
+
+
+def test_constraints(spark):
+    rows = [(1, "a", "x", 5), (2, "a", "x", 5), (3, "a", None, 5), (4, "a", None, 5), (5, "b", "x", None), (6, "b", "y", -1), (7, None, "x", 1), (8, "z", "q", -2)]
+    df = spark.createDataFrame(rows, "id int, owner string, kind string, n int").withColumn("violated_0", F.lit("mine"))
+    known = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "name string")
+    rules = [constraints.Unique("one x", ("owner", "kind"), ("id",), "kind = 'x'"), constraints.Check("positive", "n >= 0"), constraints.Required("owned", "owner"), constraints.Reference("owner known", "owner", known, "name")]
+    got = {r["id"]: r["broken"] for r in constraints.checked(df, rules, "broken").collect()}
+    assert got == {1: [], 2: ["one x"], 3: [], 4: [], 5: [], 6: ["positive"], 7: ["owned"], 8: ["positive", "owner known"]}
+    good, bad = constraints.quarantined(df, rules, "broken")
+    assert values(good, "id") == [(1,), (3,), (4,), (5,)] and bad.count() == 4 and good.columns == df.columns
+    assert constraints.violations(df.limit(0), rules, "broken").count() == 0 and constraints.checked(df, [], "broken").filter("size(broken) = 0").count() == 8
+
+
+def test_running_sums_by_blocks(spark):
+    rows = [("hot", i, i % 7) for i in range(3000)] + [("b", 10_000_000, 3), ("b", -5, None), ("b", 2, 4), (None, 1, 1), ("c", None, 1)]
+    df = spark.createDataFrame(rows, "g string, o long, v long")
+    got = {(r["g"], r["o"]): r["s"] for r in budget.running_before(df, "g", "o", "v", "s", block=64).collect()}
+    want, total = {("b", -5): 0, ("b", 2): 0, ("b", 10_000_000): 4}, 0
+    for i in range(3000):
+        want["hot", i] = total
+        total += i % 7
+    assert got == want
+    cut = budget.running_before(df, "g", "o", "v", "s", block=64, budget=100)
+    assert {(r["g"], r["o"]): r["s"] for r in cut.collect()} == {k: v for k, v in want.items() if v < 100}
+
+
+def test_batch_search(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, "mine", rng.standard_normal(3).tolist()) for i in range(60)] + [(60, "mine", [0.0, 0.0, 0.0]), (61, "mine", None), (None, "mine", [1.0, 0.0, 0.0]), (62, "mine", [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "id long, rank string, embedding array<double>").repartition(4)
+    for travelling in (search.TRAVELLING, 5):
+        search.TRAVELLING, before = travelling, search.TRAVELLING
+        out = search.top_k_each(df, df.filter("id % 6 = 0 or id > 59"), 4, "id", names=("asked", "place", "score")).collect()
+        search.TRAVELLING = before
+        assert {r["rank"] for r in out} == {"mine"}
+        unit = {i: np.array(v) / np.linalg.norm(v) for i, _, v in rows if i is not None and i < 60}
+        for q in range(0, 60, 6):
+            want = sorted((-round(float(unit[q] @ unit[i]), 6), i) for i in unit if i != q)[:4]
+            got = sorted((r["place"], r["id"], r["score"]) for r in out if r["asked"] == q)
+            assert [i for _, i, _ in got] == [i for _, i in want] and [s for *_, s in got] == pytest.approx([-s for s, _ in want], abs=2e-6)
+        assert {r["asked"] for r in out} == set(range(0, 60, 6))
+
+
+def test_pages_are_read_as_filters_and_limits_ask(spark, tmp_path):
+    """The filter is the listing's work, pages beyond a limit are not fetched."""
+    folder = str(tmp_path)
+
+    def fetch(number, wanted):
+        with open(f"{folder}/{number}", "a") as f:  # noqa: PTH123
+            f.write(json.dumps(wanted) + "\n")
+        rows = [{"number": 10 * number + i, "state": "open" if i % 2 else "closed", "title": None if i == 3 else f"t{i}"} for i in range(10)]
+        return [r for r in rows if all(r[c] == v for c, v in wanted.items())]
+
+    listing = lambda name, **kw: paged.read_pages(spark, fetch, "number int, state string, title string", 5, name=name, per_page=10, **kw)
+    opened = listing("pulls", handed={"state"}).filter("state = 'open' and number > 20")
+    assert values(opened, "number", "title") == [(10 * p + i, None if i == 3 else f"t{i}") for p in range(2, 6) for i in (1, 3, 5, 7, 9)]
+    assert "state" not in opened._jdf.queryExecution().executedPlan().toString().split("BatchScan")[0] or "= open" not in opened._jdf.queryExecution().executedPlan().toString()
+    assert {json.loads(x)["state"] for p in range(1, 6) for x in (tmp_path / str(p)).read_text().splitlines()} == {"open"}
+    for p in range(1, 6):
+        (tmp_path / str(p)).unlink()
+    assert listing("first", limit=14).count() == 14
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["1", "2"]
+
+
+def test_raw_contents(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "source", "text").collect()
+    for r in docs:
+        (tmp_path / "tree" / r["source"] / "deep").mkdir(parents=True, exist_ok=True)
+        (tmp_path / "tree" / r["source"] / "deep" / f"{r['doc_id']}.{'md' if r['doc_id'] % 3 else 'bin'}").write_text(r["text"], newline="")
+    files = contents.files_below(spark, str(tmp_path / "tree"), "*.md")
+    wanted = spark.createDataFrame([(f"{r['source']}/deep/{r['doc_id']}.md", r["doc_id"]) for r in docs] + [(None, -1)], "path string, doc_id long")
+    got = {r["doc_id"]: r["content"] for r in contents.contents_of(wanted, files).collect()}
+    assert got == {r["doc_id"]: r["text"] if r["doc_id"] % 3 else None for r in docs} | {-1: None}
+    assert contents.files_below(spark, str(tmp_path / "tree")).count() == len(docs)
+
+
 def test_module_file_lists_counts_without_lists(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a", "en"), (None, "a", "en"), (3, "a", "de"), (4, "b", "de")], "doc_id long, source string, lang string")
     rows.write.parquet(str(tmp_path / "documents.parquet"))
