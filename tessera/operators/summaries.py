@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.delta import delete, upsert
 from tessera.operators.structure import parent_hashes
+from tessera.streaming.published import Published
 
 NODE = ["node_type", "node_key"]
 
@@ -30,3 +34,53 @@ def refreshed(stored: DataFrame, wanted: DataFrame, regenerated: DataFrame) -> D
     merged = upsert(stored.withColumn("_v", F.lit(0)), regenerated.select(*stored.columns).withColumn("_v", F.lit(1)), NODE, [F.desc("_v")]).drop("_v")
     gone = merged.select(*NODE).join(wanted.select(*NODE), NODE, "left_anti")
     return delete(merged, gone, NODE)
+
+
+SUMMARY = "node_type string, node_key string, parent_key string, content_hash string, summary string"
+
+
+@dataclass(frozen=True)
+class SummaryStore:
+    """The stored tree, in buckets of the node's key; runs are numbered, and a run that comes again changes nothing."""
+
+    root: str
+    buckets: int = 64
+
+    def _table(self) -> Published:
+        return Published(self.root, {"summaries": (SUMMARY, "node_key")}, self.buckets)
+
+    def nodes(self, spark: SparkSession, node_type: str | None = None, key: str | None = None) -> DataFrame:
+        """All nodes, those of a type, or the one with a key, which is read from its bucket alone."""
+        table, only = self._table(), None
+        if key is not None:
+            only = {spark.range(1).select(F.lit(key).alias("k")).select(table.bucket("k")).first()[0]}
+        rows = table.read(spark, "summaries", only)
+        rows = rows if node_type is None else rows.filter(F.col("node_type") == node_type)
+        return rows if key is None else rows.filter(F.col("node_key") == key).limit(1)
+
+    def put(self, run: int, changed: DataFrame, gone: DataFrame) -> bool:
+        """Write `changed` nodes over those of their keys and delete `gone` ones (NODE)."""
+        keys = changed.select("node_key").unionByName(gone.select("node_key"))
+
+        def change(current: DataFrame) -> DataFrame:
+            fresh = changed.select(*current.columns)
+            return delete(delete(current, gone, NODE), fresh, NODE).unionByName(fresh)
+
+        return self._table().publish(changed.sparkSession, run, {"summaries": (keys, change)})
+
+
+@dataclass(frozen=True)
+class SummaryPipeline:
+    """Brings a store up to date: `write` adds summaries to the stale nodes that it is given; `refine`, if there is one, gives files other modules first."""
+
+    store: SummaryStore
+    write: Callable[[DataFrame], DataFrame]
+    refine: Callable[[DataFrame], DataFrame] | None = None
+
+    def run(self, number: int, files: DataFrame) -> bool:
+        """Files (path, module, hash); only nodes whose hash is new are written, and nodes that are not wanted any more go."""
+        spark = files.sparkSession
+        wanted = wanted_nodes(self.refine(files) if self.refine else files)
+        stored = self.store.nodes(spark)
+        gone = delete(stored.select(*NODE), wanted, NODE)
+        return self.store.put(number, self.write(stale_nodes(stored, wanted)), gone)

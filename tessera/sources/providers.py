@@ -1,19 +1,16 @@
-"""Models from outside, as injected callables, with deterministic stand-ins that need no network.
-
-The stand-ins carry no meaning: they exist so that plans which call a model can run and repeat.
-"""
+"""Models from outside, as injected callables that go along with the tasks."""
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from typing import Protocol
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.schemas import parsed
+
 
 class Embedder(Protocol):
     def embed(self, texts: list[str]) -> list[list[float]]: ...
@@ -23,29 +20,6 @@ class Writer(Protocol):
     def generate(self, prompt: str) -> str: ...
 
 
-class HashEmbedder:
-    """Unit vectors from hashed words."""
-
-    def __init__(self, dims: int = 64):
-        self.dims = dims
-
-    def embed(self, texts: list[str]) -> list[list[float]]:
-        out = np.zeros((len(texts), self.dims))
-        for row, text in zip(out, texts, strict=True):
-            for word in text.split():
-                digest = hashlib.blake2b(word.encode(), digest_size=8).digest()
-                row[int.from_bytes(digest[:4], "little") % self.dims] += 1 if digest[4] & 1 else -1
-        length = np.linalg.norm(out, axis=1, keepdims=True)
-        return (out / np.where(length > 0, length, 1)).tolist()
-
-
-class EchoWriter:
-    """The first words of the prompt."""
-
-    def generate(self, prompt: str) -> str:
-        return " ".join(prompt.split()[:12])
-
-
 def embedded(rows: DataFrame, text: str, embedder: Embedder, into: str = "embedding") -> DataFrame:
     """`rows` with a vector of each text, one call per Arrow batch. Filter to new rows first: the call is the dear part."""
 
@@ -66,25 +40,6 @@ def generated(prompt: Column, writer: Writer) -> Column:
     return run(prompt)
 
 
-#: Context builders by kind of session; what isn't listed uses the default.
-CONTEXTS: dict[str, Callable[[DataFrame], DataFrame]] = {}
-
-
-def context(kind: str) -> Callable:
-    def register(f: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
-        CONTEXTS[kind] = f
-        return f
-
-    return register
-
-
-@context("default")
-def numbered_sources(chunks: DataFrame) -> DataFrame:
-    """(session, context, sources): chunks (session, position, path, content) as numbered sources in order."""
-    line = F.concat(F.lit("["), F.col("position").cast("string"), F.lit("] "), "path", F.lit("\n"), "content")
-    rows = chunks.withColumn("line", line).groupBy("session").agg(F.array_sort(F.collect_list(F.struct("position", "line"))).alias("x"))
-    return rows.select("session", F.array_join(F.transform("x", lambda r: r["line"]), "\n\n").alias("context"), F.size("x").alias("sources"))
-
-
-def build_context(kind: str, chunks: DataFrame) -> DataFrame:
-    return CONTEXTS.get(kind, CONTEXTS["default"])(chunks)
+def structured(prompt: Column, writer: Writer, kind: str) -> Column:
+    """What the writer says, read under the declared schema of `kind`; null where it is no such JSON."""
+    return parsed(generated(prompt, writer), kind)

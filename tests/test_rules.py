@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import age, denied, extension, module_name, severity_rank
 from tessera.operators import budget, chunking, constraints, delta, markdown, scanning, search, structure, summaries
+from tessera.operators import sessions as ops
 from tessera.sources import contents, landed, paged, providers
 
 
@@ -141,14 +142,65 @@ def test_landed_feeds(spark, tmp_path):
     assert len(landed.repositories(repos).columns) == 11
 
 
+def model():
+    """A model that needs no network: the length of each text, and the first words of a prompt. Its class goes along by value."""
+
+    class Words:
+        def embed(self, texts):
+            return [[float(len(t)), 1.0] for t in texts]
+
+        def generate(self, prompt):
+            return " ".join(prompt.split()[:12])
+
+    return Words()
+
+
 def test_providers(spark):
-    rows = spark.createDataFrame([("a b",), ("",), (None,)], "text string")
-    out = providers.embedded(rows, "text", providers.HashEmbedder(8)).collect()
-    assert len(out[0]["embedding"]) == 8 and sum(x * x for x in out[0]["embedding"]) == pytest.approx(1)
-    assert set(out[1]["embedding"]) == {0.0}
-    assert rows.select(providers.generated(F.col("text"), providers.EchoWriter()).alias("g")).first()["g"] == "a b"
-    chunks = spark.createDataFrame([("s", 2, "p2", "c2"), ("s", 1, "p1", "c1")], "session string, position int, path string, content string")
-    assert providers.build_context("unknown", chunks).first()["context"] == "[1] p1\nc1\n\n[2] p2\nc2"
+    rows = spark.createDataFrame([("a b",), ("",), (None,), ('{"strengths": ["x"], "weaknesses": [], "overallAssessment": "y", "score": 2}',)], "text string")
+    assert [r["embedding"] for r in providers.embedded(rows, "text", model()).collect()][:3] == [[3.0, 1.0], [0.0, 1.0], [0.0, 1.0]]
+    assert rows.select(providers.generated(F.col("text"), model()).alias("g")).first()["g"] == "a b"
+    read = rows.select(providers.structured(F.col("text"), model(), "final_assessment").alias("x")).select("x.score", "x.strengths").collect()
+    assert tuple(read[3]) == (2.0, ["x"]) and [r["score"] for r in read[:3]] == [None] * 3
+
+
+def test_summary_store(spark, tmp_path):
+    asked = []
+
+    def write(stale):
+        asked.append(sorted(r["node_key"] for r in stale.collect()))
+        return stale.withColumn("summary", F.concat(F.lit("about "), "node_key", F.lit(" "), F.substring("content_hash", 1, 4)))
+
+    store = summaries.SummaryStore(str(tmp_path), 4)
+    pipeline = summaries.SummaryPipeline(store, write, refine=lambda f: f.withColumn("module", F.when(F.col("module") == "tiny", "x").otherwise(F.col("module"))))
+    files = lambda *rows: spark.createDataFrame(rows, "path string, module string, hash string")
+    assert pipeline.run(0, files(("a", "x", "1"), ("b", "tiny", "2"), ("c", "y", "3")))
+    assert asked[-1] == ["a", "architecture", "b", "c", "repository", "x", "y"]
+    assert not pipeline.run(0, files(("a", "x", "9")))  # a run that was published changes nothing
+    assert pipeline.run(1, files(("a", "x", "1"), ("b", "x", "5")))
+    assert asked[-1] == ["architecture", "b", "repository", "x"]
+    assert values(store.nodes(spark, "file"), "node_key", "summary") == [("a", "about a 1"), ("b", "about b 5")]
+    assert store.nodes(spark, key="x").count() == 1 and store.nodes(spark, key="y").count() == 0 and store.nodes(spark).count() == 5
+
+
+def test_sessions(spark):
+    sessions = spark.createDataFrame([("s1", "ISSUE_CHAT", 1, 10), ("s0", "ISSUE_CHAT", 1, 10), ("s2", "QA", 1, 11)], "session_id string, kind string, user_id int, finding_id int")
+    requests = [(1, "ISSUE_CHAT", 1, 10), (2, "ISSUE_CHAT", 2, 10), (3, "ISSUE_CHAT", 2, 10), (4, "ISSUE_CHAT", 1, None), (5, "QA", 1, 11), (6, None, 1, 10), (7, "ISSUE_CHAT", None, 10)]
+    got = values(ops.found_or_made(sessions, spark.createDataFrame(requests, "request_id int, kind string, user_id int, finding_id int")), "request_id", "session_id", "made")
+    assert got == [(1, "s0", False), (2, "2", True), (3, "2", False), (4, "4", True), (5, "5", True), (6, "6", True), (7, "7", True)]
+    open_ = spark.createDataFrame([("a", 1, "active"), ("b", 2, "active"), ("c", None, "active")], "session_id string, user_id int, status string")
+    assert values(ops.ended(open_, spark.createDataFrame([("a", 1), ("a", 1), ("b", 1), ("c", None)], "session_id string, user_id int")), "session_id", "status") == [("a", "completed"), ("b", "active"), ("c", "active")]
+
+
+def test_contexts_by_kind(spark):
+    findings = spark.createDataFrame([(1, 5, "Minor", "b.ts", 3, "m"), (2, 5, "Critical", "z.ts", 9, "c"), (3, 5, "Minor", "a.ts", None, "n"), (4, 5, None, "q.ts", 1, "i")], "finding_id int, review_id int, severity string, path string, line int, title string")
+    chunks = spark.createDataFrame([(8, 2, "two"), (8, 1, "one")], "repository_id int, position int, path string")
+    rows = [("r", "REVIEW", 5, None, None), ("e", "REVIEW_CHAT", 6, None, None), ("i", "ISSUE_CHAT", None, 3, None), ("q", "QA", None, None, 8), ("u", "OTHER", None, None, 8), ("n", None, None, None, 9)]
+    sessions = spark.createDataFrame(rows, "session_id string, kind string, review_id int, finding_id int, repository_id int")
+    builders = {"REVIEW_CHAT": lambda s: ops.review_context(s, findings.drop("finding_id"), 3), "ISSUE_CHAT": lambda s: ops.issue_context(s, findings), "REPO_QA": lambda s: ops.repository_context(s, chunks)}
+    assert values(ops.contexts(sessions, builders), "session_id", "kind", "context", "sources") == [
+        ("e", "REVIEW_CHAT", "", 0), ("i", "ISSUE_CHAT", "MINOR a.ts:N/A n", 1), ("n", "REPO_QA", "", 0), ("q", "REPO_QA", "[1] one\n[2] two", 2),
+        ("r", "REVIEW_CHAT", "CRITICAL z.ts:9 c\nMINOR a.ts n\nMINOR b.ts:3 m", 4), ("u", "REPO_QA", "[1] one\n[2] two", 2),
+    ]
 
 
 def test_long_chunks_are_split(spark):
