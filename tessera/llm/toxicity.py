@@ -28,10 +28,12 @@ from pyspark.sql import functions as F
 
 from tessera.llm.language import remainder
 
-DECAY, SPAN, WIDTH, STRIDE, LANDMARKS = 0.6, 6, 20, 10, 64
-#: Bounds of the fit alone: labelled texts of a class, words of either class, candidates for landmarks of either kind. Scores know no bound.
-PER_CLASS, NEGATIVES, CANDIDATES = 1200, 20000, 300
+DECAY, SPAN, WIDTH, STRIDE, LANDMARKS = 0.6, 6, 20, 10, 256
+#: Bound of the fit alone: labelled texts of a class, all of whose words count; ordinary words among which the landmarks of their kind are chosen. Scores know no bound.
+PER_CLASS, ORDINARY = 1200, 1000
 ROUNDS, REMEMBERED = 4, 400_000
+#: Share of the best word's evidence from which a word of the same text is a witness too.
+STRONG = 0.7
 #: One letter at a time, as in i d i o t.
 SPACED = re.compile(r"(?:\b[^\W\d_]\b[\s.*_-]{1,3}){3,}[^\W\d_]\b")
 
@@ -150,37 +152,45 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(self.slope * decision + self.shift, -30, 30))))
 
 
-def _farthest(k: np.ndarray, number: int) -> list[int]:
-    """Rows of a kernel matrix, each the least similar to those before."""
-    chosen, near = [0], k[0].copy()
-    while len(chosen) < min(number, len(k)):
+def spread_out(words: list[str], number: int) -> list[str]:
+    """`number` of the words, the first and then each the least similar to those before."""
+    subsequences = Subsequences.of(words)
+    numbers, weight, norm = subsequences.numbers(words)
+    chosen, near = [0], np.full(len(words), -1.0)
+    while True:
+        last = np.zeros(subsequences.rows + 1, dtype=np.float32)
+        np.add.at(last, numbers[chosen[-1]][numbers[chosen[-1]] >= 0], weight[numbers[chosen[-1]] >= 0] / norm[chosen[-1]])
+        near = np.maximum(near, (last[numbers] @ weight) / norm)
         nxt = int(near.argmin())
-        if nxt in chosen:
-            break
+        if len(chosen) == min(number, len(words)) or nxt in chosen:
+            return [words[i] for i in chosen]
         chosen.append(nxt)
-        near = np.maximum(near, k[nxt])
-    return chosen
 
 
-def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, steps: int = 25) -> tuple[np.ndarray, float]:
-    """Linear machine with squared hinge loss, by Newton steps on the rows inside the margin."""
-    x1 = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x1.shape[1])
-    penalty = np.diag(np.append(np.full(x.shape[1], ridge), 1e-6))
+def _machine(x: np.ndarray, rows: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, steps: int = 25, block: int = 16384) -> tuple[np.ndarray, float]:
+    """Linear machine with squared hinge loss over the `rows` of x, by Newton steps on the rows inside the margin, gathered by blocks."""
+    n = x.shape[1]
+    w = np.zeros(n + 1)
+    penalty = np.diag(np.append(np.full(n, ridge), 1e-6))
     weight = weight / weight.sum()
     for _ in range(steps):
-        inside = y * (x1 @ w) < 1
-        rows = x1[inside]
-        new = np.linalg.solve((rows * weight[inside, None]).T @ rows + penalty, (rows * weight[inside, None]).T @ y[inside])
+        h, g = penalty.copy(), np.zeros(n + 1)
+        for at in range(0, len(rows), block):
+            part, ys, ws = x[rows[at : at + block]].astype(np.float64), y[at : at + block], weight[at : at + block]
+            inside = ys * (part @ w[:-1] + w[-1]) < 1
+            part = np.hstack([part[inside], np.ones((int(inside.sum()), 1))])
+            weighed = (part * ws[inside, None]).T
+            h, g = h + weighed @ part, g + weighed @ ys[inside]
+        new = np.linalg.solve(h, g)
         if np.allclose(new, w, atol=1e-7):
             break
         w = new
     return w[:-1], float(w[-1])
 
 
-def train(samples: list[tuple[str, int]], clean_share: float | None = None, landmarks: int = LANDMARKS, negatives: int = NEGATIVES, rounds: int = ROUNDS, seed: int = 1) -> Machine | None:
-    """Fit on (text, 0 or 1) samples; None unless both classes have words. Of the words of either class at most `negatives` are drawn, of the most frequent
-    witnesses and of the drawn ordinary words CANDIDATES may become landmarks. clean_share: of label 0 where the sample comes from, if it differs."""
+def train(samples: list[tuple[str, int]], clean_share: float | None = None, landmarks: int = LANDMARKS, rounds: int = ROUNDS, seed: int = 1) -> Machine | None:
+    """Fit on (text, 0 or 1) samples; None unless both classes have words. All words of all samples are fitted on; all witnesses, all mistakable words and ORDINARY drawn others
+    may become landmarks. clean_share: of label 0 where the sample comes from, if it differs."""
     rng = np.random.default_rng(seed)
     bags = [(sorted({p for w in tokens(t) for p in pieces(w)}), label) for t, label in sorted(samples)]
     toxic, clean = [b for b, label in bags if label and b], [b for b, label in bags if not label and b]
@@ -192,16 +202,12 @@ def train(samples: list[tuple[str, int]], clean_share: float | None = None, land
     ratio = len(toxic) / len(clean)
     gain = lambda p, n: p * np.log((p + 0.1) / (n * ratio + 0.5)) if p > n * ratio else 0.0
     value = {w: gain(seen[w], other[w]) + gain(stem[w[:5]], stem_other[w[:5]]) for w in seen}
-    witness = [max(b, key=lambda w: (value[w], w)) for b in toxic]
+    # A text's witnesses are all of its words that tell nearly as much as its best one: several insults in one text are all learned.
+    best = [max(value[w] for w in b) for b in toxic]
+    witness = strong = [w for b, most in zip(toxic, best, strict=True) for w in b if value[w] >= STRONG * most and value[w] > 0] or [max(b) for b in toxic]
     plain = sorted(other)
-    plain = [plain[i] for i in rng.permutation(len(plain))[:negatives]]
+    plain = [plain[i] for i in rng.permutation(len(plain))]
     words = sorted({w for b in toxic for w in b})
-    words = [words[i] for i in rng.permutation(len(words))[:negatives]]
-
-    def spread(candidates: list[str], number: int) -> list[str]:
-        subsequences = Subsequences.of(candidates)
-        table = subsequences.table(candidates)
-        return [candidates[i] for i in _farthest(subsequences.apply(candidates, table), number)]
 
     def changed(word: str) -> str:
         at = int(rng.integers(1, max(2, len(word))))
@@ -209,9 +215,9 @@ def train(samples: list[tuple[str, int]], clean_share: float | None = None, land
 
     hard: list[str] = []
     for turn in range(2):  # the second time with the mistakable words as landmarks
-        common = [w for w, _ in Counter(witness).most_common(CANDIDATES)]
-        marks = spread(common, landmarks // 2) + (spread(hard, landmarks // 4) if hard else [])
-        marks += spread(plain[:CANDIDATES], landmarks - len(marks))
+        common = [w for w, _ in Counter(witness).most_common()]
+        marks = spread_out(common, landmarks // 2) + (spread_out(hard, landmarks // 4) if hard else [])
+        marks += spread_out(plain[:ORDINARY], landmarks - len(marks))
         marks = list(dict.fromkeys(marks))
         subsequences = Subsequences.of(marks)
         table = subsequences.table(marks)
@@ -221,7 +227,7 @@ def train(samples: list[tuple[str, int]], clean_share: float | None = None, land
         altered = [changed(w) for w in witness if w not in other and len(w) > 3]
         words = sorted({*words, *witness, *plain, *altered})
         place = {w: i for i, w in enumerate(words)}
-        x = subsequences.apply(words, table).astype(np.float64) @ root
+        x = subsequences.apply(words, table) @ root.astype(np.float32)
         toxic_at, clean_at = [[place[w] for w in b if w in place] for b in toxic], [[place[w] for w in b if w in place] for b in clean]
         never = np.array(sorted({i for b in clean_at for i in b}))
         clean_words = set(never.tolist())
@@ -239,9 +245,9 @@ def train(samples: list[tuple[str, int]], clean_share: float | None = None, land
                 base = 0.5 * base + np.array([worst[i] for i in never]) / len(negative)
             share = np.array([count[i] for i in at])
             weight = np.concatenate([share / share.sum(), np.full(len(other_way), 0.15 / max(1, len(other_way))), base])
-            w, bias = _machine(x[rows], np.where(np.arange(len(rows)) < len(at) + len(other_way), 1.0, -1.0), weight)
-            decision = x @ w + bias
-            positive = [b[int(decision[b].argmax())] for b in toxic_at if b]
+            w, bias = _machine(x, rows, np.where(np.arange(len(rows)) < len(at) + len(other_way), 1.0, -1.0), weight)
+            decision = x @ w.astype(np.float32) + bias
+            positive = [b[int(decision[b].argmax())] for b in toxic_at if b] + [place[w] for w in strong]
             negative = [b[int(decision[b].argmax())] for b in clean_at if b]
         witness = [words[i] for i in positive]
         hard = [words[i] for i in sorted(set(negative), key=lambda i: -decision[i])[:200]]

@@ -130,3 +130,26 @@ def test_texts_under_one_id_all_count(spark):
     assert got == Counter([(1, 1, 1), (1, 1, 1), (2, 2, 1), (2, 1, 1), (3, 1, 1), (3, 2, 1), (1, 1, 0), (1, 1, 0)])
     kept = Counter((r["doc_id"], r["text"]) for r in nearjoin.one_of_each(docs).collect())
     assert kept == Counter([(1, a), (1, b), (2, c), (1, None), (1, "")])
+
+
+def test_recall_of_planted_pairs_by_band(spark):
+    """Pairs of their own, of every similarity from 0.8 on: nearly none is lost even at the threshold, none above 0.85."""
+    rng, pairs = np.random.default_rng(8), []
+    while len(pairs) < 900:
+        n = int(rng.integers(40, 260))
+        a = [f"{len(pairs)}w{x}" for x in rng.integers(0, 10**6, n)]
+        b = list(a)
+        for at in rng.integers(0, n, int(rng.integers(1, 1 + max(1, n // 40)))):
+            b[at] = f"{len(pairs)}new{at}"
+        x, y = ({tuple(t[i : i + 5]) for i in range(n - 4)} for t in (a, b))
+        similarity = len(x & y) / len(x | y)
+        if 0.8 <= similarity < 1 and (similarity < 0.86 or len(pairs) % 3 == 0):
+            pairs.append((similarity, " ".join(a), " ".join(b)))
+    docs = documents(spark, [t for _, *both in pairs for t in both])
+    found = {r["doc_id"]: r["class_id"] for r in nearjoin.near_duplicates(docs).collect()}
+    recall = {}
+    for low, high in ((0.8, 0.82), (0.82, 0.85), (0.85, 1)):
+        of = [found[2 * i] == found[2 * i + 1] for i, (s, *_) in enumerate(pairs) if low <= s < high]
+        assert len(of) > 80
+        recall[low] = float(np.mean(of))
+    assert recall[0.8] >= 0.985 and recall[0.82] >= 0.995 and recall[0.85] == 1

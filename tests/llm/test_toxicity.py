@@ -8,7 +8,7 @@ from tessera.llm import registry, toxicity
 
 from .helpers import DOCS, prose, tricky
 
-LARGE = "/root/testdata/sf0.01"
+LARGE = "/root/testdata/sf0.1"
 
 
 def slow_kernel(s, t):
@@ -71,7 +71,7 @@ def test_held_out_accuracy(spark):
     right = [r["predicted"] == label[r["doc_id"]] for r in held]
     assert np.mean(right) >= 0.92 > np.mean([label[r["doc_id"]] == 0 for r in held])  # more than saying 0 always
     caught = [r["predicted"] for r in held if label[r["doc_id"]]]
-    assert np.mean(caught) >= 0.6 and sum(caught) >= 0.7 * sum(r["predicted"] for r in held)
+    assert np.mean(caught) >= 0.8 and sum(caught) >= 0.8 * sum(r["predicted"] for r in held)  # recall and precision
     pos = [r["score"] for r in held if label[r["doc_id"]]]
     neg = [r["score"] for r in held if not label[r["doc_id"]]]
     assert np.mean([p > n for p in pos for n in neg]) >= 0.9
@@ -97,3 +97,18 @@ def test_sample_is_what_hashes_lowest_however_many_labels_there_are(spark):
     rows = sorted((r["h"], r["doc_id"], r["label"]) for r in labels.distinct().selectExpr("xxhash64(doc_id) as h", "doc_id", "label").collect())
     want = [(f"text {i}", label) for wanted in (0, 1) for _, i, label in [x for x in rows if x[2] == wanted][:5]]
     assert sorted(got) == sorted(want) and abs(share - 2 / 3) < 1e-9
+
+
+def test_every_insult_of_a_text_is_learned():
+    """Texts hold several insults at once; each of them tells, though none is any text's only one."""
+    rng = np.random.default_rng(4)
+    insults = ["wretchling", "scumfoot", "dolthead", "grubface"]
+    samples = [(f"{prose(('a', i), 25)} {' '.join(rng.choice(insults, 3, replace=False))} {prose(('b', i), 25)}", 1) for i in range(60)]
+    samples += [(prose(("c", i), 50), 0) for i in range(60)]
+    m = toxicity.train(samples)
+    assert min(m.probability(m.decide([w])[0]) for w in insults) > 0.5
+
+
+def test_landmarks_are_spread_out():
+    words = ["aaaa", "aaab", "zzzz", "zzzy", "mnop"]
+    assert toxicity.spread_out(words, 3) in (["aaaa", "zzzz", "mnop"], ["aaaa", "mnop", "zzzz"]) and toxicity.spread_out(words[:2], 9) == ["aaaa", "aaab"]
