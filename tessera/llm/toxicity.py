@@ -73,8 +73,9 @@ class Subsequences:
         size = int(letters.max()) + 1
         if size**3 <= dense:
             return cls(letters, size)
-        plain = cls(letters, size).numbers(words, plain_only=True)
-        return cls(letters, size, np.unique(plain[plain >= 0]))
+        plain = [np.unique(cls(letters, size).numbers(words[at : at + 1024], plain_only=True)) for at in range(0, len(words), 1024)]
+        known = np.unique(np.concatenate(plain))
+        return cls(letters, size, known[known >= 0])
 
     @property
     def rows(self) -> int:
@@ -121,10 +122,10 @@ class Subsequences:
             np.add.at(out[:, i], row[row >= 0], weight[row >= 0] / norm[i])
         return out
 
-    def apply(self, words: list[str], table: np.ndarray, at_once: int = 1024) -> np.ndarray:
+    def apply(self, words: list[str], table: np.ndarray, at_once: int = 1024, dtype: type = np.float32) -> np.ndarray:
         """(words, columns of the table): kernel values, or any weighted sum of them."""
         order = sorted(range(len(words)), key=lambda i: len(words[i]))
-        out = np.zeros((len(words), table.shape[1]), dtype=np.float32)
+        out = np.zeros((len(words), table.shape[1]), dtype=dtype)
         for at in range(0, len(order), at_once):
             part = order[at : at + at_once]
             numbers, weight, norm = self.numbers([words[i] for i in part])
@@ -154,8 +155,13 @@ class Machine:
 
 def spread_out(words: list[str], number: int) -> list[str]:
     """`number` of the words, the first and then each the least similar to those before."""
-    subsequences = Subsequences.of(words)
-    numbers, weight, norm = subsequences.numbers(words)
+    subsequences, width = Subsequences.of(words), max(map(len, words))
+    numbers, norm = [], []
+    for at in range(0, len(words), 1024):  # padded to one width, so that all blocks have the same weights
+        found, weight, size = subsequences.numbers([*words[at : at + 1024], "x" * width])
+        numbers.append(found[:-1].astype(np.int32))
+        norm.append(size[:-1])
+    numbers, norm = np.concatenate(numbers), np.concatenate(norm)
     chosen, near = [0], np.full(len(words), -1.0)
     while True:
         last = np.zeros(subsequences.rows + 1, dtype=np.float32)
@@ -167,7 +173,7 @@ def spread_out(words: list[str], number: int) -> list[str]:
         chosen.append(nxt)
 
 
-def _machine(x: np.ndarray, rows: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, steps: int = 25, block: int = 16384) -> tuple[np.ndarray, float]:
+def _machine(x: np.ndarray, rows: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, steps: int = 25, block: int = 2048) -> tuple[np.ndarray, float]:
     """Linear machine with squared hinge loss over the `rows` of x, by Newton steps on the rows inside the margin, gathered by blocks."""
     n = x.shape[1]
     w = np.zeros(n + 1)
@@ -192,7 +198,8 @@ def train(samples: list[tuple[str, int]], clean_share: float | None = None, land
     """Fit on (text, 0 or 1) samples; None unless both classes have words. All words of all samples are fitted on; all witnesses, all mistakable words and ORDINARY drawn others
     may become landmarks. clean_share: of label 0 where the sample comes from, if it differs."""
     rng = np.random.default_rng(seed)
-    bags = [(sorted({p for w in tokens(t) for p in pieces(w)}), label) for t, label in sorted(samples)]
+    same: dict[str, str] = {}  # one object for each word, however many texts have it
+    bags = [(sorted(same.setdefault(p, p) for p in {p for w in tokens(t) for p in pieces(w)}), label) for t, label in sorted(samples)]
     toxic, clean = [b for b, label in bags if label and b], [b for b, label in bags if not label and b]
     if not toxic or not clean:
         return None
@@ -205,6 +212,7 @@ def train(samples: list[tuple[str, int]], clean_share: float | None = None, land
     # A text's witnesses are all of its words that tell nearly as much as its best one: several insults in one text are all learned.
     best = [max(value[w] for w in b) for b in toxic]
     witness = strong = [w for b, most in zip(toxic, best, strict=True) for w in b if value[w] >= STRONG * most and value[w] > 0] or [max(b) for b in toxic]
+    del same, stem, stem_other, value
     plain = sorted(other)
     plain = [plain[i] for i in rng.permutation(len(plain))]
     words = sorted({w for b in toxic for w in b})
@@ -227,7 +235,8 @@ def train(samples: list[tuple[str, int]], clean_share: float | None = None, land
         altered = [changed(w) for w in witness if w not in other and len(w) > 3]
         words = sorted({*words, *witness, *plain, *altered})
         place = {w: i for i, w in enumerate(words)}
-        x = subsequences.apply(words, table) @ root.astype(np.float32)
+        x = None  # the first turn's goes before the second's is made
+        x = subsequences.apply(words, table @ root.astype(np.float32), dtype=np.float16)  # the largest array of the fit; its norms are below one
         toxic_at, clean_at = [[place[w] for w in b if w in place] for b in toxic], [[place[w] for w in b if w in place] for b in clean]
         never = np.array(sorted({i for b in clean_at for i in b}))
         clean_words = set(never.tolist())
@@ -246,7 +255,7 @@ def train(samples: list[tuple[str, int]], clean_share: float | None = None, land
             share = np.array([count[i] for i in at])
             weight = np.concatenate([share / share.sum(), np.full(len(other_way), 0.15 / max(1, len(other_way))), base])
             w, bias = _machine(x, rows, np.where(np.arange(len(rows)) < len(at) + len(other_way), 1.0, -1.0), weight)
-            decision = x @ w.astype(np.float32) + bias
+            decision = np.concatenate([x[i : i + 16384].astype(np.float32) @ w.astype(np.float32) for i in range(0, len(x), 16384)]) + bias
             positive = [b[int(decision[b].argmax())] for b in toxic_at if b] + [place[w] for w in strong]
             negative = [b[int(decision[b].argmax())] for b in clean_at if b]
         witness = [words[i] for i in positive]
