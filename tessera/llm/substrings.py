@@ -19,9 +19,9 @@ No prefix gathers all its anchors in one task, even where a third of all rows sh
     50 of its end have another context in every document and don't fold.
   - In step 1 a task that sees a prefix in two documents knows it is shared: its range gets two rows with their count,
     the anchors go straight to their homes.
-  - In step 2 a prefix with more than HOT anchors (counted in step 1) is met window by window: each home takes the smallest
-    document of every window hash (96 bits), and only these meet, dealt by that hash.
-What one document repeats within itself is not folded.
+  - In step 2 a prefix with many anchors (`hot_size`, counted in step 1) is met window by window: each home takes the smallest
+    document of every window, and only these windows meet, dealt by their hash. At most HOT_PER_RANGE prefixes a range are so hot.
+What one document repeats within itself is not folded. Everywhere hashes only propose, and bytes decide.
 What is shuffled are compressed arrays, one for each task and range; texts travel once for step 2 and once for step 3.
 """
 
@@ -44,8 +44,8 @@ NAMES = ("n_bytes", "n_removed", "n_spans", "kept")
 #: Bytes of text that one numpy pass covers, and anchors that one task gathers before it sends them.
 PASS_BYTES, FLUSH = 4 << 20, 1 << 20
 RANGES_PER_PARTITION, SAMPLE_DOCS, SAMPLE_ANCHORS = 2, 8, 8
-#: Anchors with one prefix above which their windows are dealt one by one.
-HOT = 1 << 15
+#: Anchors with one prefix above which their windows are dealt one by one: HOT at least, and so many that no more than HOT_PER_RANGE such prefixes can exist for each range.
+HOT, HOT_PER_RANGE = 1 << 15, 512
 MARK, TEXT, ANCHOR, CONTEXT, SENT_HOME, WINDOW, HOT_PREFIX = range(7)
 SHAPE = pa.schema([("to", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
 SHIPPED = "to int, kind int, blob binary"
@@ -202,6 +202,11 @@ def shared_here(w0: np.ndarray, w1: np.ndarray, doc: np.ndarray) -> tuple[np.nda
     return shared, np.stack([low[two], high[two]]), sizes[two]
 
 
+def hot_size(n_bytes: int, ranges: int) -> int:
+    """Anchors with one prefix above which it is hot. As there are no more anchors than bytes, at most HOT_PER_RANGE * ranges prefixes are."""
+    return max(HOT, -(-n_bytes // (HOT_PER_RANGE * ranges)))
+
+
 def is_hot(word: np.ndarray, hot: np.ndarray) -> np.ndarray:
     """Whether each row of two words is among the rows of `hot`."""
     out = np.zeros(len(hot) + len(word), dtype=bool)
@@ -220,9 +225,10 @@ def distinct(*columns: np.ndarray) -> np.ndarray:
     return order[new]
 
 
-def window_hashes(context: np.ndarray, whole: np.ndarray, length: int, base: int = 0x2545F4914F6CDD1D) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def window_hashes(context: np.ndarray, whole: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(a, rows that have a window a bytes before their anchor, hashes of these windows); the hash depends on the window's bytes alone."""
-    left, inverse = length - PREFIX, pow(base, -1, 1 << 64)
+    left, base = length - PREFIX, 0x2545F4914F6CDD1D
+    inverse = pow(base, -1, 1 << 64)
     table = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(base))
     power = np.cumprod(np.full(context.shape[1], base, dtype=np.uint64))
     prefix = np.zeros((len(context), context.shape[1] + 1), dtype=np.uint64)
@@ -244,23 +250,27 @@ def window_masks(context: np.ndarray, whole: np.ndarray, doc: np.ndarray, length
 
 
 def least_windows(context: np.ndarray, whole: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(mask as of window_masks among these rows; row, a, hash and second hash of the windows of the smallest document)."""
+    """(mask as of window_masks among these rows; row, a and hash of the windows of the smallest document)."""
     mask, found = np.zeros(len(context), dtype=np.uint64), []
-    second = window_hashes(context, whole, length, 0x9E3779B97F4A7C15)
-    for (a, have, h), (_, _, h2) in zip(window_hashes(context, whole, length), second, strict=True):
+    for a, have, h in window_hashes(context, whole, length):
         first = first_windows(h, doc[have], context, have, length - PREFIX - a, length)
         mask[have[~first]] |= np.uint64(1) << np.uint64(a)
-        found.append((have[first], np.full(int(first.sum()), a, dtype=np.uint8), h[first], (h2[first] >> np.uint64(32)).astype(np.uint32)))
+        found.append((have[first], np.full(int(first.sum()), a, dtype=np.uint8), h[first]))
     return mask, *(np.concatenate(c) for c in zip(*found, strict=True))
 
 
-def later_windows(h: np.ndarray, h2: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Positions of the windows that also lie in a smaller document."""
-    order, starts = multikey_order([h, h2.astype(np.uint64)])
-    if not len(order):
-        return order
-    least = np.repeat(np.minimum.reduceat(doc[order], starts), np.diff(np.append(starts, len(order))))
-    return order[doc[order] != least]
+def later_windows(h: np.ndarray, window: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Positions of the windows whose bytes also lie in a smaller document."""
+    return np.flatnonzero(~first_windows(h, doc, window, np.arange(len(h)), 0, window.shape[1]))
+
+
+def same_context(x: np.ndarray, y: np.ndarray, text: np.ndarray, place: np.ndarray, whole: np.ndarray, length: int) -> np.ndarray:
+    """Whether the anchors x and y (numbers of rows) have the same windows around them, byte for byte."""
+    around, same = np.arange(PREFIX - length, length), whole[x] == whole[y]
+    for at in range(0, len(x), 1 << 15):
+        i, j = x[at : at + (1 << 15)], y[at : at + (1 << 15)]
+        same[at : at + (1 << 15)] &= (text[place[i][:, None] + around] == text[place[j][:, None] + around]).all(axis=1)
+    return same
 
 
 def masks_of_prefix_groups(order: np.ndarray, starts: np.ndarray, context: np.ndarray, whole: np.ndarray, doc: np.ndarray, length: int, at_once: int = 1 << 16) -> np.ndarray:
@@ -323,7 +333,8 @@ def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", le
                 at = at[np.argsort(mix64(word[at].astype(np.uint64)))[:SAMPLE_ANCHORS]] if len(at) > SAMPLE_ANCHORS else at
                 yield pa.RecordBatch.from_arrays([pa.array(word[at + o].astype(np.uint64).view(np.int64)) for o in (0, 8)], names=["w0", "w1"])
 
-    n = lean.count()
+    n, n_bytes = lean.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    hot_from = hot_size(n_bytes, ranges)
     picked = lean.select("text").sample(min(1.0, SAMPLE_DOCS * ranges / max(1, n)), seed=11).mapInArrow(sample, "w0 long, w1 long").collect()  # a few pairs of words a range
     pairs = np.array([(r["w0"], r["w1"]) for r in picked], dtype=np.int64).reshape(-1, 2).view(np.uint64)
     pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
@@ -331,17 +342,20 @@ def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", le
 
     def send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered: list[tuple[np.ndarray, ...]] = []
+        passes: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            h, w0, w1, doc, hash_, home, inside, size = (np.concatenate(c) for c in zip(*gathered, strict=True))
+            h, w0, w1, doc, hash_, home, inside, size, place = (np.concatenate(c) for c in zip(*gathered, strict=True))
+            before, whole, text_ = earliest(h, doc), whole_mask(inside, size, length), np.concatenate(passes)
             gathered.clear()
-            before = earliest(h, doc)
-            gone = np.flatnonzero((before != np.arange(len(h))) & (w0 == w0[before]) & (w1 == w1[before]))  # the hash covers the bytes beyond these words
+            passes.clear()
+            later = np.flatnonzero(before != np.arange(len(h)))
+            gone = later[same_context(later, before[later], text_, place, whole, length)]
             first, rows = np.ones(len(h), dtype=bool), []
             first[gone] = False
             for home_, part in spread(home[gone]):
                 x = gone[part]
-                rows.append((home_, MARK, wrap(doc[x], hash_[x], inside[x].astype(np.uint32), whole_mask(inside[x], size[x], length))))
+                rows.append((home_, MARK, wrap(doc[x], hash_[x], inside[x].astype(np.uint32), whole[x])))
             kept = np.flatnonzero(first)
             shared, ends, sizes = shared_here(w0[kept], w1[kept], doc[kept])
             known = kept[shared]
@@ -357,7 +371,7 @@ def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", le
                 rows.append((range_, ANCHOR, wrap(w0[x], w1[x], doc[x], hash_[x], to[p], inside[x].astype(np.uint32), weight[p])))
             return shipment(rows)
 
-        held = 0
+        held = n_text = 0
         for batch in batches:
             texts = _texts(batch, "text")
             docs_, hashes, homes = (batch.column(i).to_numpy() for i in range(3))
@@ -365,11 +379,12 @@ def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", le
                 buffer = Buffer(texts[a:b])
                 at, doc = buffer.anchors(length)
                 word = buffer.words(">u8")
-                gathered.append((buffer.context_hash(at, doc, length), word[at].astype(np.uint64), word[at + 8].astype(np.uint64), docs_[a + doc], hashes[a + doc], homes[a + doc], at - buffer.starts[doc], buffer.sizes[doc]))
-                held += len(at)
+                gathered.append((buffer.context_hash(at, doc, length), word[at].astype(np.uint64), word[at + 8].astype(np.uint64), docs_[a + doc], hashes[a + doc], homes[a + doc], at - buffer.starts[doc], buffer.sizes[doc], at + n_text))
+                passes.append(buffer.bytes)
+                held, n_text = held + len(at), n_text + len(buffer.bytes)
                 if held >= FLUSH:
                     yield flush()
-                    held = 0
+                    held = n_text = 0
         if gathered:
             yield flush()
 
@@ -395,7 +410,7 @@ def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", le
         two = np.minimum.reduceat(doc[order], starts) != np.maximum.reduceat(doc[order], starts)
         x = order[np.repeat(two, np.diff(np.append(starts, len(order)))) & (home[order] >= 0)]
         rows = [(home_, ANCHOR, wrap(doc[x[p]], hash_[x[p]], inside[x[p]])) for home_, p in spread(home[x])]
-        if len(many := order[starts[two & (np.add.reduceat(weight[order], starts) > HOT)]]):
+        if len(many := order[starts[two & (np.add.reduceat(weight[order], starts) > hot_from)]]):
             rows.append((0, HOT_PREFIX, wrap(w0[many], w1[many])))
         return shipment(rows)
 
@@ -408,8 +423,8 @@ def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", le
         return shipment([(home_, MARK, wrap(doc[x[p]], hash_[x[p]], inside[x[p]], mask[x[p]])) for home_, p in spread(home[x])])
 
     def find_window_masks(columns: list[np.ndarray]) -> pa.RecordBatch:
-        h, h2, a, doc, hash_, home, inside = columns
-        x = later_windows(h, h2, doc)
+        h, window, a, doc, hash_, home, inside = columns
+        x = later_windows(h, window, doc)
         return shipment([(home_, MARK, wrap(doc[x[p]], hash_[x[p]], inside[x[p]], np.uint64(1) << a[x[p]].astype(np.uint64))) for home_, p in spread(home[x])])
 
     def send_texts(batches: Iterator[pa.RecordBatch], home: str) -> Iterator[pa.RecordBatch]:
@@ -486,14 +501,15 @@ def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", le
             hot_rows, kept, word = kept[many], kept[~many], word[~many]
             for start in range(0, len(hot_rows), HOT):
                 x = hot_rows[start : start + HOT]
-                mask, row, a, h, h2 = least_windows(context[x], whole[x], doc[x], length)
+                mask, row, a, h = least_windows(context[x], whole[x], doc[x], length)
                 if len(lost := np.flatnonzero(mask)):
                     rows.append((home, MARK, wrap(doc[x[lost]], hash_[x[lost]], inside[x[lost]], mask[lost])))
                 y = x[row]
                 once = distinct(doc[y], hash_[y], inside[y].astype(np.int64) - a)  # a window with several such anchors
                 for bucket, part in spread((mix64(h[once]) % np.uint64(ranges)).astype(np.int32)):
                     p = once[part]
-                    rows.append((bucket, WINDOW, wrap(h[p], h2[p], a[p], doc[y[p]], hash_[y[p]], homes[y[p]], inside[y[p]])))
+                    window = context[y[p][:, None], left - a[p].astype(np.int64)[:, None] + np.arange(length)]
+                    rows.append((bucket, WINDOW, wrap(h[p], window, a[p], doc[y[p]], hash_[y[p]], homes[y[p]], inside[y[p]])))
             for range_, part in spread(range_of(word[:, 0], word[:, 1], cuts)):
                 x = kept[part]
                 rows.append((range_, CONTEXT, wrap(context[x], whole[x], doc[x], hash_[x], homes[x], inside[x])))
@@ -540,6 +556,7 @@ def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     def anchors_and_marks() -> tuple[DataFrame, DataFrame, np.ndarray]:
         sent = stored(dealt(lean.mapInArrow(send_anchors, SHIPPED)).mapInArrow(lambda x: by_range(x, {ANCHOR: find_shared}), SHIPPED))
         found = [unwrap(r["blob"]) for r in sent.filter(F.col("kind") == HOT_PREFIX).select("blob").collect()]
+        # at most HOT_PER_RANGE a range, whatever the size of the input
         return sent.filter(F.col("kind") == ANCHOR), sent.filter(F.col("kind") == MARK), np.concatenate([np.stack(x, axis=1) for x in found]) if found else np.empty((0, 2), np.uint64)
 
     shared, early, hot_prefixes = anchors_and_marks()

@@ -118,3 +118,28 @@ def test_bytes_decide_where_hashes_agree():
         got = substrings.first_windows(h, doc, context, rows, 1, 3)
         want = [not any((context[j, 1:4] == context[i, 1:4]).all() and doc[j] < doc[i] for j in range(40)) for i in range(40)]
         assert got.tolist() == want
+
+
+def test_bytes_decide_in_every_step(spark, monkeypatch):
+    first, least = substrings.earliest, substrings.least_windows
+
+    def few_hashes(h, doc):
+        return first(h & np.uint64(7), doc)
+
+    def few_window_hashes(*args):
+        mask, row, a, h = least(*args)
+        return mask, row, a, h & np.uint64(3)
+
+    monkeypatch.setattr(substrings, "HOT", 4)
+    monkeypatch.setattr(substrings, "earliest", few_hashes)
+    monkeypatch.setattr(substrings, "least_windows", few_window_hashes)
+    passage = prose("shared", 30)
+    texts = [f"{prose(f'own {i}', 8)} {passage[i % 3 :]} {prose(f'end {i}', 8)}" for i in range(60)] + [passage, passage, prose("alone", 40)]
+    assert result(substrings.removal_digest(documents(spark, texts))) == brute([(i, t.encode()) for i, t in enumerate(texts)])
+
+
+def test_few_prefixes_are_hot_at_any_size():
+    for n_bytes in (0, 10**9, 10**14):
+        for ranges in (16, 4000, 400_000):
+            hot = substrings.hot_size(n_bytes, ranges)
+            assert hot >= substrings.HOT and n_bytes // hot <= substrings.HOT_PER_RANGE * ranges
