@@ -3,14 +3,16 @@
 The approximation file keeps each vector as one cell number per dimension, blocks of vectors with the corners and widths of their
 cells. Exact vectors are stored apart from it and are read for candidates alone.
 
-  1. Cells are scanned: every block of queries meets the blocks of a group of cell blocks, one after the other. The cells bound each
+  1. Cells are scanned: every block of queries meets the blocks of a group of cell blocks, one after the other and SLICE queries at once. The cells bound each
      score from both sides. A task keeps, for each of its queries, the k best lower bounds seen so far and the vectors whose upper bounds reach the k-th of them.
   2. The k-th best lower bound over all groups is the query's threshold; candidates below it go.
   3. Exact vectors are read in the order of the bounds: first those of the k candidates with the best upper bounds. Their
      k-th exact score is the new threshold, and only candidates whose upper bound reaches it are read then. After that the k-th is certain.
 
 Blocks hold a bounded number of vectors, whichever ids repeat. (block of queries, group of cell blocks) is the unit of work, so
-there are as many tasks as there are such pairs, and no join has a key with more rows than a group has blocks.
+there are as many tasks as there are such pairs, and no join has a key with more rows than a group has blocks. Where queries are many, a block holds
+QUERY_BLOCK of them, so that cells travel once for all of these; where they are few, blocks are smaller, so that all tasks have work. A vector
+that is a candidate of very many queries is fetched in several tasks.
 """
 
 from __future__ import annotations
@@ -22,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import shuffle_width, stored
+from tessera.llm.common import shuffle_width, spread_join, stored
 
-#: Vectors in a block of cells, queries in a block, cell blocks in a group, bits of a cell.
-BLOCK, QUERY_BLOCK, GROUP, BITS = 4096, 1024, 16, 6
+#: Vectors in a block of cells, queries in a block at most, queries that meet a block of cells at once, cell blocks in a group, bits of a cell.
+BLOCK, QUERY_BLOCK, SLICE, GROUP, BITS = 4096, 16384, 1024, 16, 6
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
 
 
@@ -98,14 +100,16 @@ class Scan:
         self.held = 0
 
     def meet(self, low: np.ndarray, width: np.ndarray, cells: np.ndarray, rows: np.ndarray, ids: np.ndarray) -> None:
-        lower, upper = (np.clip(x, LOW, HIGH) for x in bounds(self.query, low, width, cells))
-        own = self.ids[:, None] == ids[None, :]
-        lower[own] = upper[own] = -np.inf
-        best = np.concatenate([self.lower, lower], axis=1)
-        self.lower = np.partition(best, best.shape[1] - self.k, axis=1)[:, -self.k :]
-        i, j = np.nonzero((upper >= self.lower.min(axis=1)[:, None]) & ~own)
-        self.found.append((i, rows[j], upper[i, j]))
-        self.held += len(i)
+        for at in range(0, len(self.rows), SLICE):
+            part = slice(at, at + SLICE)
+            lower, upper = (np.clip(x, LOW, HIGH) for x in bounds(self.query[part], low, width, cells))
+            own = self.ids[part, None] == ids[None, :]
+            lower[own] = upper[own] = -np.inf
+            best = np.concatenate([self.lower[part], lower], axis=1)
+            self.lower[part] = np.partition(best, best.shape[1] - self.k, axis=1)[:, -self.k :]
+            i, j = np.nonzero((upper >= self.lower[part].min(axis=1)[:, None]) & ~own)
+            self.found.append((at + i, rows[j], upper[i, j]))
+            self.held += len(i)
         if self.held > 8 * self.k * len(self.rows):
             self.prune()
 
@@ -134,8 +138,10 @@ def exact_topk(vectors: DataFrame, is_query: str, k: int = 20, block: int = BLOC
     spark = vectors.sparkSession
     vectors = stored(vectors.withColumn("row", F.monotonically_increasing_id()))  # written once, so each row keeps its number
     n, m = vectors.count(), vectors.filter(is_query).count()
-    width, parts, q_parts = shuffle_width(spark), max(1, -(-n // block)), max(1, -(-m // query_block))
+    width, parts = shuffle_width(spark), max(1, -(-n // block))
     groups = max(1, -(-parts // group))
+    query_block = min(query_block, max(SLICE, -(-m * groups // (2 * width))))  # two pairs of a block and a group for each task
+    q_parts = max(1, -(-m // query_block))
     shape = "kind int, dims int, place long, blob_rows binary, blob_ids binary, low binary, width binary, data binary"
     names = [f.split()[0] for f in shape.split(", ")]
 
@@ -172,23 +178,24 @@ def exact_topk(vectors: DataFrame, is_query: str, k: int = 20, block: int = BLOC
             yield state.results()
 
     met = stored(dealt.mapInArrow(scan, "q_row long, lower array<double>, rows array<long>, upper array<double>"))
-    bar = met.groupBy("q_row").agg(F.sort_array(F.flatten(F.collect_list("lower")), asc=False)[k - 1].alias("bar"))  # k numbers a group
+    bounds_ = met.select("q_row", F.explode("lower").alias("bar")).withColumn("place", F.row_number().over(Window.partitionBy("q_row").orderBy(F.desc("bar"))))
+    bar = bounds_.filter(F.col("place") <= k).filter(F.col("place") == k).select("q_row", "bar")  # each task sends k of a query
     candidates = met.select("q_row", F.inline(F.arrays_zip("rows", "upper"))).join(bar, "q_row").filter("upper >= bar").select("q_row", F.col("rows").alias("row"), "upper")
     candidates = stored(candidates)
     best_first = Window.partitionBy("q_row").orderBy(F.desc("upper"), "row")
     place = candidates.withColumn("place", F.row_number().over(best_first))
-    first = stored(_exact(place.filter(F.col("place") <= k).select("q_row", "row"), vectors))
+    first = stored(_exact(place.filter(F.col("place") <= k).select("q_row", "row"), vectors, candidates))
     certain = first.groupBy("q_row").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(F.lit(LOW)).alias("kth"))
     rest = place.filter(F.col("place") > k).join(certain, "q_row").filter(F.col("upper") >= F.col("kth").cast("double") - 1 - F.abs(F.col("kth").cast("double")) * 1e-12).select("q_row", "row")
     order = Window.partitionBy("q_row").orderBy(F.desc("score"), "vec_id", "row")
-    ranked = first.unionByName(_exact(rest, vectors)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    ranked = first.unionByName(_exact(rest, vectors, candidates)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
-def _exact(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(q_row, query_id, row, vec_id, score) of each (q_row, row)."""
+def _exact(pairs: DataFrame, vectors: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(q_row, query_id, row, vec_id, score) of each (q_row, row), which are some of the stored candidates."""
     asked = vectors.select(F.col("row").alias("q_row"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    both = pairs.join(vectors, "row").join(asked, "q_row").select("q_row", "query_id", "row", "vec_id", "q", "v")
+    both = spread_join(pairs, vectors, "row", ["q_row"], candidates).join(asked, "q_row").select("q_row", "query_id", "row", "vec_id", "q", "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

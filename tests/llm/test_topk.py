@@ -71,3 +71,24 @@ def test_many_blocks_agree(spark):
     few = topk.exact_topk(vectors, "vec_id % 50 = 0", 5)
     many = topk.exact_topk(vectors, "vec_id % 50 = 0", 5, block=16, query_block=3)
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+
+
+def test_slices_and_hubs(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SLICE", 3)
+    for module in (topk.spread_join.__globals__,):
+        monkeypatch.setitem(module, "HOT_FLOOR", 20)
+    rng = np.random.default_rng(9)
+    vectors = [(i, [int(x) for x in rng.integers(-50, 50, 6)]) for i in range(200)] + [(501, [10_000] * 6), (502, [-10_000] * 6)]  # near to every query
+    df = spark.createDataFrame(vectors, "vec_id long, v array<long>").repartition(5)
+    got = sorted(tuple(r) for r in topk.exact_topk(df, "vec_id % 5 = 0", 4, block=32, query_block=7, group=2).collect())
+    assert got == brute(vectors, 4, lambda i: i % 5 == 0)
+
+
+def test_a_block_of_queries_meets_cells_in_slices():
+    rng = np.random.default_rng(2)
+    data = rng.integers(-99, 99, (3000, 8))
+    whole = topk.Scan(np.arange(2500), np.arange(2500), data[:2500], 5)
+    parts = [topk.Scan(np.arange(a, a + 500), np.arange(a, a + 500), data[a : a + 500], 5) for a in range(0, 2500, 500)]
+    for state in (whole, *parts):
+        state.meet(*topk.cells_of(data), np.arange(3000), np.arange(3000))
+    assert whole.results().to_pylist() == [r for p in parts for r in p.results().to_pylist()]
