@@ -137,7 +137,7 @@ def exact_topk(vectors: DataFrame, is_query: str, k: int = 20, block: int = BLOC
     """
     spark = vectors.sparkSession
     vectors = stored(vectors.withColumn("row", F.monotonically_increasing_id()))  # written once, so each row keeps its number
-    n, m = vectors.count(), vectors.filter(is_query).count()
+    n, m = vectors.agg(F.count(F.lit(1)), F.count(F.when(F.expr(is_query), 1))).first()
     width, parts = shuffle_width(spark), max(1, -(-n // block))
     groups = max(1, -(-parts // group))
     query_block = min(query_block, max(SLICE, -(-m * groups // (2 * width))))  # two pairs of a block and a group for each task
