@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from tessera.llm import language, mixing, nearjoin, packing, substrings
 from tessera.llm.common import Scope, free_names, stored, table
 
-#: A document goes if no language is found in it, or none with this probability.
+#: A document goes if no language is found in it, or if the likeliest one has a smaller probability.
 LEAST_SCORE = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter (null and empty ones too), or in none of the learned languages, go; a missing lang is filled in.
+    """Documents without a letter (null and empty ones too) go, and those whose likeliest language scores below LEAST_SCORE; a missing lang is filled in.
 
+    The score is low where the learned languages are about equally likely. It doesn't tell unlearned languages: texts in these mostly score as high as others and stay.
     Only id, text and lang are read, so other columns, whatever their names, pass through. Repeated rows fare alike. An empty table stays empty.
     """
     pred, score = free_names(docs, "lang_pred", "score")
