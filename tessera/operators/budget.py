@@ -23,3 +23,14 @@ def running_before(rows: DataFrame, group: str, order: str, value: str, into: st
     local = F.coalesce(F.sum(F.coalesce(value, F.lit(0))).over(inside), F.lit(0))
     out = placed.join(totals, [group, at]).withColumn(into, F.col(offset) + local).select(*rows.columns, into)
     return out if budget is None else out.filter(F.col(into) < budget)
+
+
+def lists(rows: DataFrame, group: str, order: str, fields: list[str], most: int = 1000) -> DataFrame:
+    """(group, part, members): the rows of each group by `order` (an integer, once per group), as lists of at most `most` structs of order and `fields`, numbered from 0.
+
+    Places in a group come from running sums, so neither a row nor a task holds a whole group. Rows without group or order are left out.
+    """
+    at = "place_" + "_".join([group, order, *fields])
+    placed = running_before(rows.select(group, order, *fields).withColumn(f"{at}_one", F.lit(1)), group, order, f"{at}_one", at)
+    members = F.sort_array(F.collect_list(F.struct(order, *fields)))
+    return placed.groupBy(group, F.floor(F.col(at) / most).cast("long").alias("part")).agg(members.alias("members"))

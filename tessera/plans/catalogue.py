@@ -7,7 +7,7 @@ events for activity, customer and nation for repositories and users, pages for u
 
 from __future__ import annotations
 
-from tessera.plans import chats, code, feeds, indexing, reviews, structure, texts, vectors  # noqa: F401  registers
+from tessera.plans import chats, code, feeds, indexing, layouts, reviews, structure, texts, vectors  # noqa: F401  registers
 from tessera.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
