@@ -12,7 +12,7 @@ from tessera.operators.sessions import contexts, ended, found_or_made, issue_con
 from tessera.plans.registry import query
 from tessera.sources.landed import sync_plan as plan_of
 from tessera.sources.tables import table
-from tessera.streaming import frames, identity, sync
+from tessera.streaming import frames, identity, pushes, sync
 
 READ = 61
 
@@ -185,3 +185,33 @@ def first_writer(spark: SparkSession, folder: str) -> DataFrame:
     """The first row of each range, as the first capture of a range counts."""
     rows = table(spark, folder, "lineitem").select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber")
     return first_row(rows, ["l_partkey", "l_suppkey"], ["l_orderkey", "l_linenumber"])
+
+
+@query("""
+WITH current AS (
+  SELECT c_custkey AS repo_id, CASE c_custkey % 4 WHEN 0 THEN 'INDEXING' WHEN 1 THEN 'INDEXED' WHEN 2 THEN 'FAILED' ELSE 'NEW' END AS status,
+    CASE WHEN c_custkey % 4 = 1 OR c_custkey % 8 = 0 THEN 'c' || c_custkey % 3 END AS indexed, CASE WHEN c_custkey % 4 < 2 THEN 'c' || c_custkey % 2 END AS head, CASE WHEN c_custkey % 4 = 0 THEN 'c' || c_custkey % 3 END AS running
+  FROM customer
+), feed AS (SELECT o_orderkey AS place, o_custkey AS repo_id, o_orderstatus AS kind, 'c' || o_orderkey % 3 AS sha FROM orders WHERE o_orderkey % 5 = 0),
+heads AS (SELECT repo_id, arg_max(sha, place) AS pushed FROM feed WHERE kind = 'O' GROUP BY 1),
+over AS (SELECT feed.repo_id, arg_max(place % 2 = 0, place) AS ok FROM feed JOIN current ON feed.repo_id = current.repo_id AND sha = running WHERE kind = 'F' GROUP BY 1),
+a AS (
+  SELECT repo_id, running, pushed, ok, CASE WHEN ok THEN running ELSE indexed END AS indexed, coalesce(pushed, head) AS head,
+    CASE WHEN ok THEN 'INDEXED' WHEN NOT ok THEN 'FAILED' ELSE status END AS status, pushed IS NOT NULL OR (ok IS NOT NULL AND head IS DISTINCT FROM running) AS asked
+  FROM current LEFT JOIN heads USING (repo_id) LEFT JOIN over USING (repo_id)
+), b AS (SELECT *, status <> 'INDEXING' AND asked AND head IS NOT NULL AND head IS DISTINCT FROM indexed AS due FROM a)
+SELECT repo_id, CASE WHEN due THEN 'INDEXING' ELSE status END AS status, indexed, head, CASE WHEN due THEN head WHEN status = 'INDEXING' THEN running END AS running,
+  CASE WHEN due AND indexed IS NULL THEN 'initial' WHEN due THEN 'delta' WHEN pushed IS NOT NULL AND status = 'INDEXING' THEN 'already_indexing' WHEN pushed IS NOT NULL THEN 'up_to_date' WHEN ok IS NOT NULL THEN 'finished' END AS action
+FROM b
+""")
+def push_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers as repositories in all states, a fifth of the orders as one batch: open ones are pushes, closed ones outcomes of runs."""
+    n = F.col("c_custkey")
+    status = F.when(n % 4 == 0, "INDEXING").when(n % 4 == 1, "INDEXED").when(n % 4 == 2, "FAILED").otherwise("NEW")
+    sha = lambda c, k: F.concat(F.lit("c"), c % k)
+    current = table(spark, folder, "customer").select(
+        n.alias("repo_id"), status.alias("status"), F.when((n % 4 == 1) | (n % 8 == 0), sha(n, 3)).alias("indexed"), F.when(n % 4 < 2, sha(n, 2)).alias("head"), F.when(n % 4 == 0, sha(n, 3)).alias("running"),
+    )
+    rows = table(spark, folder, "orders").filter("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("repo_id"), sha(F.col("o_orderkey"), 3).alias("commit_sha"), F.col("o_orderkey").alias("place"), "o_orderstatus")
+    pushed, over = rows.filter("o_orderstatus = 'O'").drop("o_orderstatus"), rows.filter("o_orderstatus = 'F'").withColumn("ok", F.col("place") % 2 == 0)
+    return pushes.moved(current, current.select("repo_id"), pushed, over)

@@ -45,10 +45,10 @@ def tree(rows: DataFrame) -> DataFrame:
     return rows.filter(kept).select("path", "content", F.lit("added").alias("status"))
 
 
-def default_branch_pushes(rows: DataFrame) -> DataFrame:
-    """(github_repo_id, commit_sha) of the pushes (PUSH schema) to the default branch; pushes without a branch or a repository go."""
+def default_branch_pushes(rows: DataFrame, *kept: str) -> DataFrame:
+    """(github_repo_id, commit_sha, and the columns `kept`) of the pushes (PUSH schema) to the default branch; pushes without a branch or a repository go."""
     on_default = F.col("ref") == F.concat(F.lit("refs/heads/"), F.col("repository.default_branch"))
-    return rows.filter(on_default).select(F.col("repository.id").alias("github_repo_id"), F.col("after").alias("commit_sha"))
+    return rows.filter(on_default).select(F.col("repository.id").alias("github_repo_id"), F.col("after").alias("commit_sha"), *kept)
 
 
 def sync_plan(repositories: DataFrame, commits: DataFrame) -> DataFrame:

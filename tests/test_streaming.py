@@ -5,7 +5,7 @@ from pathlib import Path
 
 import pytest
 
-from tessera.streaming import frames, identity, sync
+from tessera.streaming import frames, identity, pushes, sync
 from tessera.streaming.published import Published
 from tessera.streaming.state import keyed_state
 
@@ -199,3 +199,43 @@ def test_frames_over_batches_and_out_of_order(spark, tmp_path):
         query = stream.writeStream.foreachBatch(lambda b, n: got.extend(b.collect())).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert said(got) == {"one": SAID, "two": SAID} and len(got) == 12
+
+
+def push(repo, after, ref="refs/heads/main"):
+    return {"ref": ref, "after": after, "repository": {"id": repo, "default_branch": "main"}}
+
+
+def register(repo):
+    return {"registered": True, "repository": {"id": repo, "default_branch": "main"}}
+
+
+def outcome(repo, commit, ok):
+    return {"run": {"repo_id": repo, "commit_sha": commit, "ok": ok}}
+
+
+def test_pushes_start_runs_and_none_is_lost(spark, tmp_path):
+    landing = tmp_path / "in"
+    landing.mkdir()
+    root = str(tmp_path / "control")
+
+    def after(name, *events):
+        (landing / f"{name}.json").write_text("".join(json.dumps(e) + "\n" for e in events))
+        pushes.start_pushes(spark, str(landing), root, str(tmp_path / "state"), 4).awaitTermination()
+        return {r["repo_id"]: (r["status"], r["indexed"], r["head"], r["running"], r["action"]) for r in pushes.control(root, 4).read(spark, "repositories").collect()}
+
+    assert after("1", register(1), register(2), register(2), push(2, "x", "refs/heads/side"), push(9, "a"), push(None, "b")) == {1: ("NEW", None, None, None, None), 2: ("NEW", None, None, None, None)}
+    assert after("2", push(1, "a"), push(1, "b"))[1] == ("INDEXING", None, "b", "b", "initial")
+    assert after("3", push(1, "c"))[1] == ("INDEXING", None, "c", "b", "already_indexing")  # the guard keeps the push
+    assert after("4", outcome(1, "a", True), outcome(9, "a", True))[1][:4] == ("INDEXING", None, "c", "b")  # of another run, of an unknown repository
+    assert after("5", outcome(1, "b", True))[1] == ("INDEXING", "b", "c", "c", "delta")  # the kept push runs next
+    assert [tuple(r) for r in pushes.due(pushes.control(root, 4), spark).collect()] == [(1, "c", "b")]
+    assert after("6", outcome(1, "c", None))[1] == ("FAILED", "b", "c", None, "finished")  # the pointer stays
+    assert after("7", push(1, "c"))[1] == ("INDEXING", "b", "c", "c", "delta")
+    assert after("8", outcome(1, "c", False), outcome(1, "c", True))[1] == ("INDEXED", "c", "c", None, "finished")
+    assert after("9", push(1, "c"), register(1))[1] == ("INDEXED", "c", "c", None, "up_to_date")
+    last = pushes.control(root, 4).last(spark)
+    pushes.start_pushes(spark, str(landing), root, str(tmp_path / "state"), 4).awaitTermination()  # nothing new
+    assert pushes.control(root, 4).last(spark) == last
+    batch = spark.createDataFrame([], pushes.FEED)
+    assert not pushes.apply_feed(pushes.control(root, 4), batch, last) and pushes.apply_feed(pushes.control(root, 4), batch, last + 1)
+    assert pushes.control(root, 4).read(spark, "repositories").count() == 2
