@@ -121,6 +121,11 @@ def first_of_each(rows: DataFrame, group: str, order: str, n: int) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(order))).filter(F.col("_n") <= n).drop("_n")
 
 
+def unrestricted(rows: DataFrame, query: Sequence[float], key: str, limits: Limits) -> DataFrame:
+    """Chunks among all rows, whatever their similarity, marked as fallback."""
+    return top_k(rows, query, limits.chunks, None, key).withColumn("fallback", F.lit(True))
+
+
 def hierarchical(rows: DataFrame, query: Sequence[float], key: str, component: str, limits: Limits) -> DataFrame:
     """Hits, the first files of the best components, then chunks among all these; unrestricted where nothing hits.
 
@@ -128,7 +133,7 @@ def hierarchical(rows: DataFrame, query: Sequence[float], key: str, component: s
     """
     hits = top_k(rows, query, limits.hits, limits.threshold, key).select(key, component, "similarity").collect()  # at most limits.hits rows
     if not hits:
-        return top_k(rows, query, limits.chunks, None, key).withColumn("fallback", F.lit(True))
+        return unrestricted(rows, query, key, limits)
     best: dict = {}
     for r in hits:
         best[r[component]] = max(best.get(r[component], -2.0), r["similarity"])

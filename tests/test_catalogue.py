@@ -56,3 +56,14 @@ def test_entry_points(spark):
     assert __spark_entry__.entry(spark).count() == 10
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert set(catalogue.ORACLES) == set(catalogue.QUERIES)
+
+
+def test_fallback_ignores_copies_of_the_question(spark, tmp_path):
+    """Stored copies of the question reach any threshold; the fallback's SQL has none."""
+    rows = spark.read.parquet(f"{FOLDER}/embeddings.parquet")
+    rows.unionByName(rows.withColumn("vec_id", F.col("vec_id") + 1_000_000)).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    for name in ("qa_fallback", "qa_hierarchical"):
+        got, want = catalogue.QUERIES[name](spark, str(tmp_path)), con.sql(catalogue.ORACLES[name])
+        assert rows_of(got.columns, got.collect()) == rows_of(list(want.columns), want.fetchall())
