@@ -121,6 +121,25 @@ def spread_join(rows: DataFrame, looked_up: DataFrame, key: str, dealt_by: list[
     return left.join(right, [key, salt], how).drop(salt)
 
 
+#: Bits of the filter of `sifted`: so many for each wanted key, that number at least, and that at most (8 MB in all).
+SIFT_BITS, SIFT_LEAST, SIFT_MOST = 16, 1 << 21, 1 << 26
+
+
+def sifted(rows: DataFrame, wanted: DataFrame, key: str, n_wanted: int) -> DataFrame:
+    """Those `rows` whose key is in `wanted` (a stored table with `n_wanted` rows), and a few others: wide rows that an exact join would drop afterwards needn't travel to it.
+
+    The filter is a table of bitmaps, one bit for each hash of a key, which is broadcast whole; where there are more keys than it has room for, more rows pass.
+    """
+    bits = min(SIFT_MOST, max(SIFT_LEAST, SIFT_BITS * n_wanted))
+    bucket, place, bitmap = free_names([*rows.columns, *wanted.columns], "bucket_", "place_", "bitmap_")
+    hashed = F.pmod(F.xxhash64(key), F.lit(bits))
+    placed = lambda df: df.withColumns({bucket: F.bitmap_bucket_number(hashed), place: F.bitmap_bit_position(hashed)})
+    bitmaps = placed(wanted.select(key)).repartition(bucket).groupBy(bucket).agg(F.bitmap_construct_agg(place).alias(bitmap))
+    byte = F.conv(F.hex(F.substr(bitmap, (F.col(place) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    found = placed(rows).join(F.broadcast(bitmaps), bucket)  # SIFT_MOST bits at most
+    return found.filter(F.getbit(byte, (F.col(place) % 8).cast("int")) == 1).select(*rows.columns)
+
+
 def parts_of(size: str, total: int) -> Column:
     """The number of tasks to which a key with `size` (a column) of all `total` rows is dealt: one, if it holds no more than 1 / HOT_PARTS of them."""
     return F.lit(1) if total <= HOT_FLOOR else F.ceil(F.col(size) / (total // HOT_PARTS)).cast("int")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import dealt_join, forget, free_names, mix64, parts_of, shuffle_width, spread_join, stored
+from tessera.llm.common import dealt_join, forget, free_names, mix64, parts_of, shuffle_width, sifted, spread_join, stored
 
 WORDS, THRESHOLD, TRIES, LEVELS, RECALL, BLOCK, SKETCH, WIDE = 5, 0.8, 32, 8, 0.9999, 512, 256, 2048
 PASS_BYTES, BLOCK_SHINGLES = 4 << 20, 1 << 20
@@ -422,8 +422,9 @@ def _classed(docs: DataFrame, words: int, threshold: float, tries: int, recall:
     leaves = stored(sorted_leaves(sets, shortest_depth(threshold, tries, recall), tries))
     # The sets with a neighbour; one row of each is read again for its shingles. An id with several texts fits several sets, of which `shingle_sets` keeps the text's own.
     wanted = stored(sets.join(leaves.select("set").distinct(), "set", "left_semi").select("set", "set_a", "set_b", F.col("low").alias("doc_id")))
-    vectors = stored(shingle_sets(docs.join(wanted, "doc_id"), words))
-    if vectors.count() > wanted.count():  # repeated rows
+    n_wanted = wanted.count()
+    vectors = stored(shingle_sets(sifted(docs, wanted, "doc_id", n_wanted).join(wanted, "doc_id"), words))
+    if vectors.count() > n_wanted:  # repeated rows
         vectors = stored(vectors.dropDuplicates(["set"]))
 
     other = sizes.select(F.col("set").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))

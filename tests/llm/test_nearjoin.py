@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
-from tessera.llm import nearjoin, registry
+from tessera.llm import common, nearjoin, registry
 
 from .helpers import DOCS, FOLDER, documents, prose, sf_documents, tricky
 
@@ -153,3 +153,14 @@ def test_recall_of_planted_pairs_by_band(spark):
         assert len(of) > 80
         recall[low] = float(np.mean(of))
     assert recall[0.8] >= 0.985 and recall[0.82] >= 0.995 and recall[0.85] == 1
+
+
+def test_texts_that_nobody_wants_do_not_travel(spark):
+    rows = spark.range(200_000).selectExpr("if(id % 1000 = 999, null, id - 50000) as doc_id", "cast(id as string) as text")
+    wanted = spark.range(0, 3000).selectExpr("id * 37 - 20000 as doc_id")
+    kept = {r["doc_id"] for r in common.sifted(rows, wanted, "doc_id", 3000).collect()}
+    there = {r["doc_id"] for r in rows.join(wanted, "doc_id").collect()}
+    assert len(there) > 2900 and there <= kept and len(kept) < len(there) + 2000
+    assert common.sifted(rows, wanted.limit(0), "doc_id", 0).count() == 0
+    full = common.sifted(rows, rows.filter("doc_id is not null"), "doc_id", 199_800)  # as many as there are
+    assert full.join(rows.select("doc_id"), "doc_id").count() == 199_800
