@@ -31,13 +31,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import dealt_join, forget, free_names, mix64, parts_of, shuffle_width, sifted, spread_join, stored
 
 WORDS, THRESHOLD, TRIES, LEVELS, RECALL, BLOCK, SKETCH, WIDE = 5, 0.8, 32, 8, 0.9999, 512, 256, 2048
-PASS_BYTES, BLOCK_SHINGLES = 4 << 20, 1 << 20
+#: A pass holds about 30 bytes for each byte of its texts, and tables as long.
+PASS_BYTES, BLOCK_SHINGLES = 1 << 20, 1 << 20
 _BASE = 0x2545F4914F6CDD1D
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -151,15 +153,16 @@ def _texts(batch: pa.RecordBatch, column: int) -> list[bytes]:
     return [(x.as_py() or "").lower().encode("utf-8", "surrogatepass") for x in batch.column(column)]
 
 
-def _passes(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+def _passes(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(first, last, texts) of runs of rows; only one run's texts are held at a time."""
     first = size = 0
-    for i, t in enumerate(texts):
-        if i > first and size + len(t) > PASS_BYTES:
-            yield first, i
+    for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+        if i > first and size + n > PASS_BYTES:
+            yield first, i, _texts(batch.slice(first, i - first), column)
             first, size = i, 0
-        size += len(t)
-    if len(texts) > first:
-        yield first, len(texts)
+        size += n
+    if batch.num_rows > first:
+        yield first, batch.num_rows, _texts(batch.slice(first), column)
 
 
 def _set_keys(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -180,9 +183,8 @@ def signatures(docs: DataFrame, words: int, tries: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = _texts(batch, 2)
-            for a, b in _passes(texts):
-                hashes, offsets = shingles(texts[a:b], words)
+            for a, b, texts in _passes(batch, 2):
+                hashes, offsets = shingles(texts, words)
                 signature, sketch = signature_bits(hashes, offsets, tries)
                 sets = _set_keys(hashes, offsets)
                 columns = [pa.array(sets[:, 0]), pa.array(sets[:, 1]), pa.array(np.diff(offsets), pa.int32()), _list_array(signature), _list_array(sketch)]
@@ -196,10 +198,9 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = _texts(batch, 3)
             wanted = np.stack([batch.column(c).to_numpy() for c in (1, 2)], axis=1) if batch.num_rows else np.empty((0, 2), np.int64)
-            for a, b in _passes(texts):
-                hashes, offsets = shingles(texts[a:b], words)
+            for a, b, texts in _passes(batch, 3):
+                hashes, offsets = shingles(texts, words)
                 same = (_set_keys(hashes, offsets) == wanted[a:b]).all(axis=1)
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(hashes.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], names=["set", "shingles"]).filter(pa.array(same))

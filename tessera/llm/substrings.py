@@ -33,6 +33,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,7 +43,7 @@ from tessera.llm.common import free_names, mix64, shuffle_width, stored
 LENGTH, PREFIX, PAD = 50, 16, 64
 NAMES = ("n_bytes", "n_removed", "n_spans", "kept")
 #: Bytes of text that one numpy pass covers, and anchors that one task gathers before it sends them.
-PASS_BYTES, FLUSH = 4 << 20, 1 << 20
+PASS_BYTES, FLUSH = 1 << 20, 1 << 20
 RANGES_PER_PARTITION, SAMPLE_DOCS, SAMPLE_ANCHORS = 2, 8, 8
 #: Anchors with one prefix above which their windows are dealt one by one: HOT at least, and so many that no more than HOT_PER_RANGE such prefixes can exist for each range.
 HOT, HOT_PER_RANGE = 1 << 15, 512
@@ -273,7 +274,7 @@ def same_context(x: np.ndarray, y: np.ndarray, text: np.ndarray, place: np.ndarr
     return same
 
 
-def masks_of_prefix_groups(order: np.ndarray, starts: np.ndarray, context: np.ndarray, whole: np.ndarray, doc: np.ndarray, length: int, at_once: int = 1 << 16) -> np.ndarray:
+def masks_of_prefix_groups(order: np.ndarray, starts: np.ndarray, context: np.ndarray, whole: np.ndarray, doc: np.ndarray, length: int, at_once: int = 1 << 14) -> np.ndarray:
     """window_masks over runs of whole groups, about `at_once` rows at a time."""
     mask = np.zeros(len(order), dtype=np.uint64)
     ends = np.append(starts[1:], len(order))
@@ -291,15 +292,25 @@ def _texts(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [x.as_py() or b"" for x in column]
 
 
-def _passes(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+def _passes(batch: pa.RecordBatch, name: str) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(first, last, texts) of runs of rows; only one run's texts are held at a time."""
     first = size = 0
-    for i, t in enumerate(texts):
-        if i > first and size + len(t) > PASS_BYTES:
-            yield first, i
+    for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(name))), 0).to_pylist()):
+        if i > first and size + n > PASS_BYTES:
+            yield first, i, _texts(batch.slice(first, i - first), name)
             first, size = i, 0
-        size += len(t)
-    if len(texts) > first:
-        yield first, len(texts)
+        size += n
+    if batch.num_rows > first:
+        yield first, batch.num_rows, _texts(batch.slice(first), name)
+
+
+def _emptied(parts: list[tuple[np.ndarray, ...]]) -> Iterator[np.ndarray]:
+    """The columns of `parts`, one after the other; a column's parts go once they are put together."""
+    columns = [list(c) for c in zip(*parts, strict=True)]
+    parts.clear()
+    for i in range(len(columns)):
+        yield np.concatenate(columns[i])
+        columns[i] = None
 
 
 def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, decoded: bool = False, names: tuple[str, str, str, str] = NAMES) -> DataFrame:
@@ -342,17 +353,24 @@ def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", le
 
     def send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered: list[tuple[np.ndarray, ...]] = []
+        owners: list[tuple[np.ndarray, ...]] = []
         passes: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            h, w0, w1, doc, hash_, home, inside, size, place = (np.concatenate(c) for c in zip(*gathered, strict=True))
-            before, whole, text_ = earliest(h, doc), whole_mask(inside, size, length), np.concatenate(passes)
-            gathered.clear()
+            doc_of, hash_of, home_of, size_of = _emptied(owners)
+            h, row, inside, place = _emptied(gathered)
+            text_ = np.concatenate(passes)
             passes.clear()
+            inside, doc, hash_, home = inside.astype(np.int64), doc_of[row], hash_of[row], home_of[row]
+            before, whole = earliest(h, doc), whole_mask(inside, size_of[row], length)
+            del row
             later = np.flatnonzero(before != np.arange(len(h)))
             gone = later[same_context(later, before[later], text_, place, whole, length)]
             first, rows = np.ones(len(h), dtype=bool), []
             first[gone] = False
+            word = np.ndarray((len(text_) - 7,), dtype=">u8", buffer=text_, strides=(1,))
+            w0, w1 = word[place].astype(np.uint64), word[place + 8].astype(np.uint64)
+            del h, before, later, text_, place, word
             for home_, part in spread(home[gone]):
                 x = gone[part]
                 rows.append((home_, MARK, wrap(doc[x], hash_[x], inside[x].astype(np.uint32), whole[x])))
@@ -371,20 +389,19 @@ def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", le
                 rows.append((range_, ANCHOR, wrap(w0[x], w1[x], doc[x], hash_[x], to[p], inside[x].astype(np.uint32), weight[p])))
             return shipment(rows)
 
-        held = n_text = 0
+        held = n_text = n_rows = 0
         for batch in batches:
-            texts = _texts(batch, "text")
             docs_, hashes, homes = (batch.column(i).to_numpy() for i in range(3))
-            for a, b in _passes(texts):
-                buffer = Buffer(texts[a:b])
+            for a, b, texts in _passes(batch, "text"):
+                buffer = Buffer(texts)
                 at, doc = buffer.anchors(length)
-                word = buffer.words(">u8")
-                gathered.append((buffer.context_hash(at, doc, length), word[at].astype(np.uint64), word[at + 8].astype(np.uint64), docs_[a + doc], hashes[a + doc], homes[a + doc], at - buffer.starts[doc], buffer.sizes[doc], at + n_text))
+                gathered.append((buffer.context_hash(at, doc, length), (n_rows + doc).astype(np.int32), (at - buffer.starts[doc]).astype(np.uint32), at + n_text))
+                owners.append((docs_[a:b], hashes[a:b], homes[a:b], buffer.sizes))
                 passes.append(buffer.bytes)
-                held, n_text = held + len(at), n_text + len(buffer.bytes)
+                held, n_text, n_rows = held + len(at), n_text + len(buffer.bytes), n_rows + b - a
                 if held >= FLUSH:
                     yield flush()
-                    held = n_text = 0
+                    held = n_text = n_rows = 0
         if gathered:
             yield flush()
 
@@ -470,9 +487,8 @@ def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", le
             keys = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
             at = [spans.get(k) for k in keys]
             have = [i for i, a in enumerate(at) if a is not None]
-            texts = _texts(batch.take(pa.array(have, pa.int64())), "text")
-            for a, b in _passes(texts):
-                buffer = Buffer(texts[a:b])
+            for a, b, texts in _passes(batch.take(pa.array(have, pa.int64())), "text"):
+                buffer = Buffer(texts)
                 rows = np.concatenate([np.arange(*at[have[i]]) for i in range(a, b)])
                 doc = np.repeat(np.arange(b - a), [at[have[i]][1] - at[have[i]][0] for i in range(a, b)])
                 inside = columns[2][rows].astype(np.int64)
@@ -484,8 +500,7 @@ def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", le
         def done(home):
             if not gathered:
                 return
-            h, context, whole, doc, hash_, inside = (np.concatenate(c) for c in zip(*gathered, strict=True))
-            gathered.clear()
+            h, context, whole, doc, hash_, inside = _emptied(gathered)
             before = earliest(h, doc)
             later = np.flatnonzero(before != np.arange(len(h)))
             same = [(context[x] == context[before[x]]).all(axis=1) & (whole[x] == whole[before[x]]) for x in np.array_split(later, len(later) // (1 << 15) + 1)]

@@ -1,11 +1,13 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessera.llm import registry, substrings
+from tessera.llm import nearjoin, registry, substrings
 
 from .helpers import DOCS, FOLDER, documents, prose, sf_documents, tricky
 
@@ -143,3 +145,28 @@ def test_few_prefixes_are_hot_at_any_size():
         for ranges in (16, 4000, 400_000):
             hot = substrings.hot_size(n_bytes, ranges)
             assert hot >= substrings.HOT and n_bytes // hot <= substrings.HOT_PER_RANGE * ranges
+
+
+def test_passes_hold_little_beside_their_batch():
+    """Before, all texts of a batch were held as bytes, and 4 MB of them went through one pass, which took about 100 MB."""
+    texts = [None, "", "é" * 30, *(f"{i} " * (1 << 16) for i in range(100, 140)), "x" * (3 << 20), "end"]
+    batch = pa.RecordBatch.from_pydict({"doc": list(range(len(texts))), "text": texts})
+    for passes, pass_bytes in ((substrings._passes(batch, "text"), substrings.PASS_BYTES), (nearjoin._passes(batch, 1), nearjoin.PASS_BYTES)):
+        found, end = [], 0
+        for first, last, some in passes:
+            assert first == end and len(some) == last - first and (last == first + 1 or sum(map(len, some)) <= pass_bytes)
+            end = last
+            found += some
+        assert found == [(t or "").encode() for t in texts]
+    short = batch.slice(0, len(texts) - 2)
+    tracemalloc.start()
+    for _, _, some in substrings._passes(short, "text"):
+        substrings.Buffer(some).anchors(50)
+    anchors = tracemalloc.get_traced_memory()[1]
+    nearjoin._POWERS.clear()
+    tracemalloc.reset_peak()
+    for _, _, some in nearjoin._passes(short, 1):
+        nearjoin.shingles(some)
+    sets = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert anchors < 60 << 20 and sets < 140 << 20, (anchors, sets)
