@@ -4,6 +4,7 @@ import hashlib
 import json
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -341,3 +342,15 @@ def test_scanned_symbols():
     assert [(k, n, a, b) for k, n, *_, a, b in scanning.symbols("C++", cpp)] == [("class", "P", 1, 3), ("function", "add", 4, 6)]
     go = "package a\ntype R struct {\n\tx int\n}\nfunc New() *R {\n\treturn &R{}\n}\n"
     assert [(k, n, a, b) for k, n, *_, a, b in scanning.symbols("Go", go)] == [("class", "R", 1, 3), ("function", "New", 4, 6)]
+
+
+def test_markdown_rows_are_made_run_by_run(spark):
+    """Before, a batch's blocks were all held until its last document was read."""
+    texts = ["- a " * 60_000, "", *["# b\n"] * 5, "> é" * 300_000, "1. c"]
+    batch = pa.RecordBatch.from_pydict({"k": list(range(len(texts))), "text": texts})
+    runs = list(markdown._runs(batch, 1))
+    assert [t for r in runs for t in r.column(1).to_pylist()] == texts and [r.num_rows for r in runs] == [7, 1, 1]
+    docs = spark.createDataFrame([(None, "# a\n\n- *b*"), ("x", ""), ("y", None), ("z", "```py\n1\n```\n2. c")], "k string, text string")
+    rows = values(markdown.block_rows(docs, "k"), "k", "position", "kind", "mark", "content", "italic")
+    assert rows == sorted([(None, 0, "heading", "#", "a", []), (None, 1, "item", "-", "*b*", ["b"]), ("z", 0, "fence", "py", "1", []), ("z", 1, "numbered", "2", "c", [])], key=repr)
+    assert markdown.block_rows(docs.filter("k = 'x'"), "k").count() == 0
