@@ -99,3 +99,28 @@ def test_facts_of_scripts():
         ("export", "export default class H<T> extends I.J<T> { @K({ l: `)` }) m() { } }", None), ("inheritance", "H", "I.J"), ("decorator", "@K({ l: `)` })", None), ("decorator", "@N", None), ("inheritance", "O", "P"),
     ]
     assert scanning.facts("Go", "package x") == []
+
+
+def test_plain_code_takes_one_match_a_token(monkeypatch):
+    """Before, every token was tried against the blank's, then the name's pattern."""
+
+    class Counted:
+        def __init__(self, pattern):
+            self.pattern, self.n = pattern, 0
+
+        def match(self, *args):
+            self.n += 1
+            return self.pattern.match(*args)
+
+    source = "export function big() {\n" + "  step();\n" * 500 + "}"
+    want = lexing.tokens(source, "JavaScript")
+    for name in ("_SPACE", "_NAME", "_PLAIN"):
+        monkeypatch.setattr(lexing, name, Counted(getattr(lexing, name)))
+    assert lexing.tokens(source, "JavaScript") == want and len(want) == 2007
+    assert lexing._SPACE.n + lexing._NAME.n < 20 and lexing._PLAIN.n < 2020
+
+
+def test_plain_names_are_not_cut_out_of_others():
+    kinds = lambda source, language: [(t.kind, t.text) for t in lexing.tokens(source, language)]
+    assert kinds('a R"(b;)" u8R"x(;)x" L"c"', "C++") == [("name", "a"), ("string", 'R"(b;)"'), ("string", 'u8R"x(;)x"'), ("name", "L"), ("string", '"c"')]
+    assert kinds("return /a;b/g; x /2/ y", "JavaScript") == [("name", "return"), ("regex", "/a;b/g"), ("mark", ";"), ("name", "x"), ("mark", "/"), ("number", "2"), ("mark", "/"), ("name", "y")]
